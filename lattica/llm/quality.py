@@ -127,10 +127,10 @@ class Machine:
 
     @classmethod
     def fit(
-        cls, row, column, value, label: np.ndarray, factors: int = 6, epochs: int = 10, batch: int = 256,
+        cls, row, column, value, label: np.ndarray, factors: int = 6, steps: int = 300, batch: int = 256,
         rate: float = 0.03, decay: float = 1e-4, seed: int = 7,
     ) -> Machine:
-        """Adam on the logistic loss. With fewer than two labels the score is their rate."""
+        """Adam on the logistic loss, ``steps`` steps in whole epochs. With fewer than two labels the score is their rate."""
         rng = np.random.default_rng(seed)
         docs = len(label)
         share = (label.sum() + 0.5) / (docs + 1)
@@ -141,7 +141,7 @@ class Machine:
         starts = np.searchsorted(row, np.arange(docs + 1))
         state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in (("w", m.weights), ("v", m.factors))}
         step = 0
-        for _ in range(epochs):
+        for _ in range(-(-steps // -(-docs // batch))):
             order = rng.permutation(docs)
             for part in range(0, docs, batch):
                 chosen = order[part : part + batch]
