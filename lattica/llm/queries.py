@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, pii, quality, urls
+from . import bpe, embeddings, exact_dedup, jaccard, line_dedup, mixing, pii, quality, substring_dedup, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +46,18 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, pages.join(labels, "page_id"), URL_RULES)
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,6 +69,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -78,8 +91,11 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_urls": op3_urls,
+    "op4_jaccard": op4_jaccard,
     "op5_mixing": op5_mixing,
+    "op6_embeddings": op6_embeddings,
     "op7_bpe": op7_bpe,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
@@ -93,6 +109,27 @@ ORACLE_SQL = {
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY t)
     """,
+    "op4_jaccard": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k
+            FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM t WHERE len(w) > 0)
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), o AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o
+            FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY ALL
+        ), l AS (
+            SELECT a, b FROM o JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * o >= 80 * (p.n + q.n - o)
+        ), r AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id
+        FROM (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a) LEFT JOIN n USING (doc_id)
+    """,
     "op5_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
@@ -129,6 +166,41 @@ ORACLE_SQL = {
                     AS BIGINT) AS taken
         FROM p
     """,
+    "op6_embeddings": r"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+        ), r AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+        )
+        SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
+        FROM (SELECT a AS vec_id, min(b) AS c FROM r GROUP BY a)
+        LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) USING (vec_id)
+    """,
+    "op8_substring_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), x AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k
+            FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM t)
+        ), f AS (
+            SELECT k, min(doc_id) AS first FROM x GROUP BY k
+        ), g AS (
+            SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM x JOIN f USING (k) WHERE first < doc_id
+        ), words AS (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM t
+        ), kept AS (
+            SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS kept, count(*) AS n
+            FROM words ANTI JOIN g ON words.doc_id = g.doc_id AND words.p = g.p GROUP BY words.doc_id
+        )
+        SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM t LEFT JOIN kept USING (doc_id)
+    """,
     "op10_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, pos, line,
