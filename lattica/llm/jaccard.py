@@ -32,6 +32,7 @@ from .shingles import mixed, shingle_sets
 #: Counters of the sketch: the upper 16 bits of a shingle; its list is named by the lower 48.
 SLOTS = 1 << 16
 NAME = np.uint64(2**48 - 1)
+LONGEST = 2**15 - 1
 #: Lists longer than this are searched in blocks, of so many queries and targets.
 LONG, QUERIES, TARGETS = 64, 128, 1024
 
@@ -68,7 +69,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
 
 
 def _short_lists(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(id, n, typical, lists): each document's lists without the T - 1 longest ones."""
+    """(id, n, typical, last, lists): each document's lists without the T - 1 longest ones, and the place of the longest left in the order of all lists."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,17 +80,21 @@ def _short_lists(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
             n = np.bincount(doc, minlength=len(texts))
             first = np.cumsum(n) - n
             typical = np.bincount(doc, np.log2(length), len(texts)) / np.maximum(n, 1)
-            order = np.lexsort((found, length, doc))
+            key = np.minimum(length, LONGEST).astype(np.uint64) << np.uint64(48) | found & NAME
+            for a, b in zip(first, first + n, strict=True):
+                key[a:b].sort()
             kept = np.arange(len(doc)) - first[doc] < (n - (4 * n + 4) // 5 + 1)[doc]
-            names = (found[order][kept] & NAME).astype(np.int64)
+            names = (key[kept] & NAME).astype(np.int64)
             stops = np.concatenate([[0], np.cumsum(np.bincount(doc[kept], minlength=len(texts)))])
+            last = np.zeros(len(texts), dtype=np.int64)
+            last[n > 0] = key[kept][stops[1:][n > 0] - 1].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(n, pa.int32()), pa.array((typical * 256).astype(np.int32)), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(names))],
-                ["id", "n", "typical", "lists"],
+                [rows.column(0), pa.array(n, pa.int32()), pa.array((typical * 256).astype(np.int32)), pa.array(last), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(names))],
+                ["id", "n", "typical", "last", "lists"],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n int, typical int, lists array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n int, typical int, last long, lists array<long>")
 
 
 def _links(a: np.ndarray, b: np.ndarray) -> bool:
@@ -104,9 +109,8 @@ def _links(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _linked_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) that link."""
-    one = texts.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
-    two = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
-    both = pairs.join(one, "b").join(two, "a").select("a", "b", "a_text", "b_text")
+    both = pairs.join(texts, F.col("b") == F.col("id")).select("a", "b", F.col("text").alias("b_text"))
+    both = both.join(texts, F.col("a") == F.col("id")).select("a", "b", F.col("text").alias("a_text"), "b_text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -205,14 +209,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = profiles.filter("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("first"))
     firsts = classes.select(F.col("first").alias("id")).distinct()
     lists = _short_lists(named.filter("id is not null"), sketch).filter("n > 0").join(firsts, "id", "left_semi")
+    lists = stage(lists, "short-lists")
     entries = lists.select("id", "n", "typical", F.explode("lists").alias("list"))
+    side = F.col("list").bitwiseAND(F.lit(1)).alias("check")  # makes both sides of the join shuffles that AQE can split
     leaders = (
         entries.groupBy("list")
         .agg(F.count(F.lit(1)).alias("length"), F.max(F.struct("typical", "id", "n")).alias("leader"))
         .filter("length > 1")
-        .select("list", F.hash("list").alias("check"), F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n"))
+        .select("list", side, F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n"))
     )
-    members = entries.select("list", "id", "n", F.hash("list").alias("check")).join(leaders, ["list", "check"]).drop("check")
+    members = entries.select("list", "id", "n", side).join(leaders, ["list", "check"]).drop("check")
     members = stage(members, "lists")
 
     alike = 100 * F.least("n", "leader_n") >= 80 * F.greatest("n", "leader_n")
@@ -239,7 +245,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     q = few.filter("query and not leads").select("list", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"))
     t = few.filter("not leads").select("list", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"), F.col("query").alias("b_q"))
     pairs = q.join(t, "list").filter("a_c != b_c and 100 * least(a_n, b_n) >= 80 * greatest(a_n, b_n) and (not b_q or a < b)")
-    more = _linked_pairs(pairs.select("a", "b").distinct(), texts)
+    # Of two documents, the one whose short lists end earlier meets the other in all that both have of them.
+    ends = lists.groupBy("id").agg(F.max("last").alias("last"), F.count(F.lit(1)).alias("texts"))
+    swap = F.col("a") > F.col("b")
+    pairs = pairs.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("a_n", "b_n"), ("b_n", "a_n"))))
+    met = pairs.groupBy("a", "b", "a_n", "b_n").agg(F.count(F.lit(1)).alias("met"))
+    for x in ("a", "b"):
+        met = met.join(ends.select(F.col("id").alias(x), F.col("last").alias(f"{x}_last"), F.col("texts").alias(f"{x}_texts")), x)
+    need = F.expr("(4 * (a_n + b_n) + 8) div 9")
+    aside = F.expr("(4 * if(a_last <= b_last, a_n, b_n) + 4) div 5 - 1")
+    met = met.filter((F.col("met") >= need - aside) | (F.col("a_texts") > 1) | (F.col("b_texts") > 1))
+    more = _linked_pairs(met.select("a", "b").distinct(), texts)
     many = rows.filter(F.col("n_targets") > LONG)
     asking = many.filter("query").groupBy("list").agg(F.count(F.lit(1)).alias("n_queries"))
     many = many.withColumn("check", F.hash("list")).join(asking.withColumn("check", F.hash("list")), ["list", "check"]).drop("check")

@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import string
-from itertools import chain
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
-import xxhash
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
-_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-REMEMBERED = 400_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_BASE = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-
-
-def ascii_lowered(text: str) -> str:
-    """A-Z in lower case, other letters as they are."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+#: The white space of all contracts, by byte; UTF-8 uses these bytes for nothing else.
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[*range(9, 14), 32]] = True
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -29,43 +21,61 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of words; those met before are remembered, up to a bound."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+_LETTER = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
-    def __call__(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes of all words one after another, number of words of each document)."""
-        if new := set().union(*docs).difference(self.known):
-            if len(self.known) > REMEMBERED:
-                self.known = {}
-                new = set().union(*docs)
-            one = xxhash.xxh3_64_intdigest
-            self.known.update((w, one(w.encode("utf-8", "surrogatepass"))) for w in new)
-        sizes = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
-        flat = map(self.known.__getitem__, chain.from_iterable(docs))
-        return np.fromiter(flat, dtype=np.uint64, count=int(sizes.sum())), sizes
 
-
-#: Of this Python process, for all its tasks.
-HASHES = WordHashes()
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2**bits powers of the base and of its inverse, modulo 2**64."""
+    out = []
+    for x in (_BASE, pow(_BASE, -1, 2**64)):
+        steps = np.full(1 << bits, np.uint64(x))
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
 
 
 class Rolling:
-    """Hashes of any windows over one array of word hashes, by prefix sums modulo 2**64."""
+    """Hashes of any windows over one array of hashes, by prefix sums modulo 2**64."""
 
-    def __init__(self, words: np.ndarray):
-        with np.errstate(over="ignore"):
-            n = len(words)
-            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]), dtype=np.uint64)
-            self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]), dtype=np.uint64)
-            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * power[:-1], dtype=np.uint64)])
+    def __init__(self, values: np.ndarray):
+        power, self.inverse = _powers(max(16, int(len(values)).bit_length()))
+        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * power[: len(values)], out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            raw = (self.sums[starts + lengths] - self.sums[starts]) * self.inverse[starts]
-            return mixed(raw + np.asarray(lengths).astype(np.uint64) * _MIX[1])
+        raw = (self.sums[starts + lengths] - self.sums[starts]) * self.inverse[starts]
+        return mixed(raw + np.asarray(lengths).astype(np.uint64) * _MIX[1])
+
+
+class Words(NamedTuple):
+    """The words of some texts: their hashes, how many each text has, and where they stand in ``text``."""
+
+    hashes: np.ndarray
+    sizes: np.ndarray
+    text: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def run(self, first: int, n: int) -> str:
+        """``n`` words from word ``first`` on, joined by one space."""
+        part = self.text[self.starts[first] : self.ends[first + n - 1]]
+        return b" ".join(part.split()).decode("utf-8", "surrogatepass")
+
+
+def words_of(texts: list[str], lower: bool = False) -> Words:
+    """The words that white space leaves; ``lower`` puts A-Z in lower case, other letters stay."""
+    each = [t.encode("utf-8", "surrogatepass") for t in texts]
+    text = b"\n".join(each)
+    text = text.lower() if lower else text  # of bytes: A-Z alone
+    letters = np.frombuffer(text, dtype=np.uint8)
+    edge = np.ones(len(letters) + 2, dtype=bool)
+    edge[1:-1] = _SPACE[letters]
+    turn = np.flatnonzero(edge[1:] != edge[:-1])
+    starts, ends = turn[0::2], turn[1::2]
+    stops = np.cumsum(np.fromiter(map(len, each), dtype=np.int64, count=len(each)) + 1)
+    sizes = np.diff(np.searchsorted(starts, stops), prepend=0)
+    return Words(Rolling(_LETTER[letters])(starts, ends - starts), sizes, text, starts, ends)
 
 
 def window_starts(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,15 +92,19 @@ def shingle_sets(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarr
     A text of fewer than ``width`` words has one shingle, the whole sequence; one without
     words has none.
     """
-    words, sizes = HASHES([WORDS(ascii_lowered(t)) for t in texts])
-    roll = Rolling(words)
+    words = words_of(texts, lower=True)
+    sizes, roll = words.sizes, Rolling(words.hashes)
     doc, start = window_starts(sizes, width)
     few = np.flatnonzero((sizes > 0) & (sizes < width))
-    first = np.cumsum(sizes) - sizes
-    doc = np.concatenate([doc, few])
-    found = np.concatenate([roll(start, width), roll(first[few], sizes[few])])
-    order = np.lexsort((found, doc))
-    doc, found = doc[order], found[order]
+    found = roll(start, width)
+    if len(few):
+        first = np.cumsum(sizes) - sizes
+        doc, found = np.concatenate([doc, few]), np.concatenate([found, roll(first[few], sizes[few])])
+        order = np.argsort(doc, kind="stable")
+        doc, found = doc[order], found[order]
+    stops = np.searchsorted(doc, np.arange(len(texts) + 1))
+    for a, b in zip(stops, stops[1:], strict=False):
+        found[a:b].sort()
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])
     return doc[new], found[new]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .batches import slices
-from .shingles import HASHES, WORDS, Rolling, window_starts
+from .shingles import Rolling, Words, window_starts, words_of
 
 #: Words of the runs whose least hash is a window's anchor.
 RUN = 10
@@ -99,16 +99,16 @@ class Automaton:
         return spans
 
 
-def _anchors(docs: list[list[str]], width: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows of equal anchor: (document, anchor, first word within it, windows)."""
-    words, sizes = HASHES(docs)
+def _anchors(words: Words, width: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows of equal anchor: (document, anchor, first word of all, windows)."""
+    sizes = words.sizes
     doc, start = window_starts(sizes, width)
     empty = np.empty(0, dtype=np.int64)
     if not len(doc):
         return empty, empty, empty, empty
     short = min(RUN, width)
-    at = np.arange(len(words) - short + 1)
-    least = Rolling(words)(at, short)
+    at = np.arange(len(words.hashes) - short + 1)
+    least = Rolling(words.hashes)(at, short)
     over, span = width - short + 1, 1  # a window's anchor is the least of so many runs
     while span * 2 <= over:
         least = np.minimum(least[: len(least) - span], least[span:])
@@ -117,8 +117,7 @@ def _anchors(docs: list[list[str]], width: int) -> tuple[np.ndarray, ...]:
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
     first = np.flatnonzero(new)
-    begin = (np.cumsum(sizes) - sizes)[doc[first]]
-    return doc[first], anchor[first], start[first] - begin, np.diff(np.append(first, len(doc)))
+    return doc[first], anchor[first], start[first], np.diff(np.append(first, len(doc)))
 
 
 def _lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
@@ -130,7 +129,7 @@ def _document_anchors(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches, 1):
-            doc, anchor, _, _ = _anchors([WORDS(t) for t in texts], width)
+            doc, anchor, _, _ = _anchors(words_of(texts), width)
             order = np.lexsort((anchor, doc))
             doc, anchor = doc[order], anchor[order]
             new = np.ones(len(doc), dtype=bool)
@@ -148,16 +147,17 @@ def _segments(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches, 2):
             wanted = [np.sort(np.array(x)) for x in rows.column(3).to_pylist()]
-            docs = [WORDS(t) for t in texts]
-            doc, anchor, start, n = _anchors(docs, width)
+            words = words_of(texts)
+            doc, anchor, start, n = _anchors(words, width)
+            begin = np.cumsum(words.sizes) - words.sizes
             stops = np.searchsorted(doc, np.arange(len(texts) + 1))
             parts = [np.isin(anchor[a:b], w) for a, b, w in zip(stops, stops[1:], wanted, strict=False)]
             keep = np.flatnonzero(np.concatenate(parts)) if parts else []
             at = doc[keep]
-            segments = [" ".join(docs[d][s : s + k + width - 1]) for d, s, k in zip(at, start[keep], n[keep], strict=True)]
+            segments = [words.run(s, k + width - 1) for s, k in zip(start[keep], n[keep], strict=True)]
             chosen = rows.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[keep], pa.int64()), chosen.column(0), chosen.column(1), pa.array(start[keep], pa.int64()), pa.array(segments, pa.string())],
+                [pa.array(anchor[keep], pa.int64()), chosen.column(0), chosen.column(1), pa.array(start[keep] - begin[at], pa.int64()), pa.array(segments, pa.string())],
                 ["anchor", "id", "row", "start", "words"],
             )
 
@@ -170,9 +170,9 @@ def _windows(segments: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches, 1):
-            words, sizes = HASHES([t.split(" ") for t in texts])
-            doc, start = window_starts(sizes, width)
-            found = Rolling(words)(start, width).view(np.int64)
+            words = words_of(texts)
+            doc, start = window_starts(words.sizes, width)
+            found = Rolling(words.hashes)(start, width).view(np.int64)
             counts = np.bincount(doc, minlength=len(texts))
             yield pa.RecordBatch.from_arrays([rows.column(0), _lists(counts, pa.array(found))], ["id", "windows"])
 
@@ -185,18 +185,18 @@ def _passages(owned: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches, 2):
-            docs = [t.split(" ") for t in texts]
-            words, sizes = HASHES(docs)
-            doc, start = window_starts(sizes, width)
-            found = Rolling(words)(start, width).view(np.int64)
+            words = words_of(texts)
+            doc, start = window_starts(words.sizes, width)
+            found = Rolling(words.hashes)(start, width).view(np.int64)
             stops = np.searchsorted(doc, np.arange(len(texts) + 1))
             at, passages = [], []
             for i, mine in enumerate(rows.column(3).to_pylist()):
-                hit = np.flatnonzero(np.isin(found[stops[i] : stops[i + 1]], np.array(mine)))
+                own = slice(stops[i], stops[i + 1])
+                hit = start[own][np.isin(found[own], np.array(mine))]
                 for part in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
                     if len(part):
                         at.append(i)
-                        passages.append(" ".join(docs[i][part[0] : part[-1] + width]))
+                        passages.append(words.run(part[0], part[-1] - part[0] + width))
             chosen = rows.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1), pa.array(passages, pa.string())], ["anchor", "owner", "passage"])
 
@@ -240,7 +240,7 @@ def _without(docs: DataFrame, out_schema: str) -> DataFrame:
         for rows, texts in slices(batches, 1):
             n, gone, kept = [], [], []
             for text, spans in zip(texts, rows.column(2).to_pylist(), strict=True):
-                words = WORDS(text)
+                words = text.encode("utf-8", "surrogatepass").split()  # of bytes: at the contract's white space alone
                 n.append(len(words))
                 if spans:
                     out, free = [], 0
@@ -250,7 +250,7 @@ def _without(docs: DataFrame, out_schema: str) -> DataFrame:
                         free = max(free, b)
                     words = out + words[free:]
                 gone.append(n[-1] - len(words))
-                kept.append(" ".join(words))
+                kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
 
     return docs.select("id", "text", "spans").mapInArrow(run, out_schema)
