@@ -1,0 +1,102 @@
+"""Operators on small hand-made rows."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from lattica.functions import text as tx
+from lattica.operators import graph, incremental, links, relational, retrieval
+from lattica.sources import text as files
+from lattica.streaming import events as ev
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_unique_provider(spark):
+    """One provider links, several are ambiguous, an own provider blocks."""
+    provided = spark.createDataFrame(
+        [("alpha", "image", "worker"), ("alpha", "npm", "api"), ("alpha", "image", "built"), ("gamma", "npm", "api")], "project string, kind string, name string"
+    )
+    taken = spark.createDataFrame([("beta", "image", "worker"), ("beta", "npm", "api"), ("beta", "image", "built"), ("alpha", "image", "built")], provided.schema)
+    assert rows(links.unique_provider_links(provided, taken)) == [("beta", "image", "built", "alpha"), ("beta", "image", "worker", "alpha")]
+    counts = {r[0]: tuple(r)[1:] for r in links.market_counts(provided, taken).collect()}
+    assert counts == {"beta": (2, 1, 0), "alpha": (0, 0, 0)}
+
+
+def test_walk_visits_each_node_once(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5)], "source long, target long")
+    seeds = spark.createDataFrame([(1,)], "id long")
+    assert rows(graph.walk(edges, seeds, 3)) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert rows(graph.walk(edges, seeds, 9)) == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
+
+
+def test_packing_skips_what_does_not_fit(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("a", 3, 4), ("b", 1, 11)], "k string, n int, cost int")
+    packed = retrieval.pack(df, "k", "n", "cost", 10)
+    assert rows(packed.select("k", "n", "packed")) == [("a", 1, True), ("a", 2, False), ("a", 3, True), ("b", 1, False)]
+
+
+def test_chunks_cover_all_lines(spark):
+    text = "\n".join(f"line {i} " + "x" * (i % 40) for i in range(300))
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "y" * 4000)], "id long, text string")
+    got = retrieval.chunk_lines(df, "id", "text").toPandas()
+    one = got[got.id == 1].sort_values("chunk")
+    assert set(got.id) == {1, 4}
+    assert (one.text.str.len() <= 1500).all() and one.start_line.iloc[0] == 1 and one.end_line.iloc[-1] == 300
+    assert (one.start_line.iloc[1:].to_numpy() <= one.end_line.iloc[:-1].to_numpy() + 1).all()
+
+
+def test_levels_fall_back_field_by_field(spark):
+    levels = spark.createDataFrame([("p", 0, "project", None, "a"), ("p", 1, "global", 3, "b")], "k string, rank int, origin string, x int, y string")
+    assert rows(relational.nearest_level(levels, ["k"], ["x", "y"])) == [("p", 3, "global", "a", "project")]
+
+
+def test_upserts(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
+    assert rows(relational.upsert(old, new, ["k"])) == [(1, "a"), (2, "c"), (3, "d")]
+    assert rows(relational.insert_missing(old, new, ["k"])) == [(1, "a"), (2, "b"), (3, "d")]
+    assert rows(relational.replace_by_key(old, new, ["k"])) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_ring_and_names(spark):
+    df = spark.createDataFrame([(["a", "b"], "c"), (["a", "b", "c"], "d"), (["a"], "a")], "q array<string>, x string")
+    got = [r[0] for r in df.select(relational.ring_append(F.col("q"), F.col("x"), 3)).collect()]
+    assert got == [["a", "b", "c"], ["b", "c", "d"], ["a"]]
+    names = spark.createDataFrame([("image", "docker.io/library/Redis:7@sha256:ab"), ("pypi", "My_Pkg.x"), ("host", "A.b.")], "k string, n string")
+    assert [r[0] for r in names.select(tx.normalize_name(F.col("k"), F.col("n"))).collect()] == ["redis", "my-pkg-x", "a.b"]
+    ids = spark.createDataFrame([("a/b/c.py",), ("c.py",), ("a/b/",)], "id string")
+    assert [r[0] for r in ids.select(tx.ancestors(F.col("id"))).collect()] == [["a/b/", "a/"], [], ["a/"]]
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.py").write_text("one\r\ntwo\n")
+    (tmp_path / "skip").mkdir()
+    (tmp_path / "skip" / "y.py").write_text("no")
+    (tmp_path / "b.bin").write_bytes(b"a\0b")
+    tree = files.read_tree(spark, str(tmp_path), ["skip"])
+    assert [r["path"].rsplit("/", 1)[1] for r in tree.collect()] == ["x.py"]
+    ranges = spark.createDataFrame([(1, 2, 9), (7, 1, 1)], "id int, start int, end int")
+    texts = spark.createDataFrame([(1, "a\nb\nc")], "id int, text string")
+    assert rows(files.read_ranges(texts, ranges, "id", "text")) == [(1, 2, 9, "b\nc"), (7, 1, 1, None)]
+    assert rows(files.grep(texts, "id", "text", "B|C", 5)) == [(1, 2, "b"), (1, 3, "c")]
+
+
+def test_metrics_and_stale(spark):
+    hits = spark.createDataFrame([("q", "a", 1), ("q", "b", 2)], "query string, id string, rank int")
+    good = spark.createDataFrame([("q", "b"), ("q", "c"), ("r", "x")], "query string, id string")
+    assert rows(incremental.retrieval_metrics(hits, good, 5)) == [("q", 0.5, 0.5, 0.5), ("r", 0.0, 0.0, 0.0)]
+
+
+def test_streamed_bursts_equal_the_batch(spark, tmp_path):
+    t = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    batch = spark.createDataFrame([("a", t(0)), ("a", t(10)), ("a", t(50)), ("b", t(5))], "k string, ts timestamp")
+    batch.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+    run = ev.bursts(stream, "k", "ts").writeStream.format("memory").queryName("bursts").outputMode("complete")
+    job = run.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    job.awaitTermination(120)
+    assert rows(spark.table("bursts")) == rows(ev.bursts(batch, "k", "ts")) and spark.table("bursts").count() == 3
