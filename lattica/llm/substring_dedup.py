@@ -24,6 +24,8 @@ from .shingles import Rolling, Words, window_starts, words_of
 
 #: Words of the runs whose least hash is a window's anchor.
 RUN = 10
+#: Passages of an anchor that make one automaton.
+BLOCK = 128
 
 
 class Automaton:
@@ -76,27 +78,39 @@ class Automaton:
             self.link[new] = target if self.length[target] == self.length[state] + 1 else self._split(state, word, target)
         return new
 
-    def covered(self, words: list[str], owner: int, width: int) -> list[tuple[int, int]]:
-        """Maximal spans of the words whose windows of ``width`` a smaller owner has too."""
+    def windows(self, words: list[str], width: int) -> list[tuple[int, int]]:
+        """(end, smallest owner) of every window of ``width`` words that a passage has too."""
         after, link, length, owners = self.next, self.link, self.length, self.owner
-        spans: list[tuple[int, int]] = []
-        state = match = 0
-        for i, word in enumerate(words):
-            while state and word not in after[state]:
+        found: list[tuple[int, int]] = []
+        state = match = end = 0
+        for word in words:
+            end += 1
+            step = after[state].get(word)
+            while step is None and state:
                 state = link[state]
                 match = length[state]
-            if word not in after[state]:
+                step = after[state].get(word)
+            if step is None:
                 continue
-            state, match = after[state][word], match + 1
-            while length[link[state]] >= width:
-                state = link[state]
-                match = length[state]
-            if match >= width and owners[state] < owner:
-                if spans and i - width < spans[-1][1]:
-                    spans[-1] = spans[-1][0], i + 1
-                else:
-                    spans.append((i - width + 1, i + 1))
-        return spans
+            state, match = step, match + 1
+            if match >= width:
+                while length[link[state]] >= width:
+                    state = link[state]
+                    match = length[state]
+                found.append((end, owners[state]))
+        return found
+
+
+def covered(windows: list[tuple[int, int]], owner: int, width: int) -> list[tuple[int, int]]:
+    """Maximal spans of the words in windows that a smaller owner has too."""
+    spans: list[tuple[int, int]] = []
+    for end, first in windows:
+        if first < owner:
+            if spans and end - width <= spans[-1][1]:
+                spans[-1] = spans[-1][0], end
+            else:
+                spans.append((end - width, end))
+    return spans
 
 
 def _anchors(words: Words, width: int) -> tuple[np.ndarray, ...]:
@@ -166,18 +180,18 @@ def _segments(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _windows(segments: DataFrame, width: int) -> DataFrame:
-    """(id, windows): hashes of the windows of every segment."""
+    """(anchor, id, windows): hashes of the windows of every segment."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in slices(batches, 1):
+        for rows, texts in slices(batches, 2):
             words = words_of(texts)
             doc, start = window_starts(words.sizes, width)
             found = Rolling(words.hashes)(start, width).view(np.int64)
             counts = np.bincount(doc, minlength=len(texts))
-            yield pa.RecordBatch.from_arrays([rows.column(0), _lists(counts, pa.array(found))], ["id", "windows"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:2], _lists(counts, pa.array(found))], ["anchor", "id", "windows"])
 
     kind = segments.schema["id"].dataType.simpleString()
-    return segments.select("id", "words").mapInArrow(run, f"id {kind}, windows array<long>")
+    return segments.select("anchor", "id", "words").mapInArrow(run, f"anchor long, id {kind}, windows array<long>")
 
 
 def _passages(owned: DataFrame, width: int) -> DataFrame:
@@ -190,9 +204,10 @@ def _passages(owned: DataFrame, width: int) -> DataFrame:
             found = Rolling(words.hashes)(start, width).view(np.int64)
             stops = np.searchsorted(doc, np.arange(len(texts) + 1))
             at, passages = [], []
-            for i, mine in enumerate(rows.column(3).to_pylist()):
+            ends, mine = rows.column(3).value_lengths().to_numpy().cumsum(), rows.column(3).flatten().to_numpy()
+            for i in range(len(texts)):
                 own = slice(stops[i], stops[i + 1])
-                hit = start[own][np.isin(found[own], np.array(mine))]
+                hit = start[own][np.isin(found[own], mine[ends[i - 1] if i else 0 : ends[i]])]
                 for part in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
                     if len(part):
                         at.append(i)
@@ -205,31 +220,37 @@ def _passages(owned: DataFrame, width: int) -> DataFrame:
 
 
 def _streamed(pairs: DataFrame, width: int) -> DataFrame:
-    """(id, row, spans): what the automaton of a shard finds in the segments beside it.
+    """(id, row, spans): what the automata of shards find in the segments beside them.
 
-    ``pairs`` has a row for each segment and passage of an anchor. A slice of them is a
-    shard: its passages form one automaton, its segments run through it once.
+    ``pairs`` has a row for each segment and each block of passages of its anchor. A block
+    becomes an automaton where it is first met; equal segments run through it once.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, passages in slices(batches, 5):
-            owners = rows.column(4).to_pylist()
-            shard = Automaton((o, p.split(" ")) for o, p in dict.fromkeys(zip(owners, passages, strict=True)))
-            ids, starts, words = (rows.column(i).to_pylist() for i in (0, 2, 3))
-            seen, at, spans = set(), [], []
-            for i, key in enumerate(zip(ids, rows.column(1).to_pylist(), starts, strict=True)):
-                if key not in seen:
-                    seen.add(key)
-                    if found := shard.covered(words[i].split(" "), ids[i], width):
-                        at.append(i)
-                        spans.append([(starts[i] + a, starts[i] + b) for a, b in found])
-            chosen = rows.take(pa.array(at, pa.int64()))
+        last, shard, known = None, None, {}
+        for batch in batches:
+            blocks = batch.column(4)
+            keys = list(zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True))
+            ids, rows, starts, words = (batch.column(i).to_pylist() for i in range(4))
+            at, spans = [], []
+            for i, key in enumerate(keys):
+                if key != last:
+                    last, known = key, {}
+                    first: dict[str, int] = {}
+                    for x in blocks[i].as_py():
+                        first[x["passage"]] = min(x["owner"], first.get(x["passage"], x["owner"]))
+                    shard = Automaton((o, p.split(" ")) for p, o in first.items())
+                if words[i] not in known:
+                    known[words[i]] = shard.windows(words[i].split(" "), width)
+                if found := covered(known[words[i]], ids[i], width):
+                    at.append(i)
+                    spans.append([{"a": starts[i] + a, "b": starts[i] + b} for a, b in found])
             kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            out = pa.array([[{"a": a, "b": b} for a, b in x] for x in spans], kind)
-            yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1), out], ["id", "row", "spans"])
+            chosen = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1), pa.array(spans, kind)], ["id", "row", "spans"])
 
     kind = pairs.schema["id"].dataType.simpleString()
-    ordered = pairs.select("id", "row", "start", "words", "owner", "passage")
+    ordered = pairs.select("id", "row", "start", "words", "passages", "anchor", "block")
     return ordered.mapInArrow(run, f"id {kind}, row long, spans array<struct<a: long, b: long>>")
 
 
@@ -273,13 +294,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = anchors.withColumn("check", F.hash("anchor")).join(shared, ["anchor", "check"]).groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     segments = stage(_segments(named.join(wanted, "id"), width), "segments")
 
-    windows = _windows(segments, width).select("id", F.explode("windows").alias("window"))
-    owned = windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high")
-    owned = owned.groupBy(F.col("low").alias("id")).agg(F.collect_list("window").alias("windows"))
-    passages = stage(_passages(segments.join(owned, "id"), width).distinct(), "passages")
+    windows = _windows(segments, width).select("anchor", "id", F.explode("windows").alias("window"))
+    owned = windows.groupBy("anchor", "window").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high")
+    owned = owned.groupBy("anchor", F.col("low").alias("id")).agg(F.collect_list("window").alias("windows"))
+    passages = stage(_passages(segments.join(owned, ["anchor", "id"]), width).distinct(), "passages")
 
+    # An anchor's passages go into blocks of bounded size; most anchors have one.
     check = F.hash("anchor").alias("check")
-    pairs = segments.select("*", check).join(passages.select("*", check), ["anchor", "check"]).filter("owner < id")
+    size = passages.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
+    blocks = passages.join(size, "anchor").groupBy("anchor", F.pmod(F.xxhash64("owner", "passage"), F.col("n")).alias("block"))
+    blocks = blocks.agg(F.min("owner").alias("low"), F.collect_list(F.struct("owner", "passage")).alias("passages"))
+    pairs = segments.select("*", check).join(blocks.select("*", check), ["anchor", "check"]).filter("low < id")
     spans = _streamed(pairs, width).select("id", "row", F.explode("spans").alias("span")).distinct()
     spans = spans.groupBy("id", "row").agg(F.collect_list("span").alias("spans"))
     kind = named.schema["id"].dataType.simpleString()
