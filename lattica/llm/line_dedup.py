@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .text import SPACE_CHARS, ascii_lower, whole
 
 
@@ -47,6 +48,7 @@ def line_dedup(
         .filter(F.length("_key") >= min_chars)
         .select(id_, "_hash", "_pos", F.unhex(F.sha2("_key", 256)).alias("_key"))
     )
+    lines = stage(lines, "lines")
     by_doc = lines.select("_key", F.col(id_).alias("_doc"), F.lit(True).alias("_there")).distinct()
     shared = (
         by_doc.groupBy("_key")
