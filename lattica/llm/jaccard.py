@@ -133,7 +133,7 @@ def _linked_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def search(queries: list[np.ndarray], targets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
     """(query, targets that link with it), by DivideSkip over the inverted lists of ``targets``."""
-    sizes = np.array([len(t) for t in targets])
+    sizes = np.array([len(t) for t in targets], dtype=np.int64)
     flat = np.concatenate([np.empty(0, dtype=np.uint64), *targets])
     owner = np.repeat(np.arange(len(targets)), sizes)
     order = np.argsort(flat, kind="stable")  # so every list is sorted by target
