@@ -18,8 +18,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def walk(edges: DataFrame, seeds: DataFrame, hops: int, per_node: int | None = None) -> DataFrame:
     """(id, hop): every node reached from ``seeds`` (id), with the least number of hops.
 
-    ``per_node`` follows at most so many edges of each node, smallest targets first, as the
-    reference's listing does. A node is expanded once: visited ones leave by an anti join.
+    ``per_node`` follows at most so many edges of each node, smallest targets first. A node is expanded once: visited ones leave by an anti join.
     """
     if per_node:
         place = F.row_number().over(Window.partitionBy("source").orderBy("target"))
@@ -93,6 +92,22 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels.select("id", F.col("label").alias("community"))
 
 
+def relative_degrees(edges: DataFrame, threshold: float) -> DataFrame:
+    """(id, degree, size, labelled): the degree, its share of the greatest one, and whether that reaches ``threshold``."""
+    both = degrees(edges).select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
+    most = both.agg(F.max("degree").alias("most"))  # one row
+    out = both.crossJoin(F.broadcast(most)).withColumn("size", F.col("degree") / F.col("most"))
+    return out.select("id", "degree", "size", (F.col("size") >= threshold).alias("labelled"))
+
+
+def hubs(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(community, hub, members) of communities of two at least: the member of greatest degree, the smallest id on a tie."""
+    sized = members.join(relative_degrees(edges, 0.0).select("id", "degree"), "id")
+    top = F.max(F.struct("degree", (-F.col("id")).alias("low")))
+    out = sized.groupBy("community").agg(top.alias("top"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    return out.select("community", (-F.col("top.low")).alias("hub"), "members")
+
+
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes (id) that no edge leads to."""
     return nodes.join(edges.select(F.col("target").alias("id")), "id", "left_anti")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import text as tx
-from ..operators import graph, incremental, links, relational, retrieval
+from ..operators import graph, incremental, links, records, relational, retrieval, symbols
 from ..operators.components import connected_components
+from ..sources import manifests
 from ..sources import text as files
 from ..streaming import events as ev
 
@@ -588,3 +589,149 @@ def event_sequence(s, d):
 def upsert_latest_wins(s, d):
     old = _t(s, d, "customer").select("c_custkey", "c_name")
     return relational.upsert(old, old.filter("c_custkey % 3 = 0").withColumn("c_name", F.upper("c_name")), ["c_custkey"])
+
+
+# --- symbols ------------------------------------------------------------------
+
+_SYMBOLS = """nodes AS (SELECT p_size AS project, p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 11 = 0 THEN 'file' ELSE 'method' END AS type, p_brand || '/' || p_type AS path FROM part),
+    wanted AS (SELECT p_partkey AS ask, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'red widget' END AS owner, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS ending FROM part WHERE p_partkey % 40 = 0)"""
+
+
+@query(
+    f"""WITH {_SYMBOLS}, held AS (SELECT a.project, a.id, b.id AS source, b.name AS holder FROM nodes a JOIN nodes b ON a.project = b.project AND a.id % 7 = b.id % 7 AND a.id <> b.id AND b.type <> 'file' AND b.id < 200),
+    f AS (SELECT ask, owner AS by, n.project, n.id FROM nodes n JOIN wanted w USING (name) WHERE type <> 'file' AND (ending IS NULL OR path = ending OR path LIKE '%/' || ending)),
+    h AS (SELECT ask, by, f.project, f.id, arg_min(holder, (CASE WHEN holder IS NOT DISTINCT FROM by THEN 0 ELSE 1 END, source)) AS owner FROM f LEFT JOIN held USING (project, id) GROUP BY 1, 2, 3, 4),
+    o AS (SELECT ask, project, id, owner, by IS NOT NULL AND owner IS NOT DISTINCT FROM by AS owned FROM h)
+    SELECT * FROM o WHERE owned OR ask NOT IN (SELECT ask FROM o WHERE owned)"""
+)
+def resolve_symbols(s, d):
+    part = _t(s, d, "part")
+    kind = F.when(F.col("p_partkey") % 11 == 0, "file").otherwise("method").alias("type")
+    nodes = part.select(F.col("p_size").alias("project"), F.col("p_partkey").alias("id"), F.concat(F.lit("."), "p_name", F.lit("()")).alias("name"), kind, F.concat_ws("/", "p_brand", "p_type").alias("file_path"))
+    a, b = nodes.select("project", "id", (F.col("id") % 7).alias("k")), nodes.select("project", F.col("id").alias("source"), (F.col("id") % 7).alias("k")).filter("source < 200")
+    edges = a.join(b, ["project", "k"]).filter("id != source").select("project", "source", F.col("id").alias("target"), F.lit("contains").alias("relation"))
+    names = F.when(F.col("p_partkey") % 2 == 0, ".red widget()").alias("owner"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).alias("file_path")
+    wanted = part.filter("p_partkey % 40 = 0").select(F.col("p_partkey").alias("ask"), F.col("p_name").alias("name"), *names)
+    return symbols.resolve_symbols(nodes, edges, wanted).withColumn("owner", F.regexp_replace("owner", r"^\.|\(\)$", ""))
+
+
+@query(
+    """WITH g AS (SELECT project, id, h.file_path, h.line FROM (SELECT l_suppkey AS project, l_partkey AS id, min((l_orderkey, l_returnflag, l_linenumber)) AS m FROM lineitem WHERE l_quantity < 10 GROUP BY 1, 2),
+        (SELECT NULL) z, LATERAL (SELECT m[2] AS file_path, m[3] AS line) h),
+    t AS (SELECT DISTINCT l_suppkey AS project, -(l_partkey % 50) AS id, l_returnflag AS file_path, l_linenumber AS line FROM lineitem WHERE l_quantity > 40
+          AND (l_suppkey, l_returnflag, l_linenumber) NOT IN (SELECT project, file_path, line FROM g))
+    SELECT project, id, 'graph' AS evidence, file_path, line, CAST(line AS VARCHAR) AS lines FROM g
+    UNION ALL SELECT project, id, 'text', min(file_path), min(line), array_to_string(list_sort(list(DISTINCT line)), ',') FROM t GROUP BY 1, 2"""
+)
+def merge_evidence(s, d):
+    lines = _t(s, d, "lineitem")
+    key = F.col("l_suppkey").alias("project"), F.col("l_returnflag").alias("file_path"), F.col("l_linenumber").alias("line")
+    hits = lines.filter("l_quantity < 10").select(*key, F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("rank"))
+    text = lines.filter("l_quantity > 40").select(*key, (-(F.col("l_partkey") % 50)).alias("id"))
+    return symbols.merge_evidence(hits, text).withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))
+
+
+@query(
+    """SELECT count(*) FILTER (WHERE o_orderkey % 3 <= 1) AS direct, count(*) FILTER (WHERE o_orderkey % 3 = 2) AS indirect, count(*) FILTER (WHERE o_custkey % 4 = 0) AS tests,
+    count(*) FILTER (WHERE o_custkey % 4 <> 0 AND o_orderstatus = 'F') AS public_api, count(*) FILTER (WHERE o_custkey % 4 <> 0 AND (o_orderpriority LIKE '1%' OR o_orderstatus = 'P')) AS configuration,
+    count(DISTINCT o_orderstatus || '/' || o_custkey) AS files FROM orders"""
+)
+def impact_counts(s, d):
+    hits = _t(s, d, "orders").select(
+        (F.col("o_orderkey") % 3).alias("hop"), F.substring("o_orderpriority", 1, 1).alias("relation"), F.concat_ws("/", "o_orderstatus", "o_custkey").alias("file_path"), (F.col("o_custkey") % 4 == 0).alias("test")
+    )
+    return symbols.impact_counts(hits, "^F/", "^P/", ["1"])
+
+
+@query(
+    f"""WITH {_PURCHASES}, one AS (SELECT DISTINCT target AS id FROM purchases WHERE source = 1),
+    two AS (SELECT p.source AS id, min(p.target) AS parent FROM purchases p JOIN one ON p.target = one.id WHERE p.source <> 1 GROUP BY 1)
+    SELECT CAST(1 AS BIGINT) AS id, 0 AS hop, CAST(NULL AS BIGINT) AS parent, CAST(NULL AS VARCHAR) AS way, CAST(NULL AS VARCHAR) AS relation, '1' AS chain, (SELECT count(*) FROM one) = 0 AS last
+    UNION ALL SELECT id, 1, 1, 'out', 'buys', '1 -[out buys]-> ' || id, id NOT IN (SELECT parent FROM two) FROM one
+    UNION ALL SELECT id, 2, parent, 'in', 'buys', '1 -[out buys]-> ' || parent || ' -[in buys]-> ' || id, true FROM two"""
+)
+def trace_chains(s, d):
+    start = s.range(1).select(F.lit(1).cast("long").alias("id"))
+    return symbols.trace(catalog.purchases(s, d).withColumn("relation", F.lit("buys")), start, 2)
+
+
+@query(
+    f"""WITH {_TRADES}, n AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM trades UNION ALL SELECT target FROM trades) GROUP BY 1)
+    SELECT id, degree, round(degree / (SELECT max(degree) FROM n), 6) AS size, degree / (SELECT max(degree) FROM n) >= 0.15 AS labelled FROM n"""
+)
+def relative_degrees(s, d):
+    return graph.relative_degrees(catalog.trades(s, d), 0.15).withColumn("size", F.round("size", 6))
+
+
+@query()
+def community_hubs(s, d):
+    trades = catalog.trades(s, d)
+    return graph.hubs(trades, graph.communities(trades, 5))
+
+
+# --- manifests and work records -----------------------------------------------
+
+
+@query(
+    """SELECT c_nationkey AS project, c_custkey || '/requirements.txt' AS path, 'pypi' AS kind, name, false AS provided FROM customer, LATERAL (SELECT unnest(['base-tools', 'lib-' || c_custkey % 10]) AS name)
+    WHERE c_custkey % 2 = 0 UNION ALL
+    SELECT c_nationkey, c_custkey || '/go.mod', 'go', unnest(['example.com/m' || c_custkey % 10, 'example.com/x' || c_custkey % 5]), unnest([true, false]) FROM customer WHERE c_custkey % 2 = 1"""
+)
+def manifest_names(s, d):
+    n = lambda k: (F.col("c_custkey") % k).cast("string")
+    pip = F.concat(F.lit("# tools\nBase_Tools>=1.0  # pinned\n-r other.txt\nhttps://example.com/a.zip\n\nlib."), n(10), F.lit("[fast]==2\n"))
+    go = F.concat(F.lit("module example.com/m"), n(10), F.lit("\n\ngo 1.22\nrequire (\n\texample.com/x"), n(5), F.lit(" v1.2.0\n\texample.com/y v0.1.0 // indirect\n)\n"))
+    even = F.col("c_custkey") % 2 == 0
+    path = F.concat_ws("/", "c_custkey", F.when(even, "requirements.txt").otherwise("go.mod")).alias("path")
+    return manifests.manifest_names(_t(s, d, "customer").select(F.col("c_nationkey").alias("project"), path, F.when(even, pip).otherwise(go).alias("text")))
+
+
+@query(
+    """WITH i AS (SELECT o_custkey AS roadmap, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position, o_orderstatus AS status FROM orders),
+    f AS (SELECT roadmap, min(item) AS item FROM i GROUP BY 1)
+    SELECT roadmap, item, position + (roadmap % 3 = 0)::INT AS position, CASE WHEN roadmap % 3 = 1 AND item IN (SELECT item FROM f) THEN 'done' ELSE status END AS status FROM i
+    UNION ALL SELECT roadmap, -roadmap - 1, 1, 'open' FROM f WHERE roadmap % 3 = 0"""
+)
+def roadmap_inserts(s, d):
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    items = _t(s, d, "orders").select(F.col("o_custkey").alias("roadmap"), F.col("o_orderkey").alias("item"), place.alias("position"), F.col("o_orderstatus").alias("status"))
+    first, ahead = items.groupBy("roadmap").agg(F.min("item").alias("item")).filter("roadmap % 3 < 2"), F.col("roadmap") % 3 == 0
+    return records.write_items(
+        items,
+        first.select(
+            "roadmap", F.when(ahead, -F.col("roadmap") - 1).otherwise(F.col("item")).alias("item"), F.when(ahead, F.lit(1)).cast("long").alias("position"), F.when(ahead, "open").otherwise("done").alias("status")
+        ),
+    )
+
+
+@query(
+    """WITH o AS (SELECT user_id AS id, count(*) AS hits, CASE WHEN user_id % 3 = 0 THEN 'fixed' ELSE 'planned' END AS status, min(ts) AS first_seen, max(ts) AS last_seen FROM events WHERE event_type = 'view' GROUP BY 1),
+    n AS (SELECT user_id AS id, (user_id % 2)::INT AS bump FROM events WHERE event_type = 'purchase' GROUP BY 1)
+    SELECT id, coalesce(hits, 0) + coalesce(bump, 0) AS hits, CASE WHEN bump = 1 AND status = 'fixed' THEN 'open' ELSE coalesce(status, 'open') END AS status,
+    coalesce(first_seen, TIMESTAMP '2024-02-01') AS first_seen, CASE WHEN bump = 1 OR last_seen IS NULL THEN TIMESTAMP '2024-02-01' ELSE last_seen END AS last_seen FROM o FULL JOIN n USING (id)"""
+)
+def suggestion_sightings(s, d):
+    e = _t(s, d, "events").withColumnRenamed("user_id", "id")
+    old = e.filter("event_type = 'view'").groupBy("id").agg(F.count(F.lit(1)).alias("hits"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    old = old.withColumns({"status": F.when(F.col("id") % 3 == 0, "fixed").otherwise("planned"), "queries": F.array(F.lit("q"))})
+    new = e.filter("event_type = 'purchase'").select("id").distinct().withColumns({"bump": (F.col("id") % 2).cast("int"), "status": F.lit(None).cast("string"), "query": F.lit("r")})
+    return records.count_sightings(old, new, F.lit("2024-02-01 00:00:00").cast("timestamp")).drop("queries")
+
+
+@query(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'done' ELSE 'open' END ELSE CASE o_orderstatus WHEN 'F' THEN 'done' ELSE 'open' END END AS status,
+    CASE WHEN CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 4 = 0 ELSE o_orderstatus = 'F' END THEN strftime(CASE WHEN o_orderstatus = 'F' THEN o_orderdate ELSE TIMESTAMP '2024-02-01' END, '%Y-%m-%d') END AS closed_at FROM orders"""
+)
+def issue_transitions(s, d):
+    o = _t(s, d, "orders")
+    done = F.col("o_orderstatus") == "F"
+    issues = o.select(F.col("o_orderkey").alias("id"), F.when(done, "done").otherwise("open").alias("status"), F.when(done, F.col("o_orderdate")).alias("closed_at"))
+    changes = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 0, "done").otherwise("open").alias("status"))
+    out = records.settle(issues, changes, F.lit("2024-02-01 00:00:00").cast("timestamp"), ["done"])
+    return out.withColumn("closed_at", F.date_format("closed_at", "yyyy-MM-dd"))
+
+
+@query("SELECT doc_id, NOT (doc_id IN (SELECT doc_id FROM labels)) AS missing FROM documents")
+def missing_ties(s, d):
+    key = F.lit(0).alias("project"), F.col("doc_id").alias("id")
+    return records.flag_missing(_t(s, d, "documents").select(*key), _t(s, d, "labels").select(*key)).select(F.col("id").alias("doc_id"), "missing")

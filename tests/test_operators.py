@@ -100,3 +100,58 @@ def test_streamed_bursts_equal_the_batch(spark, tmp_path):
     job = run.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     job.awaitTermination(120)
     assert rows(spark.table("bursts")) == rows(ev.bursts(batch, "k", "ts")) and spark.table("bursts").count() == 3
+
+
+def test_manifests_of_every_format(spark):
+    from lattica.sources import manifests
+
+    texts = {
+        "a/package.json": '{"name": "Web-App", "dependencies": {"left": "1"}}',
+        "vcpkg.json": '{"name": "v", "dependencies": ["zlib", {"name": "fmt"}]}',
+        "b/c/Cargo.toml": '[package]\nname = "crab"\nversion = "1"\n\n[dependencies]\nserde = "1"\ntokio = { version = "1" }\n\n[profile.release]\nlto = true\n',
+        "CMakeLists.txt": "project(Engine)\nfind_package(Boost REQUIRED)\n",
+        "d/requirements.txt": "A.b_c>=1\n# no\n-e .\n",
+        "e/go.mod": "module m.io/x\nrequire q.io/y v1.0.0\n",
+        "bad/package.json": "{",
+        "other.txt": "project(x)",
+        "null/go.mod": None,
+        "CMake/package.json": "",
+    }
+    rows = spark.createDataFrame([(1, p, t) for p, t in texts.items()], "project int, path string, text string")
+    got = {(r.path, r.kind, r.name, r.provided) for r in manifests.manifest_names(rows).collect()}
+    assert got == {
+        ("a/package.json", "npm", "web-app", True), ("vcpkg.json", "vcpkg", "v", True), ("vcpkg.json", "vcpkg", "zlib", False), ("vcpkg.json", "vcpkg", "fmt", False),
+        ("b/c/Cargo.toml", "cargo", "crab", True), ("b/c/Cargo.toml", "cargo", "serde", False), ("b/c/Cargo.toml", "cargo", "tokio", False),
+        ("CMakeLists.txt", "cmake", "engine", True), ("CMakeLists.txt", "cmake", "boost", False), ("d/requirements.txt", "pypi", "a-b-c", False),
+        ("e/go.mod", "go", "m.io/x", True), ("e/go.mod", "go", "q.io/y", False),
+    }
+
+
+def test_trace_stops_at_uses(spark):
+    from lattica.operators import symbols
+
+    edges = spark.createDataFrame([(1, 2, "calls"), (2, 3, "uses"), (3, 4, "calls"), (5, 2, "calls")], "source int, target int, relation string")
+    got = symbols.trace(edges, spark.createDataFrame([(1,)], "id int"), 5, ["uses"]).collect()
+    assert {r.id: (r.hop, r.chain, r.last) for r in got} == {
+        1: (0, "1", False), 2: (1, "1 -[out calls]-> 2", False), 3: (2, "1 -[out calls]-> 2 -[out uses]-> 3", True), 5: (2, "1 -[out calls]-> 2 -[in calls]-> 5", True),
+    }
+
+
+def test_records(spark):
+    from lattica.operators import records
+
+    plans = spark.createDataFrame([(1, "a"), (2, None)], "id int, project string")
+    prompts = spark.createDataFrame([(10, 1, "x"), (11, 2, "y"), (12, None, "z")], "id int, plan_id int, text string")
+    gone = spark.createDataFrame([(1,)], "id int")
+    left, kept, tied = records.drop_plans(gone, plans, prompts, prompts)
+    assert [r.id for r in left.collect()] == [2]
+    assert sorted(r.id for r in kept.collect()) == [11, 12]
+    assert {r.id: r.plan_id for r in tied.collect()} == {10: None, 11: 2, 12: None}
+    assert {r.id: r.project for r in records.inherit_scope(prompts, plans).collect()} == {10: "a", 11: None, 12: None}
+    assert [r.id for r in records.own_then_global(plans, "a").collect()] == [1, 2]
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, None)], "id int, tags array<string>")
+    assert [r.id for r in records.tagged(rows, ["a", "b"]).collect()] == [1]
+    assert records.tagged(rows, []).count() == 3
+    nodes = spark.createDataFrame([("p", 1, "own", "manual"), ("p", 2, None, None)], "project string, id int, summary string, summary_source string")
+    new = spark.createDataFrame([("p", 1, "m", "llm"), ("p", 2, "n", "llm")], nodes.schema)
+    assert {r.id: r.summary for r in records.write_summaries(nodes, new).collect()} == {1: "own", 2: "n"}
