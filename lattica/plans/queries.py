@@ -599,9 +599,9 @@ _SYMBOLS = """nodes AS (SELECT p_size AS project, p_partkey AS id, p_name AS nam
 
 @query(
     f"""WITH {_SYMBOLS}, held AS (SELECT a.project, a.id, b.id AS source, b.name AS holder FROM nodes a JOIN nodes b ON a.project = b.project AND a.id % 7 = b.id % 7 AND a.id <> b.id AND b.type <> 'file' AND b.id < 200),
-    f AS (SELECT ask, owner AS by, n.project, n.id FROM nodes n JOIN wanted w USING (name) WHERE type <> 'file' AND (ending IS NULL OR path = ending OR path LIKE '%/' || ending)),
-    h AS (SELECT ask, by, f.project, f.id, arg_min(holder, (CASE WHEN holder IS NOT DISTINCT FROM by THEN 0 ELSE 1 END, source)) AS owner FROM f LEFT JOIN held USING (project, id) GROUP BY 1, 2, 3, 4),
-    o AS (SELECT ask, project, id, owner, by IS NOT NULL AND owner IS NOT DISTINCT FROM by AS owned FROM h)
+    f AS (SELECT ask, owner AS asked, n.project, n.id FROM nodes n JOIN wanted w USING (name) WHERE type <> 'file' AND (ending IS NULL OR path = ending OR path LIKE '%/' || ending)),
+    h AS (SELECT ask, asked, f.project, f.id, arg_min(holder, (CASE WHEN holder IS NOT DISTINCT FROM asked THEN 0 ELSE 1 END, source)) AS owner FROM f LEFT JOIN held USING (project, id) GROUP BY 1, 2, 3, 4),
+    o AS (SELECT ask, project, id, owner, asked IS NOT NULL AND owner IS NOT DISTINCT FROM asked AS owned FROM h)
     SELECT * FROM o WHERE owned OR ask NOT IN (SELECT ask FROM o WHERE owned)"""
 )
 def resolve_symbols(s, d):
