@@ -616,7 +616,7 @@ def resolve_symbols(s, d):
 
 
 @query(
-    """WITH g AS (SELECT project, id, h.file_path, h.line FROM (SELECT l_suppkey AS project, l_partkey AS id, min((l_orderkey, l_returnflag, l_linenumber)) AS m FROM lineitem WHERE l_quantity < 10 GROUP BY 1, 2),
+    """WITH g AS (SELECT project, id, h.file_path, h.line FROM (SELECT l_suppkey AS project, l_partkey AS id, min((l_orderkey, l_returnflag, l_linenumber)) AS m FROM lineitem WHERE l_quantity < 2 GROUP BY 1, 2),
         (SELECT NULL) z, LATERAL (SELECT m[2] AS file_path, m[3] AS line) h),
     t AS (SELECT DISTINCT l_suppkey AS project, -(l_partkey % 50) AS id, l_returnflag AS file_path, l_linenumber AS line FROM lineitem WHERE l_quantity > 40
           AND (l_suppkey, l_returnflag, l_linenumber) NOT IN (SELECT project, file_path, line FROM g))
@@ -626,7 +626,7 @@ def resolve_symbols(s, d):
 def merge_evidence(s, d):
     lines = _t(s, d, "lineitem")
     key = F.col("l_suppkey").alias("project"), F.col("l_returnflag").alias("file_path"), F.col("l_linenumber").alias("line")
-    hits = lines.filter("l_quantity < 10").select(*key, F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("rank"))
+    hits = lines.filter("l_quantity < 2").select(*key, F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("rank"))
     text = lines.filter("l_quantity > 40").select(*key, (-(F.col("l_partkey") % 50)).alias("id"))
     return symbols.merge_evidence(hits, text).withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))
 
