@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.text import cosine, lexical_words
 
@@ -84,19 +86,23 @@ def round_robin(rows: DataFrame, group: str, *order: Column) -> DataFrame:
 def pack(rows: DataFrame, key: str, order: str, cost: str, budget: int) -> DataFrame:
     """``rows`` with ``packed``: each key takes its rows in order while they fit, and skips those that do not.
 
-    A key is one packet of an answer, so its rows are few.
+    A task reads its rows sorted and carries one key and what is left of its budget, so a
+    long key costs no memory; its rows are one task's, as each depends on those before.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, out = budget, []
-        group = group.sort_values(order, kind="stable")
-        for price in group[cost]:
-            out.append(bool(price <= left))
-            left -= price if price <= left else 0
-        return group.assign(packed=out)
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.groupBy(key).applyInPandas(run, f"{fields}, packed boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, budget
+        for batch in batches:
+            out = []
+            for name, price in zip(batch.column(key).to_pylist(), batch.column(cost).to_pylist(), strict=True):
+                if name != last and (name == name or last == last):  # NaN is one key
+                    last, left = name, budget
+                out.append(price is not None and price <= left)
+                left -= price if out[-1] else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], [*batch.schema.names, "packed"])
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, F.asc_nulls_last(order))
+    return dealt.mapInArrow(run, StructType([*rows.schema.fields, StructField("packed", BooleanType())]))
 
 
 def chunk_lines(texts: DataFrame, id_col: str, text_col: str, most: int = 1500, overlap: int = 5) -> DataFrame:
