@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.text import cosine, lexical_words
+from ..session import stage
 
 #: Document frequencies stop here; the constant of rank fusion.
 COMMON, FUSION = 2000, 60
@@ -78,9 +79,20 @@ def rerank(rows: DataFrame, bonuses: dict[str, tuple[Column, float]], unit: floa
 
 
 def round_robin(rows: DataFrame, group: str, *order: Column) -> DataFrame:
-    """``rows`` with ``place`` and ``total`` in their group: sorted by place, groups take turns."""
-    w = Window.partitionBy(group)
-    return rows.withColumn("place", F.row_number().over(w.orderBy(*order)).cast("long")).withColumn("total", F.count(F.lit(1)).over(w))
+    """``rows`` with ``place`` and ``total`` in their group: sorted by place, groups take turns.
+
+    Rows are dealt by ranges of the order, so a long group is spread over tasks: a place is
+    the group's rows in the ranges before and the place within the range.
+    """
+    dealt = stage(rows.repartitionByRange(F.col(group), *order).withColumn("_range", F.spark_partition_id()), "turns")
+    parts = dealt.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy(group)  # a row a range
+    before = F.sum("_rows").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select(F.col(group).alias("_group"), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_start"), F.sum("_rows").over(whole).alias("total"))
+    within = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    placed = dealt.withColumn("_within", within)
+    placed = placed.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_r")))
+    return placed.select(*rows.columns, (F.col("_start") + F.col("_within")).alias("place"), "total")
 
 
 def pack(rows: DataFrame, key: str, order: str, cost: str, budget: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from lattica.operators import retrieval
 
 
@@ -24,3 +26,17 @@ def test_packing_streams_a_long_key(spark):
         assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
     finally:
         spark.conf.set(size, before)
+
+
+def test_turns_of_a_long_group(spark):
+    """Places and totals as by hand; no window sees a group whole."""
+    rnd = random.Random(4)
+    data = [(n, rnd.choice(["hot", "hot", "hot", "b", None]), rnd.choice([None, 1, 2, 3])) for n in range(3000)]
+    df = spark.createDataFrame(data, "id int, g string, size int").repartition(5)
+    want = []
+    for g in ("hot", "b", None):
+        own = sorted((r for r in data if r[1] == g), key=lambda r: (-(r[2] or 0), r[0]))
+        want += [(*r, n, len(own)) for n, r in enumerate(own, 1)]
+    got = retrieval.round_robin(df, "g", F.desc("size"), F.col("id"))
+    assert "_range" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
