@@ -203,7 +203,14 @@ def near_dedup(
         kind = rows.schema["id"].dataType.simpleString()
         found = rows.sparkSession.createDataFrame([], f"id {kind}, links long, root {kind}")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.filter("id != root"), "id", "root").select(F.col("node").alias("id"), "component")
+    # An id of several vectors joins their classes, also where it is not searched itself.
+    vectors_of = rows.filter("fine").select("id", "label", "embedding")
+    several = vectors_of.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
+    vectors_of = vectors_of.join(several, "id", "left_semi").distinct()
+    firsts = classes.select("label", "embedding", F.col("id").alias("first"))
+    bridges = vectors_of.join(firsts, ["label", "embedding"]).select("id", F.col("first").alias("root"))
+    linked = found.filter("id != root").select("id", "root").union(bridges)
+    parts = connected_components(linked, "id", "root").select(F.col("node").alias("id"), "component")
     results = classes.select("label", "embedding", "copies", "id").join(links, "id", "left").join(parts, "id", "left")
     results = results.select(
         F.hash("label", "embedding").alias("check"), F.col("label").alias("_label"), F.col("embedding").alias("_embedding"),

@@ -261,8 +261,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     many = many.withColumn("check", F.hash("list")).join(asking.withColumn("check", F.hash("list")), ["list", "check"]).drop("check")
     links = stage(links.union(more).union(_linked_blocks(many, texts)), "links")
 
-    found = connected_components(links).select(F.col("node").alias("first"), "component", F.hash("node").alias("check"))
     keys = ["n", "d1", "d2"]
+    # An id of several texts joins their classes, also where it is not searched itself.
+    texts_of = profiles.filter("n > 0 and id is not null").select("id", *keys)
+    several = texts_of.groupBy("id").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("id")
+    bridges = texts_of.join(several, "id", "left_semi").distinct().join(classes, keys).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    found = connected_components(links.union(bridges)).select(F.col("node").alias("first"), "component", F.hash("node").alias("check"))
     own = profiles.withColumn("check", F.hash(*keys)).join(classes.withColumn("check", F.hash(*keys)), [*keys, "check"], "left").drop("check")
     own = own.withColumn("check", F.hash("first")).join(found, ["first", "check"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "first", "id"))
