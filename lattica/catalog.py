@@ -65,7 +65,11 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """provided names (project, kind, name): a supplier's nation provides the parts it delivers, by brand and size."""
+    """provided names (project, kind, name): a supplier's nation provides parts that it delivers, by brand.
+
+    Not all of them: only where part and nation leave the same rest by 7, an invented rule
+    that gives names few providers. Other delivered parts count as not provided.
+    """
     lines, supplier, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
     return (
         lines.select("l_partkey", "l_suppkey")
