@@ -14,57 +14,38 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .text import one_spaced, whole
 
-#: Bits of a place: rows of a partition, and blocks of a text; partitions have the rest.
-ROW_BITS, BLOCK_BITS = 24, 17
-NO_NEIGHBOUR = -(2**63)
-
-
-def _place(row: Column, index: Column) -> Column:
-    return F.when(index < 2**BLOCK_BITS, F.shiftleft(row, BLOCK_BITS) + index).otherwise(
-        F.raise_error(F.lit("a text has too many blocks; raise block_chars"))
-    )
-
-
-def _row() -> Column:
-    """A number for each input row that leaves BLOCK_BITS free."""
-    given = F.monotonically_increasing_id()
-    task, row = F.shiftright(given, 33), given.bitwiseAND(F.lit(2**33 - 1))
-    return F.when(
-        (row < 2**ROW_BITS) & (task < 2 ** (63 - ROW_BITS - BLOCK_BITS)),
-        F.shiftleft(task, ROW_BITS) + row,
-    ).otherwise(F.raise_error(F.lit("a partition has too many rows")))
+NO_NEIGHBOUR = -1
 
 
 def _named(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """``parts`` with an integer ``name`` for each distinct value of ``keys``.
+    """``parts`` (row, index, place, ...) with an integer ``name`` for each distinct value of ``keys``.
 
-    Counting is combined map-side, so a key that many rows share costs one row a
-    task. Only keys met twice are joined back; the others are named after their own
-    place, below zero so that the two kinds never meet. The check column makes both
-    sides of the join shuffles that AQE can split when a key is hot.
+    Every part has a place of its own, an integer. A value is named after the smallest place
+    where it stands, so two values never share a name. Counting is combined map-side, so a
+    key that many rows share costs one row a task. Only keys met twice are joined back; the
+    others keep their own place. The check column makes both sides of the join shuffles that
+    AQE can split when a key is hot.
     """
-    place = _place(F.col("row"), F.col("index"))
     check = F.hash(*keys)
     names = (
         parts.groupBy(*keys)
-        .agg(F.min(place).alias("name"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("place").alias("name"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
         .select(*keys, "name", check.alias("check"))
     )
     own = parts.withColumn("check", check)
-    return own.join(names, [*keys, "check"], "left").withColumn(
-        "name", F.coalesce("name", -1 - place)
-    ).drop("check", *keys)
+    return own.join(names, [*keys, "check"], "left").withColumn("name", F.coalesce("name", "place")).drop("check", *keys)
 
 
 def document_names(docs: DataFrame, id_col: str, text: Column, block_chars: int = 8192) -> DataFrame:
     """One row per row of ``docs``: row, id, sha (of ``text``), n_blocks and name.
 
-    Two rows have equal (n_blocks, name) exactly if their texts are equal.
+    Two rows have equal (n_blocks, name) exactly if their texts are equal. Rows and blocks are
+    numbered by partition and place, so ``docs`` must read alike each time, as tables do.
     """
     cut = docs.select(F.col(id_col).alias("id"), text.alias("text")).select(
         "id",
-        _row().alias("row"),
+        F.monotonically_increasing_id().alias("row"),
         F.unhex(F.sha2("text", 256)).alias("sha"),
         F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)).alias("blocks"),
     )
@@ -73,7 +54,7 @@ def document_names(docs: DataFrame, id_col: str, text: Column, block_chars: int
         "id", "row", "sha", F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("index", "block")
     )
     first = F.col("index") == 0  # what belongs to the document travels with its first block
-    blocks = blocks.withColumns({"sha": F.when(first, F.col("sha")), "id": F.when(first, F.col("id"))})
+    blocks = blocks.withColumns({"sha": F.when(first, F.col("sha")), "id": F.when(first, F.col("id")), "place": F.monotonically_increasing_id()})
     level = stage(_named(blocks, ["block"]), "block-names")
     most = level.agg(F.max("n_blocks")).first()[0] or 1
     done, width = [level.filter("n_blocks = 1")], 1
@@ -82,6 +63,7 @@ def document_names(docs: DataFrame, id_col: str, text: Column, block_chars: int
         left = F.col("index") % 2 == 0
         pairs = open_.groupBy("row", F.shiftright("index", 1).alias("index")).agg(
             F.max("n_blocks").alias("n_blocks"),
+            F.min("place").alias("place"),
             F.max("id").alias("id"),
             F.max("sha").alias("sha"),
             F.max(F.when(left, F.col("name"))).alias("a"),
