@@ -2,14 +2,13 @@
 
 Texts are cut by the tokenizer's pattern. New pieces are merged together: pieces of one
 length class form a padded matrix of ids, and in each round every row merges its leftmost
-pair of least rank, found in a hash table of pairs, and closes the gap. Rows that have no
-pair left leave the matrix.
+pair of least rank, found in a hash table of pairs, with all others of that rank that stand
+clear of it, and closes the gaps. Rows that have no pair left leave the matrix.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -25,10 +24,10 @@ from .batches import slices
 #: Unicode's White_Space, which \s means to the tokenizer's library.
 WHITE = "\t-\r \x85\xa0  -     　"
 NONE = np.int64(2**62)
-#: Pieces longer than this are merged one by one with a heap: a matrix row would cost its square.
-MATRIX_BYTES = 1024
-#: Chunks whose ids a task remembers.
-REMEMBERED = 400_000
+#: Cells of a padded matrix; a longer piece has one of its own.
+CELLS = 4_000_000
+#: Chunks, and characters of chunks, whose ids a task remembers.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 16_000_000
 
 
 class Vocabulary:
@@ -52,6 +51,10 @@ class Vocabulary:
         ]
         keys = np.array([k for k, _ in pairs], dtype=np.uint64)
         values = np.array([v for _, v in pairs], dtype=np.int64)
+        # Ids of which a pair makes something of lower rank: such a merge may come before others of its own rank.
+        self.sinks = np.zeros(size, dtype=bool)
+        for half in (keys >> np.uint64(32), keys & np.uint64(2**32 - 1)):
+            self.sinks[half[half.astype(np.int64) > values].astype(np.int64)] = True
         self.bits = max(4, int(len(pairs) * 2).bit_length())
         self.keys = np.full(1 << self.bits, 2**64 - 1, dtype=np.uint64)
         self.values = np.full(1 << self.bits, NONE, dtype=np.int64)
@@ -92,12 +95,9 @@ class Vocabulary:
         sizes = np.array([len(p) for p in pieces])
         classes = np.ceil(np.log2(np.maximum(sizes, 2))).astype(int)
         for c in np.unique(classes):
-            rows = np.flatnonzero((classes == c) & (sizes <= MATRIX_BYTES))
-            for part in range(0, len(rows), step := max(1, 4_000_000 >> int(c))):
+            rows = np.flatnonzero(classes == c)
+            for part in range(0, len(rows), step := max(1, CELLS >> int(c))):
                 self._merge_class(pieces, rows[part : part + step], found)
-        for i in np.flatnonzero(sizes > MATRIX_BYTES):
-            ids = self._merge_long(pieces[i])
-            found.append((np.array([i]), np.array([len(ids)]), ids))
         starts, counts = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
         at = 0
         for rows, n, ids in found:
@@ -117,45 +117,48 @@ class Vocabulary:
         pair = filled[:, 1:]
         ranks[:, :-1][pair] = self.pair_ranks(ids[:, :-1][pair], ids[:, 1:][pair])
         while len(rows):
-            at = ranks.argmin(axis=1)
-            best = ranks[np.arange(len(rows)), at]
-            going = best < NONE
-            over = ~going
-            found.append((rows[over], sizes[over], ids[over][column < sizes[over][:, None]]))
-            rows, sizes, at, best = rows[going], sizes[going] - 1, at[going], best[going]
-            if not len(rows):
-                return
-            move = np.minimum(column + (column > at[:, None]), width - 1)
-            ids, ranks = np.take_along_axis(ids[going], move, 1), np.take_along_axis(ranks[going], move, 1)
-            line = np.arange(len(rows))
-            ids[line, at] = best
-            ranks[line, sizes - 1] = NONE
-            after = np.flatnonzero(at < sizes - 1)
-            ranks[after, at[after]] = self.pair_ranks(best[after], ids[after, at[after] + 1])
-            before = np.flatnonzero(at > 0)
-            ranks[before, at[before] - 1] = self.pair_ranks(ids[before, at[before] - 1], best[before])
-
-    def _merge_long(self, piece: bytes) -> np.ndarray:
-        """As a row of the matrix, by a heap of pairs and links between neighbours."""
-        ids = self.first[np.frombuffer(piece, dtype=np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        text: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
-        heap = [(r, i, text[i] + text[i + 1]) for i in range(n - 1) if (r := self.ranks.get(text[i] + text[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, both = heapq.heappop(heap)
-            j = after[i]
-            if text[i] is None or j >= n or text[i] + text[j] != both:
-                continue
-            text[i], text[j], ids[i] = both, None, rank
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and after[k] < n and (r := self.ranks.get(t := text[k] + text[after[k]])) is not None:
-                    heapq.heappush(heap, (r, k, t))
-        return np.array([x for x, t in zip(ids, text, strict=True) if t is not None], dtype=np.int64)
+            best = ranks.min(axis=1)
+            over = best == NONE
+            if over.any():
+                found.append((rows[over], sizes[over], ids[over][np.arange(ids.shape[1]) < sizes[over][:, None]]))
+                rows, sizes, best, ids, ranks = rows[~over], sizes[~over], best[~over], ids[~over], ranks[~over]
+                if not len(rows):
+                    return
+            row, at = self._first_pairs(ranks == best[:, None], best)
+            ids[row, at] = best[row]
+            # The right halves go, and all behind them closes up.
+            kept = np.arange(ids.shape[1]) < sizes[:, None]
+            kept[row, at + 1] = False
+            gone = np.bincount(row, minlength=len(rows))
+            before = np.zeros(len(row), dtype=np.int64)  # merges of the same row to the left
+            before[1:] = np.where(row[1:] == row[:-1], 1, 0)
+            before = np.arange(len(row)) - np.maximum.accumulate(np.where(before == 0, np.arange(len(row)), 0))
+            sizes = sizes - gone
+            now = np.arange(max(2, int(sizes.max()))) < sizes[:, None]
+            closed_ids, closed_ranks = np.zeros(now.shape, dtype=np.int64), np.full(now.shape, NONE)
+            closed_ids[now], closed_ranks[now] = ids[kept], ranks[kept]
+            ids, ranks, at = closed_ids, closed_ranks, at - before
+            ranks[np.arange(len(rows)), sizes - 1] = NONE
+            left = at > 0
+            ranks[row[left], at[left] - 1] = self.pair_ranks(ids[row[left], at[left] - 1], ids[row[left], at[left]])
+            right = at < sizes[row] - 1
+            ranks[row[right], at[right]] = self.pair_ranks(ids[row[right], at[right]], ids[row[right], at[right] + 1])
+
+    def _first_pairs(self, least: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of the leftmost of each row's least pairs, and of all that do not overlap one to their left where that is the same.
+
+        If no pair with the merged id ranks below it, a merge makes no pair as low as itself,
+        so the next rounds would merge just these: a round does them at once.
+        """
+        row, at = np.nonzero(least)
+        place = np.arange(len(row))
+        first = np.ones(len(row), dtype=bool)
+        first[1:] = row[1:] != row[:-1]
+        new = first.copy()
+        new[1:] |= at[1:] != at[:-1] + 1
+        even = (place - np.maximum.accumulate(np.where(new, place, 0))) % 2 == 0  # of overlapping ones every second
+        chosen = np.where(self.sinks[best[row]], first, even)
+        return row[chosen], at[chosen]
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of consecutive runs of ``ids``, of ``counts`` ids each."""
@@ -190,6 +193,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.ids = np.empty(0, dtype=np.int32)
         self.starts = np.empty(0, dtype=np.int64)
         self.counts = np.empty(0, dtype=np.int64)
@@ -204,6 +208,7 @@ class Encoder:
         per_chunk = np.array([len(ps) for ps in cut])
         owner = np.repeat(np.arange(len(chunks)), per_chunk)
         counts = np.bincount(owner, weights=sizes[flat_], minlength=len(chunks)).astype(np.int64)
+        self.chars += sum(map(len, chunks))
         self.place.update(zip(chunks, range(len(self.place), len(self.place) + len(chunks)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
@@ -213,7 +218,7 @@ class Encoder:
         """All ids, and how many each text has."""
         chunks = [self.chunks(t) for t in texts]
         if new := list(set().union(*chunks).difference(self.place)):
-            if len(self.place) > REMEMBERED:
+            if len(self.place) > REMEMBERED or self.chars > REMEMBERED_CHARS:
                 self._forget()
                 new = list(set().union(*chunks))
             self._learn(new)
