@@ -4,22 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Characters of text that a slice holds at most, but for one longer document.
-SLICE_CHARS = 2_000_000
+#: Bytes of text that a slice holds at most, but for one longer document.
+SLICE_BYTES = 2_000_000
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: int, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """(rows, their texts), null as empty; ``text`` is the column's place."""
+def slices(batches: Iterable[pa.RecordBatch], text: int, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """(rows, their texts), null as empty; ``text`` is the column's place. Only a slice's texts become Python strings."""
     for batch in batches:
-        values = batch.column(text).to_pylist()
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
         start = held = 0
-        for i, value in enumerate(values):
-            size = len(value) if value else 0
-            if i > start and held + size > chars:
-                yield batch.slice(start, i - start), [v or "" for v in values[start:i]]
-                start, held = i, 0
-            held += size
-        if start < len(values):
-            yield batch.slice(start), [v or "" for v in values[start:]]
+        while start < len(ends):
+            stop = max(start + 1, int(np.searchsorted(ends, held + size, "right")))
+            part = batch.slice(start, stop - start)
+            yield part, [v or "" for v in part.column(text).to_pylist()]
+            start, held = stop, int(ends[stop - 1])

@@ -31,7 +31,8 @@ def line_dedup(
     except those of the smallest id. Text that is null counts as one empty line and
     becomes empty. Rows that repeat an id are one document: they keep or lose a line
     together. A null id is larger than any other. All other columns stay as they are,
-    whatever their names; an empty table gives an empty one.
+    whatever their names, but n_lines and n_dropped of ``docs`` give way to the counts; an
+    empty table gives an empty one.
 
     Keys travel as sha-256 digests; documents per digest are counted after a distinct, so
     a line that a third of all documents hold is pre-aggregated in every task. A row is
@@ -68,7 +69,7 @@ def line_dedup(
     none = F.col("_dropped").isNull()
     kept = F.when(none, whole(text)).otherwise(F.array_join(_kept_lines(F.col("_lines"), F.col("_dropped")), "\n"))
     return out.select(
-        *((kept if c == text_col else F.col(n)).alias(c) for c, n in names.items()),
+        *((kept if c == text_col else F.col(n)).alias(c) for c, n in names.items() if c not in ("n_lines", "n_dropped")),
         F.size("_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -254,7 +254,8 @@ def trained() -> Field:
     return Field.fit(_training_lines())
 
 
-REMEMBERED = 300_000
+#: Words, and characters of words, that a task remembers.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 8_000_000
 #: Cells of a padded matrix of lines.
 CELLS = 400_000
 
@@ -266,16 +267,18 @@ class Decoder:
         self.field = field
         self.steps = field.steps.astype(np.float32)
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.table = np.empty((0, 3, len(LABELS)), dtype=np.float32)
 
     def labels(self, lines: list[list[str]]) -> list[np.ndarray]:
         """The best labels of each line."""
         if new := list(set().union(*lines).difference(self.place)):
-            if len(self.place) > REMEMBERED:
-                self.place, self.table = {}, self.table[:0]
+            if len(self.place) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+                self.place, self.table, self.chars = {}, self.table[:0], 0
                 new = list(set().union(*lines))
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.table = np.concatenate([self.table, self.field.emissions(new)])
+            self.chars += sum(map(len, new))
         sizes = np.array([len(x) for x in lines])
         at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(lines)), dtype=np.int64, count=int(sizes.sum()))
         own = self.table[at, 0]

@@ -28,7 +28,8 @@ STATS = (
     "symbols", "upper", "digits", "ends", "mean_word", "distinct", "twice", "lines", "line_words", "same_lines", "longest", "length",
 )
 FEATURES = BUCKETS + BINS * len(STATS)
-REMEMBERED = 300_000
+#: Words, and characters of words, that a task remembers.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 8_000_000
 
 # What a word adds to the sums: its bucket, characters, symbols, capitals, digits, punctuation at the end.
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()-]")
@@ -52,16 +53,18 @@ class Features:
     def __init__(self) -> None:
         self.place: dict[str, int] = {}
         self.table = np.empty((0, 6), dtype=np.int64)
+        self.chars = 0
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, column, value) of all non-zero features, by row."""
         words = [WORDS(t) for t in texts]
         if new := list(set().union(*words).difference(self.place)):
-            if len(self.place) > REMEMBERED:
-                self.place, self.table = {}, self.table[:0]
+            if len(self.place) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+                self.place, self.table, self.chars = {}, self.table[:0], 0
                 new = list(set().union(*words))
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.table = np.concatenate([self.table, np.array(list(map(_word, new)), dtype=np.int64)])
+            self.chars += sum(map(len, new))
         n = np.array([len(w) for w in words], dtype=np.int64)
         at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(n.sum()))
         doc = np.repeat(np.arange(len(texts)), n)
@@ -180,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Which rows, if there are more, follows from a hash of the id, so they are a random but
     fixed sample. Labels that are null or of no document are ignored; ids labelled twice
-    take their rounded mean. The driver gets hashed features of these rows only.
+    take their rounded mean, and of rows that repeat an id the least text counts. The driver
+    gets hashed features of these rows only.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).dropna()
     known = known.filter(~held_out("id")).groupBy("id").agg(F.round(F.avg("label")).alias("label"))
@@ -195,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 ["id", "label", "columns", "x"],
             )
 
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    sample = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(known), "id")
+    sample = sample.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     kind = docs.schema[id_col].dataType.simpleString()
     found = sample.mapInArrow(features, f"id {kind}, label double, columns array<int>, x array<float>").toArrow()
     order = np.lexsort([[str(x) for x in found["id"].to_pylist()]]) if len(found) else np.empty(0, dtype=int)
