@@ -3,10 +3,14 @@
 Every window of words has an anchor, the least hash of the short word runs in it, so equal
 windows have equal anchors wherever they stand. Windows are compared under their anchor, and
 only anchors of two or more documents count. The reference are the passages of the smallest
-documents holding a window that others repeat; an anchor's reference is a shard. Shards are
-too many to broadcast to all executors, as they grow with the corpus: each goes by a join to
-the documents' segments of its anchor, which Spark splits where an anchor is hot. There an
-automaton of the passages gives, word by word, the longest match and its smallest document.
+documents holding a window that others repeat; an anchor's reference is one shard, or several
+of bounded size. Shards are too many to broadcast to all executors, as they grow with the
+corpus: each is sent once to the task that streams the documents' segments of its anchor, and
+hot anchors to several tasks. There an automaton of the passages gives, word by word, the
+longest match and its smallest document.
+
+Which windows repeat is counted by their hashes before, to keep the reference small: taken
+whole, all segments of a hot anchor would have to run through automata of each other.
 """
 
 from __future__ import annotations
@@ -18,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import discard, stage
 from .batches import slices
 from .shingles import Rolling, Words, window_starts, words_of
 
 #: Words of the runs whose least hash is a window's anchor.
 RUN = 10
-#: Passages of an anchor that make one automaton.
-BLOCK = 128
+#: Words of an anchor's passages that make one automaton, and segments that one task streams through it.
+BLOCK, PART = 16_384, 2_048
 
 
 class Automaton:
@@ -195,7 +199,7 @@ def _windows(segments: DataFrame, width: int) -> DataFrame:
 
 
 def _passages(owned: DataFrame, width: int) -> DataFrame:
-    """(anchor, owner, passage): maximal runs of the windows that a segment's document owns."""
+    """(anchor, owner, words, n): maximal runs of the windows that a segment's document owns, of n words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches, 2):
@@ -203,7 +207,7 @@ def _passages(owned: DataFrame, width: int) -> DataFrame:
             doc, start = window_starts(words.sizes, width)
             found = Rolling(words.hashes)(start, width).view(np.int64)
             stops = np.searchsorted(doc, np.arange(len(texts) + 1))
-            at, passages = [], []
+            at, passages, sizes = [], [], []
             ends, mine = rows.column(3).value_lengths().to_numpy().cumsum(), rows.column(3).flatten().to_numpy()
             for i in range(len(texts)):
                 own = slice(stops[i], stops[i + 1])
@@ -211,47 +215,79 @@ def _passages(owned: DataFrame, width: int) -> DataFrame:
                 for part in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
                     if len(part):
                         at.append(i)
-                        passages.append(words.run(part[0], part[-1] - part[0] + width))
+                        sizes.append(part[-1] - part[0] + width)
+                        passages.append(words.run(part[0], sizes[-1]))
             chosen = rows.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1), pa.array(passages, pa.string())], ["anchor", "owner", "passage"])
+            yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1), pa.array(passages, pa.string()), pa.array(sizes, pa.int64())], ["anchor", "owner", "words", "n"])
 
     kind = owned.schema["id"].dataType.simpleString()
-    return owned.select("anchor", "id", "words", "windows").mapInArrow(run, f"anchor long, owner {kind}, passage string")
+    return owned.select("anchor", "id", "words", "windows").mapInArrow(run, f"anchor long, owner {kind}, words string, n long")
 
 
-def _streamed(pairs: DataFrame, width: int) -> DataFrame:
-    """(id, row, spans): what the automata of shards find in the segments beside them.
+def _dealt(segments: DataFrame, passages: DataFrame) -> DataFrame:
+    """Passages and segments of each (anchor, block, part), passages first.
 
-    ``pairs`` has a row for each segment and each block of passages of its anchor. A block
-    becomes an automaton where it is first met; equal segments run through it once.
+    A block is a shard of an anchor's passages, of BLOCK words in the mean; a part takes some
+    of its segments, PART in the mean. Most anchors have one of each. The others are few; Spark
+    broadcasts their counts if their table is small, and else joins.
+    """
+    sizes = passages.groupBy("anchor").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    asks = segments.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    crowded = stage(sizes.join(asks, "anchor").filter("blocks > 1 or parts > 1"), "crowded-anchors")
+    one = F.lit(1).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(n, one) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("words"), F.coalesce(n, one))
+    rows = [
+        segments.join(crowded, "anchor", "left").withColumn("part", mine("parts")).withColumn("block", every("blocks")).withColumn("segment", F.lit(True)),
+        passages.join(crowded, "anchor", "left").withColumn("block", mine("blocks")).withColumn("part", every("parts"))
+        .select("*", F.col("owner").alias("id"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("start"), F.lit(False).alias("segment")),
+    ]
+    columns = ["anchor", "block", "part", "segment", "words", "id", "row", "start"]
+    both = rows[0].select(*columns).unionByName(rows[1].select(*columns))
+    return both.repartition("anchor", "block", "part").sortWithinPartitions("anchor", "block", "part", "segment", "words")
+
+
+#: Automata that tasks of this process have built, for tests.
+BUILT = [0]
+
+
+def _streamed(rows: DataFrame, width: int) -> DataFrame:
+    """(id, row, spans): what the automaton of each (anchor, block, part) finds in the segments behind it.
+
+    Passages come first and become one automaton; segments stream through it one by one, and
+    equal ones, which are neighbours, run through it once.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, shard, known = None, None, {}
-        for batch in batches:
-            blocks = batch.column(4)
-            keys = list(zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True))
-            ids, rows, starts, words = (batch.column(i).to_pylist() for i in range(4))
+        last, passages, shard, low, known = None, [], None, None, (None, [])
+        for batch, words in slices(batches, 4):
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            segment, ids, rows, starts = (batch.column(i).to_pylist() for i in (3, 5, 6, 7))
             at, spans = [], []
             for i, key in enumerate(keys):
                 if key != last:
-                    last, known = key, {}
-                    first: dict[str, int] = {}
-                    for x in blocks[i].as_py():
-                        first[x["passage"]] = min(x["owner"], first.get(x["passage"], x["owner"]))
-                    shard = Automaton((o, p.split(" ")) for p, o in first.items())
-                if words[i] not in known:
-                    known[words[i]] = shard.windows(words[i].split(" "), width)
-                if found := covered(known[words[i]], ids[i], width):
+                    last, passages, shard, known = key, [], None, (None, [])
+                if not segment[i]:
+                    passages.append((ids[i], words[i].split(" ")))
+                    continue
+                if not passages:
+                    continue
+                if shard is None:
+                    shard, low = Automaton(passages), min(owner for owner, _ in passages)
+                    BUILT[0] += 1
+                if low >= ids[i]:
+                    continue
+                if words[i] != known[0]:
+                    known = words[i], shard.windows(words[i].split(" "), width)
+                if found := covered(known[1], ids[i], width):
                     at.append(i)
                     spans.append([{"a": starts[i] + a, "b": starts[i] + b} for a, b in found])
             kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
             chosen = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1), pa.array(spans, kind)], ["id", "row", "spans"])
+            yield pa.RecordBatch.from_arrays([chosen.column(5), chosen.column(6), pa.array(spans, kind)], ["id", "row", "spans"])
 
-    kind = pairs.schema["id"].dataType.simpleString()
-    ordered = pairs.select("id", "row", "start", "words", "passages", "anchor", "block")
-    return ordered.mapInArrow(run, f"id {kind}, row long, spans array<struct<a: long, b: long>>")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, row long, spans array<struct<a: long, b: long>>")
 
 
 def _without(docs: DataFrame, out_schema: str) -> DataFrame:
@@ -297,16 +333,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows = _windows(segments, width).select("anchor", "id", F.explode("windows").alias("window"))
     owned = windows.groupBy("anchor", "window").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high")
     owned = owned.groupBy("anchor", F.col("low").alias("id")).agg(F.collect_list("window").alias("windows"))
-    passages = stage(_passages(segments.join(owned, ["anchor", "id"]), width).distinct(), "passages")
-
-    # An anchor's passages go into blocks of bounded size; most anchors have one.
-    check = F.hash("anchor").alias("check")
-    size = passages.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
-    blocks = passages.join(size, "anchor").groupBy("anchor", F.pmod(F.xxhash64("owner", "passage"), F.col("n")).alias("block"))
-    blocks = blocks.agg(F.min("owner").alias("low"), F.collect_list(F.struct("owner", "passage")).alias("passages"))
-    pairs = segments.select("*", check).join(blocks.select("*", check), ["anchor", "check"]).filter("low < id")
-    spans = _streamed(pairs, width).select("id", "row", F.explode("spans").alias("span")).distinct()
-    spans = spans.groupBy("id", "row").agg(F.collect_list("span").alias("spans"))
+    passages = _passages(segments.join(owned, ["anchor", "id"]), width)
+    passages = stage(passages.groupBy("anchor", "words").agg(F.min("owner").alias("owner"), F.max("n").alias("n")), "passages")
+
+    spans = _streamed(_dealt(segments, passages), width).select("id", "row", F.explode("spans").alias("span")).distinct()
+    spans = stage(spans.groupBy("id", "row").agg(F.collect_list("span").alias("spans")), "spans")
+    discard(anchors, segments, passages)
     kind = named.schema["id"].dataType.simpleString()
     out = _without(named.join(spans, ["id", "row"], "left"), f"id {kind}, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_col)
