@@ -7,25 +7,29 @@ others, so only those short lists are shuffled and merged, and the long ones are
 the candidates alone. Lengths come from a counting sketch of fixed size over all documents;
 they only order the lists, so their errors cost time, never links.
 
-Lists are searched in two turns. First each list's most typical document is searched
-against the list. Lists whose documents are connected then are done, which in groups of
-near copies are almost all. In the others every pair of unconnected documents is searched:
-pair by pair in lists of bounded length, in blocks of queries against targets in longer
-ones. No list is ever gathered in one task.
+Lists are searched in two turns, and in both all links come from ``search``: queries' short
+lists are merged by a heap, the long ones probed by binary search, block by block. First
+each list's most typical document is searched against the list. Lists whose documents are
+connected then are done, which in groups of near copies are almost all. In the others every
+pair of unconnected documents is searched: in lists of bounded length those pairs that meet
+in enough of them, in longer lists all queries against all targets. No list is ever gathered
+in one task, and a text travels once for each block, not once for each pair.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from ..session import stage
+from ..session import discard, stage
 from .batches import slices
 from .shingles import mixed, shingle_sets
 
@@ -33,8 +37,10 @@ from .shingles import mixed, shingle_sets
 SLOTS = 1 << 16
 NAME = np.uint64(2**48 - 1)
 LONGEST = 2**15 - 1
-#: Lists longer than this are searched in blocks, of so many queries and targets.
-LONG, QUERIES, TARGETS = 64, 128, 1024
+#: Lists longer than this are searched in blocks of their own, of so many queries (and their shingles) and targets.
+LONG, QUERIES, SHINGLES, TARGETS = 64, 128, 1 << 20, 1024
+#: What probing a long list costs beside merging it.
+MU = 0.0085
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
@@ -97,42 +103,24 @@ def _short_lists(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, n int, typical int, last long, lists array<long>")
 
 
-def _links(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets link: the smaller one's shingles are probed in the larger one."""
-    if len(a) > len(b):
-        a, b = b, a
-    if 100 * len(a) < 80 * len(b) or not len(a):
-        return False
-    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-    return 100 * both >= 80 * (len(a) + len(b) - both)
-
-
-def _linked_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link."""
-    both = pairs.join(texts, F.col("b") == F.col("id")).select("a", "b", F.col("text").alias("b_text"))
-    both = both.join(texts, F.col("a") == F.col("id")).select("a", "b", F.col("text").alias("a_text"), "b_text")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
-        for batch in batches:
-            a_ids, a_texts = batch.column(0).to_pylist(), batch.column(2)
-            keep = []
-            for rows, b_texts in slices([batch], 3):
-                doc, found = shingle_sets(b_texts)
-                stops = np.searchsorted(doc, np.arange(len(b_texts) + 1))
-                for i in range(len(b_texts)):
-                    k = len(keep)
-                    text = a_texts[k].as_py()
-                    if (a_ids[k], text) != last:
-                        last, own = (a_ids[k], text), shingle_sets([text])[1]
-                    keep.append(_links(own, found[stops[i] : stops[i + 1]]))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, both.select("a", "b").schema)
+def _merged(lists: list[list[int]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(targets in ``least`` of the sorted lists or more, in how many), by a heap of the lists' heads."""
+    hit, count = [], []
+    for target, run in groupby(heapq.merge(*lists)):
+        n = len(list(run))
+        if n >= least:
+            hit.append(target)
+            count.append(n)
+    return np.array(hit, dtype=np.int64), np.array(count, dtype=np.int64)
 
 
 def search(queries: list[np.ndarray], targets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, targets that link with it), by DivideSkip over the inverted lists of ``targets``."""
+    """(query, targets that link with it), by DivideSkip over the inverted lists of ``targets``.
+
+    A query needs T targets' shingles in common. Its L longest lists are set aside, L by the
+    usual rule T / (MU log2 M + 1) for a longest list of M; the others are merged by a heap,
+    and who is in T - L of them is looked up in the long ones by binary search.
+    """
     sizes = np.array([len(t) for t in targets], dtype=np.int64)
     flat = np.concatenate([np.empty(0, dtype=np.uint64), *targets])
     owner = np.repeat(np.arange(len(targets)), sizes)
@@ -140,51 +128,96 @@ def search(queries: list[np.ndarray], targets: list[np.ndarray]) -> Iterator[tup
     flat, owner = flat[order], owner[order]
     for q, shingles in enumerate(queries):
         n = len(shingles)
-        if not n or not len(targets):
+        if not n or not len(flat):
             continue
         start, stop = np.searchsorted(flat, shingles, "left"), np.searchsorted(flat, shingles, "right")
+        length = stop - start
         need = (4 * n + 4) // 5
-        by = np.argsort(stop - start, kind="stable")
-        aside = max(0, min(need - 1, int(need / 4)))
+        if np.count_nonzero(length) < need:
+            continue
+        by = np.argsort(length, kind="stable")
+        aside = min(need - 1, int(need / (MU * np.log2(length[by[-1]] + 1) + 1)))
         short, long_ = by[: n - aside], by[n - aside :]
-        merged = np.sort(np.concatenate([owner[start[i] : stop[i]] for i in short]))
-        hit, count = np.unique(merged, return_counts=True)
-        some = (count >= need - aside) & (100 * np.minimum(sizes[hit], n) >= 80 * np.maximum(sizes[hit], n))
+        hit, count = _merged([owner[start[i] : stop[i]].tolist() for i in short if length[i]], need - aside)
+        some = 100 * np.minimum(sizes[hit], n) >= 80 * np.maximum(sizes[hit], n)
         hit, count = hit[some], count[some]
         for i in long_:
+            if not len(hit):
+                break
             own = owner[start[i] : stop[i]]
-            if len(own) and len(hit):
+            if len(own):
                 count = count + (own[np.minimum(np.searchsorted(own, hit), len(own) - 1)] == hit)
         yield q, hit[100 * count >= 80 * (sizes[hit] + n - count)]
 
 
-def _linked_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) across components in long lists; members: list, id, component, query, n_queries, n_targets."""
-    q_parts, t_parts = F.ceil(F.col("n_queries") / QUERIES), F.ceil(F.col("n_targets") / TARGETS)
-    part = lambda parts: F.pmod(F.xxhash64("id"), parts)
-    queries = members.filter("query").select(
-        "list", part(q_parts).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), t_parts - 1)).alias("t"), "id", "component", "query"
-    )
-    targets = members.select(
-        "list", F.explode(F.sequence(F.lit(0).cast("long"), q_parts - 1)).alias("q"), part(t_parts).alias("t"), "id", "component", F.lit(False).alias("query")
-    )
-    rows = queries.union(targets).join(texts, "id")
-    kind = texts.schema["id"].dataType.simpleString()
+def _searched(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) in blocks of (key, part, query, id, component): the queries of each against its other rows.
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        doc, found = shingle_sets(block["text"].tolist())
-        stops = np.searchsorted(doc, np.arange(len(block) + 1))
-        sets = [found[a:b] for a, b in zip(stops, stops[1:], strict=False)]
-        ask, give = (np.flatnonzero(block["query"] == flag) for flag in (True, False))
-        ids, component = block["id"].to_numpy(), block["component"].to_numpy()
-        out = {}
-        for q, hits in search([sets[i] for i in ask], [sets[i] for i in give]):
-            for i in give[hits]:
-                if component[i] != component[ask[q]]:  # one link between two components is enough
-                    out.setdefault((component[ask[q]], component[i]), (ids[ask[q]], ids[i]))
-        return pd.DataFrame(list(out.values()), columns=["a", "b"]).astype(block["id"].dtype)
+    A block's rows come sorted, queries first; they are all that a task keeps, and targets
+    stream past them in slices of bounded text. One link between two components is enough.
+    """
+    check = F.hash("id").alias("check")
+    rows = blocks.select("*", check).join(texts.select("id", "text", check), ["id", "check"])
+    rows = rows.select("key", "part", "query", "id", "component", "text").repartition("key", "part").sortWithinPartitions("key", "part", F.desc("query"))
+    kind = texts.schema["id"].dataType
 
-    return rows.groupBy("list", "q", "t").applyInPandas(run, f"a {kind}, b {kind}")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, asks, names, seen = None, [], [], set()
+        for rows, found_texts in slices(batches, 5):
+            keys = list(zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True))
+            ids, component = rows.column(3).to_pylist(), rows.column(4).to_pylist()
+            doc, found = shingle_sets(found_texts)
+            stops = np.searchsorted(doc, np.arange(len(keys) + 1))
+            sets = [found[a:b] for a, b in zip(stops, stops[1:], strict=False)]
+            out, at = [], 0
+            for key, run_ in groupby(keys):
+                to = at + sum(1 for _ in run_)
+                if key[:2] != last:
+                    last, asks, names, seen = key[:2], [], [], set()
+                if key[2]:
+                    asks += sets[at:to]
+                    names += zip(component[at:to], ids[at:to], strict=True)
+                else:
+                    for q, hits in search(asks, sets[at:to]):
+                        for i in (hits + at).tolist():
+                            pair = names[q][0], component[i]
+                            if pair[0] != pair[1] and pair not in seen:
+                                seen.add(pair)
+                                out.append((names[q][1], ids[i]))
+                at = to
+            ends = [pa.array([x[i] for x in out], rows.schema.field(3).type) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each list's leader and the members of like size."""
+    alike = (F.col("id") != F.col("leader")) & (100 * F.least("n", "leader_n") >= 80 * F.greatest("n", "leader_n"))
+    return members.filter(alike).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _of_pairs(pairs: DataFrame) -> DataFrame:
+    """Blocks of each ``a`` against its ``b``."""
+    check = F.hash("a").alias("check")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TARGETS).alias("parts")).select("a", "parts", check)
+    targets = pairs.select("a", "b", check).join(parts, ["a", "check"])
+    targets = targets.select(F.col("a").alias("key"), F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(False).alias("query"), F.col("b").alias("id"))
+    queries = parts.select(F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("query"), F.col("a").alias("id"))
+    return queries.unionByName(targets).withColumn("component", F.col("id"))
+
+
+def _of_lists(members: DataFrame) -> DataFrame:
+    """Blocks of long lists; members: list, id, n, component, query. Both sides are dealt by what they weigh."""
+    weight = lambda rows: F.greatest(F.sum(F.when(rows, F.col("n"))) / SHINGLES, F.count_if(rows) / QUERIES)
+    parts = members.groupBy("list").agg(F.ceil(weight(F.col("query"))).alias("q_parts"), F.ceil(F.count(F.lit(1)) / TARGETS).alias("t_parts"))
+    rows = members.withColumn("check", F.hash("list")).join(parts.filter("q_parts > 0").withColumn("check", F.hash("list")), ["list", "check"])
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block = (F.col("q") * F.col("t_parts") + F.col("t")).alias("part")
+    asks = rows.filter("query").withColumn("q", part("q_parts")).withColumn("t", every("t_parts"))
+    gives = rows.withColumns({"t": part("t_parts"), "query": F.lit(False)}).withColumn("q", every("q_parts"))
+    return asks.unionByName(gives).select(F.col("list").alias("key"), block, "query", "id", "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,11 +254,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = entries.select("list", "id", "n", side).join(leaders, ["list", "check"]).drop("check")
     members = stage(members, "lists")
 
-    alike = 100 * F.least("n", "leader_n") >= 80 * F.greatest("n", "leader_n")
-    stars = members.filter((F.col("id") != F.col("leader")) & alike).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     searched = members.select("id").distinct()
     texts = stage(named.join(searched, "id", "left_semi"), "searched")
-    links = stage(_linked_pairs(stars, texts), "star-links")
+    pairs = stage(_stars(members), "star-pairs")
+    links = stage(_searched(_of_pairs(pairs), texts), "star-links")
+    discard(pairs)
 
     found = connected_components(links)
     joined = members.withColumn("check", F.hash("id")).join(
@@ -255,11 +288,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     need = F.expr("(4 * (a_n + b_n) + 8) div 9")
     aside = F.expr("(4 * if(a_last <= b_last, a_n, b_n) + 4) div 5 - 1")
     met = met.filter((F.col("met") >= need - aside) | (F.col("a_texts") > 1) | (F.col("b_texts") > 1))
-    more = _linked_pairs(met.select("a", "b").distinct(), texts)
-    many = rows.filter(F.col("n_targets") > LONG)
-    asking = many.filter("query").groupBy("list").agg(F.count(F.lit(1)).alias("n_queries"))
-    many = many.withColumn("check", F.hash("list")).join(asking.withColumn("check", F.hash("list")), ["list", "check"]).drop("check")
-    links = stage(links.union(more).union(_linked_blocks(many, texts)), "links")
+    met = stage(met.select("a", "b").distinct(), "met")
+    more = _searched(_of_pairs(met), texts)
+    many = _searched(_of_lists(rows.filter(F.col("n_targets") > LONG)), texts)
+    stars, links = links, stage(links.union(more).union(many), "links")
+    discard(lists, members, texts, stars, joined, rows, met)
 
     keys = ["n", "d1", "d2"]
     # An id of several texts joins their classes, also where it is not searched itself.
