@@ -15,14 +15,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import stage
+from ..session import discard, stage
 
 #: Queries and targets of a cell that meet in one block.
 QUERIES, TARGETS = 512, 1024
+#: Coarse centres that are learnt at most; beyond, each has finer ones.
+COARSE = 1024
+KEYS = ("dims", "label", "block_cell")
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
@@ -48,15 +52,39 @@ def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
 
 @dataclass
 class Codebook:
-    cells: np.ndarray  # (cells, dims)
+    """Cells are pairs of a coarse centre and a finer one of its residuals, so their number can grow with the input while few centres are learnt."""
+
+    coarse: np.ndarray  # (coarse cells, dims)
+    fine: np.ndarray  # (cells of each, dims)
     codes: list[np.ndarray]  # for each subspace (codes, its dims)
 
     @classmethod
     def fit(cls, x: np.ndarray, cells: int, parts: int = 8, codes: int = 64, rounds: int = 8, seed: int = 5) -> Codebook:
         rng = np.random.default_rng(seed)
-        coarse = _means(x, cells, rounds, rng)
+        coarse = _means(x, min(cells, COARSE), rounds, rng)
         rest = x - coarse[_nearest(x, coarse)[:, 0]]
-        return cls(coarse, [_means(s, codes, rounds, rng) for s in np.array_split(rest, min(parts, x.shape[1]), axis=1)])
+        per = -(-cells // COARSE)
+        fine = _means(rest, per, rounds, rng) if per > 1 else np.zeros((1, x.shape[1]))
+        rest = rest - fine[_nearest(rest, fine)[:, 0]]
+        return cls(coarse, fine, [_means(s, codes, rounds, rng) for s in np.array_split(rest, min(parts, x.shape[1]), axis=1)])
+
+    @classmethod
+    def plain(cls, dims: int) -> Codebook:
+        """One cell and one code that say nothing: all pairs go to the exact cosine."""
+        return cls(np.zeros((1, dims)), np.zeros((1, dims)), [np.zeros((1, dims))])
+
+    def centre(self, cell: int) -> np.ndarray:
+        return self.coarse[cell // len(self.fine)] + self.fine[cell % len(self.fine)]
+
+    def near(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The cells nearest to each row, nearest first; of the coarse cells only ``probes`` are asked."""
+        first = _nearest(x, self.coarse, min(probes, len(self.coarse)))
+        rest = x[:, None] - self.coarse[first]
+        far = (rest * rest).sum(axis=2)[:, :, None] + (self.fine * self.fine).sum(axis=1) - 2 * rest @ self.fine.T
+        cells = (first[:, :, None] * len(self.fine) + np.arange(len(self.fine))).reshape(len(x), -1)
+        far = far.reshape(len(x), -1)
+        best = np.argsort(far, axis=1, kind="stable")[:, :probes]
+        return np.take_along_axis(cells, best, 1)
 
     def _split(self, x: np.ndarray) -> list[np.ndarray]:
         return np.array_split(x, len(self.codes), axis=1)
@@ -83,19 +111,25 @@ def _units(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x, x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _placed(classes: DataFrame, book: Codebook, probes: int) -> DataFrame:
-    """Each class with its cell and the cells that it probes."""
-    shared = classes.sparkSession.sparkContext.broadcast(book)
+def _placed(classes: DataFrame, books: dict[int, Codebook], probes: int) -> DataFrame:
+    """Each class with its cell and the cells that it probes, both among vectors of its length."""
+    shared = classes.sparkSession.sparkContext.broadcast(books)
+    place = classes.columns.index("embedding")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            if len(rows):
-                _, units = _units(rows.column(3))
-                near = _nearest(units, shared.value.cells, min(probes, len(shared.value.cells)))
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(near[:, 0], pa.int64()), pa.array(list(near.astype(np.int64)), pa.list_(pa.int64()))],
-                    [*rows.schema.names, "cell", "probes"],
-                )
+        for batch in batches:
+            sizes = batch.column(place).value_lengths().to_numpy(zero_copy_only=False)
+            for dims in np.unique(sizes):
+                at = np.flatnonzero(sizes == dims)
+                book = shared.value.get(int(dims)) or Codebook.plain(int(dims))
+                step = max(1, 4_000_000 // (int(dims) * probes))
+                for part in range(0, len(at), step):
+                    rows = batch.take(pa.array(at[part : part + step]))
+                    near = book.near(_units(rows.column(place))[1], probes).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [*rows.columns, pa.array(near[:, 0]), pa.array(list(near), pa.list_(pa.int64()))],
+                        [*rows.schema.names, "cell", "probes"],
+                    )
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
     return classes.mapInArrow(run, f"{fields}, cell long, probes array<long>")
@@ -115,17 +149,17 @@ def _roots(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _searched(blocks: DataFrame, book: Codebook, least: float) -> DataFrame:
+def _searched(blocks: DataFrame, books: dict[int, Codebook], least: float) -> DataFrame:
     """(id, links, root) of every class in every block: what links with it, with copies, and a tree of the block's links."""
-    shared = blocks.sparkSession.sparkContext.broadcast(book)
+    shared = blocks.sparkSession.sparkContext.broadcast(books)
     reach = np.sqrt(2 - 2 * least) + 1e-6
     kind = blocks.schema["id"].dataType.simpleString()
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        book = shared.value
         x = np.stack(block["embedding"].to_numpy()).astype(np.float64)
+        book = shared.value.get(x.shape[1]) or Codebook.plain(x.shape[1])
         size = np.sqrt((x * x).sum(axis=1))
-        rest = x / size[:, None] - book.cells[int(block["block_cell"].iloc[0])]
+        rest = x / size[:, None] - book.centre(int(block["block_cell"].iloc[0]))
         ids, copies = block["id"].to_numpy(), block["copies"].to_numpy()
         ask, give = (np.flatnonzero(block["query"] == flag) for flag in (True, False))
         codes, error = book.encode(rest[give])
@@ -145,12 +179,12 @@ def _searched(blocks: DataFrame, book: Codebook, least: float) -> DataFrame:
         some = (links > 0) | (root != np.arange(len(names)))
         return pd.DataFrame({"id": names[some], "links": links[some], "root": names[root[some]]})
 
-    return blocks.groupBy("label", "block_cell", "q", "t").applyInPandas(run, f"id {kind}, links long, root {kind}")
+    return blocks.groupBy("dims", "label", "block_cell", "q", "t").applyInPandas(run, f"id {kind}, links long, root {kind}")
 
 
 def _sized(rows: DataFrame, name: str, per: int) -> DataFrame:
-    sizes = rows.groupBy("label", F.col("block_cell")).agg(F.ceil(F.count(F.lit(1)) / per).alias(name))
-    return sizes.withColumn("check", F.hash("label", "block_cell"))
+    sizes = rows.groupBy(*KEYS).agg(F.ceil(F.count(F.lit(1)) / per).alias(name))
+    return sizes.withColumn("check", F.hash(*KEYS))
 
 
 def near_dedup(
@@ -164,41 +198,45 @@ def near_dedup(
 ) -> DataFrame:
     """One row per row of ``vectors``: id_col, n_links, component_id, kept.
 
-    Vectors link when their labels are equal and not null and their cosine is ``least`` or
-    more. Vectors that are null or zero, hold null or non-finite components, or have not
-    the most frequent length link with nothing, nor do rows without an id. Rows that repeat
-    an id are one node of the components and count as links of each other if their vectors
-    link. Equal vectors of a label are searched once. Other columns are ignored, so none
-    can clash; an empty table gives an empty one.
-
-    The codebooks learn from ``max_training`` vectors at most, chosen by a hash of their ids;
-    every vector is indexed. ``probes`` is the number of cells that a query searches.
+    Vectors link when their labels are equal and not null, their lengths are equal and their
+    cosine, in double precision, is ``least`` or more. Vectors that are null, empty or zero or
+    hold null or non-finite components link with nothing, nor do rows without an id. Rows that
+    repeat an id are one node of the components and count as links of each other if their
+    vectors link. Equal vectors of a label are searched once. Other columns are ignored, so
+    none can clash; an empty table gives an empty one.
+
+    The codebooks, one a vector length, learn from ``max_training`` vectors at most, chosen by
+    a hash of their ids; every vector is indexed. Lengths too rare to be among these have one
+    cell without codes, that is, exact search. Cells grow with the root of a length's vectors.
+    ``probes`` is the number of cells that a query searches.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("embedding"), F.col(label_col).alias("label"))
+    kind = vectors.schema[vector_col].dataType
+    kind = kind if kind.simpleString() in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("embedding"), F.col(label_col).alias("label"))
     fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = rows.withColumn("fine", F.coalesce(fine & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False)))
-    lengths = rows.filter("fine").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    dims = lengths[0][0] if lengths else 0
-    rows = rows.withColumn("fine", F.col("fine") & (F.size("embedding") == dims))
     classes = rows.filter("fine").groupBy("label", "embedding").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    classes = stage(classes.select("id", "copies", "label", "embedding"), "vector-classes")
-    n = classes.count()
-    if n:
-        sample = classes.select("id", "embedding").orderBy(F.xxhash64("id", "embedding")).limit(max_training).toArrow()
-        _, units = _units(sample["embedding"].combine_chunks())
-        book = Codebook.fit(units, int(np.clip(np.sqrt(n), 1, 1024)))
-        placed = stage(_placed(classes, book, probes), "vector-cells")
+    classes = stage(classes.select("id", "copies", "label", F.size("embedding").alias("dims"), "embedding"), "vector-classes")
+    sample = classes.select("id", "dims", "embedding").orderBy(F.xxhash64("id", "embedding")).limit(max_training).toArrow()
+    if len(sample):
+        counts = dict(classes.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(max_training).collect())
+        books = {}
+        for dims in sample["dims"].unique().to_pylist():
+            _, units = _units(sample.filter(pc.equal(sample["dims"], dims))["embedding"].combine_chunks())
+            books[dims] = Codebook.fit(units, max(1, int(np.sqrt(counts.get(dims, 1)))))
+        placed = stage(_placed(classes, books, probes), "vector-cells")
         targets = placed.withColumnRenamed("cell", "block_cell").drop("probes")
         queries = placed.withColumn("block_cell", F.explode("probes")).drop("probes", "cell")
-        sizes = _sized(targets, "t_parts", TARGETS).join(_sized(queries, "q_parts", QUERIES).drop("check"), ["label", "block_cell"])
-        keys, check = ["label", "block_cell", "check"], F.hash("label", "block_cell").alias("check")
+        sizes = _sized(targets, "t_parts", TARGETS).join(_sized(queries, "q_parts", QUERIES).drop("check"), list(KEYS))
+        keys, check = [*KEYS, "check"], F.hash(*KEYS).alias("check")
         every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
         mine = lambda parts: F.pmod(F.xxhash64("id", "embedding"), F.col(parts))
         queries = queries.select("*", check).join(sizes, keys).withColumn("q", mine("q_parts")).withColumn("t", every("t_parts"))
         targets = targets.select("*", check).join(sizes, keys).withColumn("t", mine("t_parts")).withColumn("q", every("q_parts"))
-        columns = ["label", "block_cell", "q", "t", "id", "copies", "embedding"]
+        columns = [*KEYS, "q", "t", "id", "copies", "embedding"]
         blocks = queries.select(*columns, F.lit(True).alias("query")).union(targets.select(*columns, F.lit(False).alias("query")))
-        found = stage(_searched(blocks, book, least), "vector-links")
+        found = stage(_searched(blocks, books, least), "vector-links")
+        discard(placed)
     else:
         kind = rows.schema["id"].dataType.simpleString()
         found = rows.sparkSession.createDataFrame([], f"id {kind}, links long, root {kind}")
