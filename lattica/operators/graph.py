@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors
-from ..session import stage
+from ..session import discard, stage
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -18,16 +18,18 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def walk(edges: DataFrame, seeds: DataFrame, hops: int, per_node: int | None = None) -> DataFrame:
     """(id, hop): every node reached from ``seeds`` (id), with the least number of hops.
 
-    ``per_node`` follows at most so many edges of each node, smallest targets first. A node is expanded once: visited ones leave by an anti join.
+    ``per_node`` follows at most so many edges of each node, smallest targets first. A node is
+    expanded once: visited ones leave by an anti join. Edges are written once, not worked out
+    anew in every hop.
     """
     if per_node:
         place = F.row_number().over(Window.partitionBy("source").orderBy("target"))
         edges = edges.select("source", "target").distinct().withColumn("n", place).filter(F.col("n") <= per_node)
-    edges = edges.select("source", "target")
+    edges = edges if hasattr(edges, "staged_at") else stage(edges.select("source", "target"), "walk-edges")
     seen = stage(seeds.select("id").distinct().withColumn("hop", F.lit(0)), "walk")
     front = seen
     for hop in range(1, hops + 1):
-        step = front.join(edges, front.id == edges.source).select(F.col("target").alias("id")).distinct()
+        step = front.select("id").join(edges, F.col("id") == edges.source).select(F.col("target").alias("id")).distinct()
         front = stage(step.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)), f"walk-{hop}")
         if front.isEmpty():
             break
@@ -37,7 +39,7 @@ def walk(edges: DataFrame, seeds: DataFrame, hops: int, per_node: int | None = N
 
 def shortest_paths(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """(id, hop, parent): undirected distances from ``start``; the parent is the smallest one a hop nearer."""
-    edges = both_ways(edges)
+    edges = stage(both_ways(edges), "walk-edges")
     seen = walk(edges, start, hops)
     near = seen.select(F.col("id").alias("source"), F.col("hop").alias("near"))
     steps = edges.join(near, "source").select(F.col("target").alias("id"), "source", "near").join(seen, "id").filter("near = hop - 1")
@@ -87,8 +89,10 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     labels = pairs.select(F.col("source").alias("id")).distinct().withColumn("label", F.col("id"))
     for n in range(rounds):
         votes = pairs.join(labels, pairs.target == labels.id).groupBy("source", "label").agg(F.count(F.lit(1)).alias("votes"))
-        best = votes.groupBy("source").agg(F.max(F.struct("votes", (-F.col("label")).alias("low"))).alias("best"))
-        labels = stage(best.select(F.col("source").alias("id"), (-F.col("best.low")).alias("label")), f"community-{n}")
+        best = votes.groupBy("source").agg(F.min(F.struct((-F.col("votes")).alias("few"), "label")).alias("best"))
+        before, labels = labels, stage(best.select(F.col("source").alias("id"), F.col("best.label").alias("label")), f"community-{n}")
+        if n:
+            discard(before)
     return labels.select("id", F.col("label").alias("community"))
 
 
@@ -103,9 +107,9 @@ def relative_degrees(edges: DataFrame, threshold: float) -> DataFrame:
 def hubs(edges: DataFrame, members: DataFrame) -> DataFrame:
     """(community, hub, members) of communities of two at least: the member of greatest degree, the smallest id on a tie."""
     sized = members.join(relative_degrees(edges, 0.0).select("id", "degree"), "id")
-    top = F.max(F.struct("degree", (-F.col("id")).alias("low")))
+    top = F.min(F.struct((-F.col("degree")).alias("few"), "id"))
     out = sized.groupBy("community").agg(top.alias("top"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    return out.select("community", (-F.col("top.low")).alias("hub"), "members")
+    return out.select("community", F.col("top.id").alias("hub"), "members")
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:

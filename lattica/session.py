@@ -34,13 +34,16 @@ def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> Spa
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where a session names none (tests, a laptop) a temporary folder is made
-    and remembered in the session.
+    Only where a local session names none (tests, a laptop) a temporary folder is made
+    and remembered in the session; on a cluster that is an error, as executors would not
+    see each other's files.
     """
     if where := spark.conf.get("spark.checkpoint.dir", None):
         return where
     where = spark.conf.get("spark.lattica.workDir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.lattica.workDir", where)
     return where
@@ -60,4 +63,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more: their readers are staged themselves."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
