@@ -11,33 +11,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe, jaccard, line_dedup, mixing, quality
-from lattica.llm.text import WORD
-from lattica.session import stage
+from lattica.llm.text import WORD, whole, word_count
+from lattica.session import discard, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: The similarity of near duplicates, here as a share of words that other documents have as lines.
+COPIED = 0.8
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the folder's labels, does not reject."""
+    """Documents that the classifier, trained on the folder's labels, does not reject.
+
+    Null and empty texts are scored as texts without words; rows that repeat an id are judged
+    one by one; without labels of two kinds the score is the labels' rate, 0.5 without any.
+    """
     machine = quality.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs.select(*COLUMNS), machine).filter("score >= 0.5").select(*COLUMNS)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that several documents share stay in the first; n_chars follows the text."""
-    out = line_dedup.line_dedup(docs.select(*COLUMNS))
+    """Lines that several documents share stay in the first; n_chars follows the text.
+
+    A document that loses ``COPIED`` of its words or more is a copy of earlier ones, line by
+    line, and goes whole: what is left of it could not be known as a copy any more by the next
+    stage. Documents without words, which lose none, stay.
+    """
+    before = docs.select(*COLUMNS).withColumn("_words", word_count(whole("text")))
+    out = line_dedup.line_dedup(before).withColumn("_left", word_count(F.col("text")))
+    out = out.filter((F.col("_words") == 0) | (F.col("_words") - F.col("_left") < COPIED * F.col("_words")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; rows without an id stay."""
+    """Of each group of near duplicates the document with the smallest id; rows without an id stay.
+
+    Empty and null texts are in no group. Rows that repeat an id are one document, which stays
+    or goes whole.
+    """
     found = jaccard.near_duplicates(docs.select("doc_id", "text"))
     gone = found.filter("component_id != doc_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; where a budget ends within one, its first words."""
+    """Each document as often as the mix takes it; where a budget ends within one, its first words.
+
+    Documents without words take nothing of a budget and go. A null source is one of its own.
+    """
     mix = mixing.mix(docs.select(*COLUMNS), carry=("text", "lang"))
     first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("rest").cast("int")), " ")
     mix = mix.filter("taken > 0").withColumn("rest", F.col("taken") % F.col("size"))
@@ -48,7 +68,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every row."""
+    """doc_id, n_tokens and ids of every row; null and empty texts have no ids."""
     vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     out = bpe.encode_decode(docs, vocabulary, public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", "ids")
@@ -69,6 +89,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+    for i, (name, function) in enumerate(STAGES[:-1]):
+        before, docs = docs, stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+        if i:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,28 +15,43 @@ from ..session import stage
 from .text import whole, word_count
 
 
+def _running(rows: DataFrame, order: list, sums: list[str], name: str) -> DataFrame:
+    """``rows`` with, for each of ``sums``, ``<name>_before``: its sum over the rows before, in ``order``.
+
+    Rows are dealt by ranges of the order; a sum is that of the ranges before and that within
+    the range, so no task sees all rows.
+    """
+    dealt = stage(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    parts = dealt.groupBy("_part").agg(*(F.sum(c).alias(c) for c in sums))
+    parts = parts.select("_part", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_{c}") for c in sums))
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_own_{c}") for c in sums))
+    out = summed.join(F.broadcast(parts), "_part")
+    return out.select(*rows.columns, *((F.col(f"_{c}") + F.col(f"_own_{c}")).alias(f"{c}_before") for c in sums))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size) -> the same with ``target``, in words.
 
     Sources by code point, null last, weigh ``weights``, repeating, and share ``share``
     of all words. A target stops at ``most`` times its source; the excess goes to the
     others by weight until none is above. That level is found at once: by rising
-    size/weight a first part of the sources is full, the rest stand at one level.
+    size/weight a first part of the sources is full, the rest stand at one level. Sources may
+    be as many as hosts: their order and sums are found by ranges.
     """
-    # One row a source: windows without a key see as many rows as there are sources.
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    s = sizes.withColumn("w", weight.cast("long"))
+    by_name = [F.col("source").isNull(), F.col("source")]
+    s = _running(sizes.withColumn("one", F.lit(1).cast("long")), by_name, ["one"], "sources")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("one_before") % len(weights) + 1).cast("int")).cast("long")
+    s = s.select("source", "source_size", weight.alias("w"))
     s = s.withColumn("full", F.col("source_size") * F.lit(most) / F.col("w"))
-    rise = Window.orderBy("full", F.col("source").isNull(), "source")
-    upto, rest = rise.rowsBetween(Window.unboundedPreceding, -1), rise.rowsBetween(0, Window.unboundedFollowing)
-    everything = rise.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    budget = F.sum("source_size").over(everything) * F.lit(share)
-    filled = F.coalesce(F.sum("source_size").over(upto), F.lit(0)) * F.lit(most)
-    s = s.withColumn("level", (budget - filled) / F.sum("w").over(rest))
-    s = s.withColumn("open", F.col("full") > F.col("level"))
-    level = F.min(F.when(F.col("open"), F.struct("full", "level"))).over(everything)["level"]
-    s = s.withColumn("level", level)
+    s = _running(s, [F.col("full"), *by_name], ["source_size", "w"], "levels")
+    total = sizes.agg(F.sum("source_size").alias("all_words"))
+    total = total.crossJoin(s.agg(F.sum("w").alias("all_weights")))  # one row
+    level = (F.col("all_words") * F.lit(share) - F.col("source_size_before") * F.lit(most)) / (F.col("all_weights") - F.col("w_before"))
+    s = s.crossJoin(F.broadcast(total)).withColumn("own_level", level)
+    common = s.filter("full > own_level").agg(F.min(F.struct("full", "own_level"))["own_level"].alias("level"))  # one row
+    s = s.crossJoin(F.broadcast(common))
     whole_source = F.col("source_size") * F.lit(most)
     capped = F.col("level").isNull() | (F.col("full") <= F.col("level"))
     return s.select(
@@ -55,49 +70,51 @@ def mix(
     most: float = 2.0,
     seed: int = 0,
     ranges: int = 1024,
+    per_range: int = 50_000,
 ) -> DataFrame:
     """What the mix takes of each document: one row per row of ``docs``.
 
-    Returns id_col, source_col, the columns named in ``carry``, and size, source_size,
-    target, taken. A document's key is the md5 of the seed and its id: reruns agree, and
-    so do rows in another order. Equal keys stand by id, size and text. Whole epochs come
-    first; the document at the end of the budget gives its first words only. Null text has
-    size 0, null ids share one key, null is a source of its own. Columns that are neither
-    named nor carried are ignored, so none can clash; an empty table gives an empty one.
-    ``ranges`` are equal parts of a source's keys: a window sorts one of them, never a
-    source.
+    Returns id_col, source_col, the columns named in ``carry`` (those of a result's name give
+    way to it), and size, source_size, target, taken. A document's key is the md5 of the seed
+    and its id: reruns agree, and so do rows in another order. Equal keys stand by id, size
+    and text. Whole epochs come first; the document at the end of the budget gives its first
+    words only. Null text has size 0; rows with a null id take their text's hash for it; null
+    is a source of its own. Columns that are neither named nor carried are ignored, so none
+    can clash; an empty table gives an empty one.
+
+    A source's keys are cut into equal parts, ``ranges`` or as many more as leave each
+    ``per_range`` rows: a window sorts one of them, never a source. Only ids and sizes are
+    written for the sums; what is carried is shuffled once.
     """
+    carry = tuple(c for c in carry if c not in (id_col, source_col, "size", "source_size", "target", "taken"))
     extra = {c: f"_x{i}" for i, c in enumerate(carry)}
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    keyed = docs.select(
+    name = F.coalesce(F.col(id_col).cast("string"), F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col).cast("string")), F.lit(""))
+    rows = docs.select(
         F.col(source_col).alias("_source"),
         F.col(id_col).alias("_id"),
-        key.alias("_key"),
+        F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary")).alias("_key"),
         F.xxhash64(text_col).alias("_text"),
-        _range(key, ranges).alias("_range"),
         word_count(whole(text_col)).alias("size"),
         *(F.col(c).alias(n) for c, n in extra.items()),
     )
-    keyed = stage(keyed, "mix-keys")
-    parts = keyed.groupBy("_source", "_range").agg(F.sum("size").alias("_words"))
-    sizes = parts.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size"))
-    aims = targets(sizes, weights, share, most).withColumnRenamed("source", "_s")
-    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    keys = stage(rows.select("_source", F.substring("_key", 1, 8).alias("_key"), "size"), "mix-keys")
+    ranges = max(ranges, keys.count() // per_range)
+    at = [F.coalesce("_source", F.lit("")).alias("_s"), F.col("_source").isNull().alias("_n"), _range(F.col("_key"), ranges).alias("_r")]
+    parts = keys.groupBy(*at).agg(F.first("_source").alias("_source"), F.sum("size").alias("_words"))
+    parts = stage(parts, "mix-parts")
+    aims = targets(parts.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size")), weights, share, most)
+    before = Window.partitionBy("_s", "_n").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("_start", F.coalesce(F.sum("_words").over(before), F.lit(0)))
-    starts = starts.join(aims, F.col("_source").eqNullSafe(F.col("_s"))).select(
-        "_s", F.col("_range").alias("_r"), "_start", "source_size", "target"
-    )
+    starts = starts.join(aims, F.col("_source").eqNullSafe(F.col("source"))).select("_s", "_n", "_r", "_start", "source_size", "target")
     within = (
-        Window.partitionBy("_source", "_range")
-        .orderBy("_key", "_id", "size", "_text")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_s", "_n", "_r").orderBy("_key", "_id", "size", "_text").rowsBetween(Window.unboundedPreceding, -1)
     )
-    summed = keyed.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    summed = summed.join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    place = F.col("_start") + F.col("_within")
+    summed = rows.select("*", *at).join(starts, ["_s", "_n", "_r"])
+    place = F.col("_start") + F.coalesce(F.sum("size").over(within), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))).otherwise(0)
     rest = F.floor(F.col("target")) - epochs * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - place))
+    summed = summed.withColumns({"_epochs": epochs, "_left": rest - place})
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left")))
     return summed.select(
         F.col("_id").alias(id_col),
         F.col("_source").alias(source_col),
@@ -105,7 +122,7 @@ def mix(
         "size",
         "source_size",
         "target",
-        (epochs * F.col("size") + part).cast("long").alias("taken"),
+        (F.col("_epochs") * F.col("size") + part).cast("long").alias("taken"),
     )
 
 
