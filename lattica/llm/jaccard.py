@@ -38,7 +38,7 @@ SLOTS = 1 << 16
 NAME = np.uint64(2**48 - 1)
 LONGEST = 2**15 - 1
 #: Lists longer than this are searched in blocks of their own, of so many queries (and their shingles) and targets.
-LONG, QUERIES, SHINGLES, TARGETS = 64, 128, 1 << 20, 1024
+LONG, QUERIES, SHINGLES, TARGETS = 64, 128, 1 << 20, 256
 #: What probing a long list costs beside merging it.
 MU = 0.0085
 
