@@ -64,21 +64,20 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """provided names (project, kind, name): a supplier's nation provides parts that it delivers, by brand.
+def offers(spark: SparkSession, sf_dir: str, often: int = 4) -> DataFrame:
+    """provided names (project, kind, name): the parts, by brand, that a nation's suppliers have delivered ``often`` times or more.
 
-    Not all of them: only where part and nation leave the same rest by 7, an invented rule
-    that gives names few providers. Other delivered parts count as not provided.
+    A name may have no such nation, one or several.
     """
     lines, supplier, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
-    return (
+    delivered = (
         lines.select("l_partkey", "l_suppkey")
         .join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(part.select("p_partkey", "p_brand", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-        .filter("l_partkey % 7 = s_nationkey % 7")
-        .select(F.col("s_nationkey").alias("project"), F.col("p_brand").alias("kind"), F.col("p_partkey").alias("name"))
-        .distinct()
+        .groupBy(F.col("s_nationkey").alias("project"), F.col("l_partkey").alias("name"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") >= often)
     )
+    return delivered.join(part.select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("kind")), "name").select("project", "kind", "name")
 
 
 def wants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ def stem(word: Column) -> Column:
     for ending in ("s", "ed", "es", "ied", "ies", "ing"):  # the last one is asked first
         root = F.substring(word, F.lit(1), F.length(word) - len(ending))
         if ending in ("ing", "ed"):
-            twice = root.rlike("(bb|dd|ff|gg|ll|mm|nn|pp|rr|ss|tt)$")
+            twice = root.rlike(r"([b-df-hj-np-tv-z])\1$")
             root = F.when(twice, F.substring(root, F.lit(1), F.length(root) - 1)).otherwise(root)
         out = F.when(word.endswith(ending) & (F.length(word) - len(ending) >= 4), root).otherwise(out)
     return out

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 NAME = ["kind", "name"]
 
 
@@ -34,8 +36,7 @@ def market_counts(provided: DataFrame, taken: DataFrame) -> DataFrame:
 def link_samples(links: DataFrame, k: int) -> DataFrame:
     """(project, provider, n, samples): how many names link two projects, and the first ``k``."""
     # The k smallest names are found per row order, so no group's names are all gathered.
-    from pyspark.sql import Window
-
+    links = stage(links, "links")
     place = F.row_number().over(Window.partitionBy("project", "provider").orderBy("name"))
     n = links.groupBy("project", "provider").agg(F.count(F.lit(1)).alias("n"))
     top = links.withColumn("place", place).filter(F.col("place") <= k)
@@ -45,9 +46,8 @@ def link_samples(links: DataFrame, k: int) -> DataFrame:
 
 def link_summary(links: DataFrame) -> DataFrame:
     """(project, direction, n): names used from others and used by others."""
-    uses = links.groupBy("project").agg(F.count(F.lit(1)).alias("n")).withColumn("direction", F.lit("uses"))
-    used = links.groupBy(F.col("provider").alias("project")).agg(F.count(F.lit(1)).alias("n")).withColumn("direction", F.lit("used_by"))
-    return uses.unionByName(used)
+    ends = F.inline(F.array(F.struct(F.col("project"), F.lit("uses").alias("direction")), F.struct(F.col("provider").alias("project"), F.lit("used_by").alias("direction"))))
+    return links.select(ends).groupBy("project", "direction").agg(F.count(F.lit(1)).alias("n"))
 
 
 def resolved(references: DataFrame, candidates: DataFrame) -> DataFrame:

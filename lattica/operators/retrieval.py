@@ -18,9 +18,11 @@ COMMON, FUSION = 2000, 60
 
 
 def postings(texts: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
-    """(id, term, tf) of the query's terms alone; all other words are dropped before the shuffle."""
-    words = texts.select(F.col(id_col).alias("id"), F.explode(lexical_words(F.col(text_col))).alias("term"))
-    return words.filter(F.col("term").isin(terms)).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf) of the query's terms alone, counted within each row; other words are never rows."""
+    words = F.filter(lexical_words(F.col(text_col)), lambda w: w.isin(terms))
+    found = texts.select(F.col(id_col).alias("id"), words.alias("words")).filter(F.size("words") > 0)
+    counted = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.size(F.filter("words", lambda x: x == w)).cast("long").alias("tf")))
+    return found.select("id", F.inline(counted)).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
 
 
 def term_weights(found: DataFrame, common: int = COMMON) -> DataFrame:
@@ -35,7 +37,7 @@ def lexical_search(texts: DataFrame, id_col: str, text_col: str, terms: list[str
     Candidates come from rare terms unless all are common. ``terms`` is a query, so the
     weights have a row for each of its words at most and are broadcast.
     """
-    found = postings(texts, id_col, text_col, terms)
+    found = stage(postings(texts, id_col, text_col, terms), "postings")  # texts are read once
     weights = term_weights(found)
     total = weights.agg(F.sum("idf").alias("total"), F.bool_and("common").alias("all_common"))
     rows = found.join(F.broadcast(weights), "term").crossJoin(F.broadcast(total))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,22 +12,11 @@ from ..operators.components import connected_components
 from ..sources import manifests
 from ..sources import text as files
 from ..streaming import events as ev
+from .registry import query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 TERMS = ["the", "in", "erth", "edsh"]
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
     return catalog.table(s, d, name)
 
@@ -152,10 +139,10 @@ def camel_split_tokens(s, d):
 
 @query(
     """WITH w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS w FROM benchmark), c AS (SELECT w FROM w WHERE regexp_matches(w, '^[a-z]+$'))
-    SELECT w AS word, CASE WHEN w LIKE '%ing' AND length(w) >= 7 THEN CASE WHEN regexp_matches(left(w, length(w) - 3), '(bb|dd|ff|gg|ll|mm|nn|pp|rr|ss|tt)$') THEN left(w, length(w) - 4) ELSE left(w, length(w) - 3) END
+    SELECT w AS word, CASE WHEN w LIKE '%ing' AND length(w) >= 7 THEN CASE WHEN regexp_matches(left(w, length(w) - 3), '(bb|cc|dd|ff|gg|hh|jj|kk|ll|mm|nn|pp|qq|rr|ss|tt|vv|ww|xx|yy|zz)$') THEN left(w, length(w) - 4) ELSE left(w, length(w) - 3) END
         WHEN w LIKE '%ies' AND length(w) >= 7 THEN left(w, length(w) - 3) WHEN w LIKE '%ied' AND length(w) >= 7 THEN left(w, length(w) - 3)
         WHEN w LIKE '%es' AND length(w) >= 6 THEN left(w, length(w) - 2)
-        WHEN w LIKE '%ed' AND length(w) >= 6 THEN CASE WHEN regexp_matches(left(w, length(w) - 2), '(bb|dd|ff|gg|ll|mm|nn|pp|rr|ss|tt)$') THEN left(w, length(w) - 3) ELSE left(w, length(w) - 2) END
+        WHEN w LIKE '%ed' AND length(w) >= 6 THEN CASE WHEN regexp_matches(left(w, length(w) - 2), '(bb|cc|dd|ff|gg|hh|jj|kk|ll|mm|nn|pp|qq|rr|ss|tt|vv|ww|xx|yy|zz)$') THEN left(w, length(w) - 3) ELSE left(w, length(w) - 2) END
         WHEN w LIKE '%s' AND length(w) >= 5 THEN left(w, length(w) - 1) ELSE w END AS stem FROM c"""
 )
 def stems(s, d):
@@ -229,11 +216,12 @@ def grep_lines(s, d):
 
 
 @query(
-    """SELECT doc_id AS id, 2 AS "start", 3 AS "end", array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS text FROM documents WHERE doc_id % 10 = 0"""
+    """SELECT doc_id AS id, 1 + doc_id % 3 AS "start", 2 + doc_id % 5 AS "end",
+    array_to_string(string_split(text, chr(10))[1 + doc_id % 3:2 + doc_id % 5], chr(10)) AS text FROM documents"""
 )
 def range_read(s, d):
     docs = _t(s, d, "documents")
-    wanted = docs.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), F.lit(2).alias("start"), F.lit(3).alias("end"))
+    wanted = docs.select(F.col("doc_id").alias("id"), (1 + F.col("doc_id") % 3).cast("int").alias("start"), (2 + F.col("doc_id") % 5).cast("int").alias("end"))
     return files.read_ranges(docs, wanted, "doc_id", "text")
 
 
@@ -417,8 +405,8 @@ def communities(s, d):
 
 # --- market of names ----------------------------------------------------------
 
-_MARKET = """provided AS (SELECT DISTINCT s_nationkey AS project, p_brand AS kind, p_partkey AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-    JOIN part ON l_partkey = p_partkey WHERE l_partkey % 7 = s_nationkey % 7),
+_MARKET = """provided AS (SELECT s_nationkey AS project, p_brand AS kind, p_partkey AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+    JOIN part ON l_partkey = p_partkey GROUP BY ALL HAVING count(*) >= 4),
     taken AS (SELECT DISTINCT c_nationkey AS project, p_brand AS kind, p_partkey AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey
     JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey),
     providers AS (SELECT kind, name, count(*) AS n, min(project) AS provider FROM provided GROUP BY ALL),
@@ -600,25 +588,27 @@ def upsert_latest_wins(s, d):
 
 # --- symbols ------------------------------------------------------------------
 
-_SYMBOLS = """nodes AS (SELECT p_size AS project, p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 11 = 0 THEN 'file' ELSE 'method' END AS type, p_brand || '/' || p_type AS path FROM part),
-    wanted AS (SELECT p_partkey AS ask, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'red widget' END AS owner, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS ending FROM part WHERE p_partkey % 40 = 0)"""
+_SYMBOLS = """nodes AS (SELECT c_nationkey AS project, c_custkey AS id, c_mktsegment || '#' || c_custkey // 2 AS name, CASE WHEN c_custkey % 11 = 0 THEN 'file' ELSE 'method' END AS type,
+        c_nationkey || '/' || c_mktsegment AS path FROM customer),
+    wanted AS (SELECT c_custkey AS ask, c_mktsegment || '#' || c_custkey // 2 AS name, CASE WHEN c_custkey % 2 = 0 THEN 'FURNITURE#' || c_custkey // 20 END AS owner,
+        CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS ending FROM customer)"""
 
 
 @query(
-    f"""WITH {_SYMBOLS}, held AS (SELECT a.project, a.id, b.id AS source, b.name AS holder FROM nodes a JOIN nodes b ON a.project = b.project AND a.id % 7 = b.id % 7 AND a.id <> b.id AND b.type <> 'file' AND b.id < 200),
+    f"""WITH {_SYMBOLS}, held AS (SELECT a.project, a.id, b.name AS holder FROM nodes a JOIN nodes b ON b.id = a.id // 10 AND b.project = a.project AND a.id <> b.id AND b.type <> 'file'),
     f AS (SELECT ask, owner AS asked, n.project, n.id FROM nodes n JOIN wanted w USING (name) WHERE type <> 'file' AND (ending IS NULL OR path = ending OR path LIKE '%/' || ending)),
-    h AS (SELECT ask, asked, f.project, f.id, arg_min(holder, (CASE WHEN holder IS NOT DISTINCT FROM asked THEN 0 ELSE 1 END, source)) AS owner FROM f LEFT JOIN held USING (project, id) GROUP BY 1, 2, 3, 4),
-    o AS (SELECT ask, project, id, owner, asked IS NOT NULL AND owner IS NOT DISTINCT FROM asked AS owned FROM h)
+    o AS (SELECT ask, f.project, f.id, holder AS owner, asked IS NOT NULL AND holder IS NOT DISTINCT FROM asked AS owned FROM f LEFT JOIN held USING (project, id))
     SELECT * FROM o WHERE owned OR ask NOT IN (SELECT ask FROM o WHERE owned)"""
 )
 def resolve_symbols(s, d):
-    part = _t(s, d, "part")
-    kind = F.when(F.col("p_partkey") % 11 == 0, "file").otherwise("method").alias("type")
-    nodes = part.select(F.col("p_size").alias("project"), F.col("p_partkey").alias("id"), F.concat(F.lit("."), "p_name", F.lit("()")).alias("name"), kind, F.concat_ws("/", "p_brand", "p_type").alias("file_path"))
-    a, b = nodes.select("project", "id", (F.col("id") % 7).alias("k")), nodes.select("project", F.col("id").alias("source"), (F.col("id") % 7).alias("k")).filter("source < 200")
-    edges = a.join(b, ["project", "k"]).filter("id != source").select("project", "source", F.col("id").alias("target"), F.lit("contains").alias("relation"))
-    names = F.when(F.col("p_partkey") % 2 == 0, ".red widget()").alias("owner"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).alias("file_path")
-    wanted = part.filter("p_partkey % 40 = 0").select(F.col("p_partkey").alias("ask"), F.col("p_name").alias("name"), *names)
+    """Every customer asks for its name and every customer may hold others: n is held by n div 10 of its nation."""
+    c = _t(s, d, "customer")
+    kind = F.when(F.col("c_custkey") % 11 == 0, "file").otherwise("method").alias("type")
+    name = F.concat("c_mktsegment", F.lit("#"), F.expr("c_custkey div 2"))
+    nodes = c.select(F.col("c_nationkey").alias("project"), F.col("c_custkey").alias("id"), F.concat(F.lit("."), name, F.lit("()")).alias("name"), kind, F.concat_ws("/", "c_nationkey", "c_mktsegment").alias("file_path"))
+    edges = nodes.select("project", F.expr("id div 10").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("relation")).filter("source != target")
+    owner = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(".FURNITURE#"), F.expr("c_custkey div 20"), F.lit("()"))).alias("owner")
+    wanted = c.select(F.col("c_custkey").alias("ask"), name.alias("name"), owner, F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("file_path"))
     return symbols.resolve_symbols(nodes, edges, wanted).withColumn("owner", F.regexp_replace("owner", r"^\.|\(\)$", ""))
 
 

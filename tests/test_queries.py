@@ -6,7 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lattica.plans.queries import ORACLE_SQL, QUERIES
+import __spark_entry__
+
+QUERIES, ORACLE_SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
