@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from ..functions.text import cosine, lexical_words
+from ..functions.text import cosine, lexical_words, similarity
 from ..session import stage
 
 #: Document frequencies stop here; the constant of rank fusion.
@@ -53,6 +53,58 @@ def phrase_search(texts: DataFrame, id_col: str, text_col: str, phrase: list[str
     return texts.filter(joined.contains(" " + " ".join(phrase) + " ")).select(F.col(id_col).alias("id"), F.lit(2.0).alias("score"))
 
 
+def name_search(rows: DataFrame, id_col: str, name_col: str, question: str, part: str, patterns: list[str], depth: int, least: float = 0.3) -> DataFrame:
+    """(id, score): names like the question by trigrams, holding ``part``, or fitting one of the ILIKE ``patterns``."""
+    name, near = F.col(name_col), similarity(F.col(name_col), F.lit(question))
+    fits = F.lit(False)
+    for p in patterns:
+        fits = fits | name.ilike(p)
+    holds = name.ilike(f"%{part}%")
+    score = F.greatest(near, F.when(holds, 0.5).otherwise(0.0), F.when(fits, 0.4).otherwise(0.0))
+    found = rows.filter((near >= least) | holds | fits).select(F.col(id_col).alias("id"), score.alias("score"))
+    return found.orderBy(F.desc(F.round("score", 6)), "id").limit(depth)
+
+
+def summary_search(rows: DataFrame, id_col: str, summary_col: str, terms: list[str], depth: int) -> DataFrame:
+    """(id, score): summaries with any of the words, by how many of them, then by their share of the summary."""
+    words = lexical_words(F.col(summary_col))
+    hits = F.filter("words", lambda w: w.isin(terms))
+    found = rows.select(F.col(id_col).alias("id"), words.alias("words")).withColumns({"n": F.size(hits), "kinds": F.size(F.array_distinct(hits))})
+    score = F.col("kinds") + F.col("n") / (F.col("n") + F.size("words"))
+    return found.filter("n > 0").select("id", score.alias("score")).orderBy(F.desc(F.round("score", 6)), "id").limit(depth)
+
+
+def best_rows(rows: DataFrame, depth: int) -> DataFrame:
+    """The union of lists (project, id, score, matched): the best row of each id, ``depth`` of each project, with their place."""
+    best = rows.groupBy("project", "id").agg(F.max(F.struct("score", "matched")).alias("b")).select("project", "id", "b.matched", "b.score")
+    place = F.row_number().over(Window.partitionBy("project").orderBy(F.desc(F.round("score", 9)), "id")).cast("long")
+    return best.withColumn("place", place).filter(F.col("place") <= depth)
+
+
+def depths(limit: int) -> tuple[int, int]:
+    """(rows, chunks) that each list brings for an answer of ``limit`` rows."""
+    depth = max(3 * limit, 50)
+    return depth, 4 * depth
+
+
+def by_mode(mode: str, lexical: DataFrame, vector: DataFrame) -> DataFrame:
+    """One list alone, or both fused, by the ranks they have in their lists."""
+    if mode == "hybrid":
+        return fuse(lexical, vector)
+    return fuse(lexical, vector.limit(0)) if mode == "lexical" else fuse(lexical.limit(0), vector)
+
+
+def snippet(matched: Column, text: Column, start: Column, end: Column, summary: Column, most: int = 400) -> Column:
+    """What matched: the lines of a source hit, or the summary; null where that is empty."""
+    lines = F.array_join(F.slice(F.split(text, "\n"), start, F.greatest(end - start + 1, F.lit(0))), "\n")
+    return F.nullif(F.substring(F.when(matched == "source", lines).when(matched == "summary", summary), 1, most), F.lit(""))
+
+
+def origin(source: Column) -> Column:
+    """How a text came to be, for readers; null where it is the file's own."""
+    return F.when(source == "manual", "written by hand").when(source == "llm", "from a model")
+
+
 def vector_search(vectors: DataFrame, id_col: str, vector_col: str, query: list[float], depth: int) -> DataFrame:
     """(id, score): nearest by cosine, exact."""
     near = cosine(F.col(vector_col), F.array(*map(F.lit, query)))

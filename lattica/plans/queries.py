@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import text as tx
-from ..operators import graph, incremental, links, records, relational, retrieval, symbols
+from ..operators import graph, incremental, links, ranking, records, relational, retrieval, symbols
 from ..operators.components import connected_components
 from ..sources import manifests
 from ..sources import text as files
@@ -307,11 +307,9 @@ def full_outer_ranks(s, d):
     SELECT p_type, w AS word FROM r JOIN w ON length(w) >= 3 AND (starts_with(w, p) OR starts_with(p, w))"""
 )
 def theta_prefix_join(s, d):
-    words = _t(s, d, "part").select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_type", "p_name")), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
-    # Prefixes have three letters, so both start alike exactly if their first three letters agree: an equi-join.
+    words = _t(s, d, "part").select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_type", "p_name")), F.lit("[a-z]+"), F.lit(0))).alias("word"))
     roots = _t(s, d, "part").select("p_type", F.lower(F.substring("p_type", 1, 3)).alias("root")).distinct()
-    words = words.filter(F.length("word") >= 3).withColumn("root", F.substring("word", 1, 3))
-    return roots.join(words, "root").select("p_type", "word")
+    return ranking.prefix_pairs(words, roots).join(roots, "root").select("p_type", "word").distinct()
 
 
 # --- graph --------------------------------------------------------------------
