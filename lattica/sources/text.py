@@ -44,3 +44,38 @@ def read_ranges(texts: DataFrame, ranges: DataFrame, id_col: str, text_col: str)
     found = ranges.join(texts.select(F.col(id_col).alias("id"), text_col), "id", "left")
     text = F.array_join(F.slice(parts, F.col("start"), F.greatest(F.col("end") - F.col("start") + 1, F.lit(0))), "\n")
     return found.select("id", "start", "end", text.alias("text"))
+
+
+#: Files that are never read, whoever asks (fixed values): secrets by name or ending.
+SECRETS = r"(^|/)(\.env(\..*)?|\.netrc|\.pgpass|id_rsa|id_ed25519|credentials)$|\.(pem|key|p12|pfx|keystore)$"
+
+
+def read_content(files: DataFrame, limit: int, largest: int) -> DataFrame:
+    """``files`` (path, size, text, ...) with text cut to ``limit`` characters, or none and the reason why."""
+    reason = F.when(F.col("path").rlike(SECRETS), "not readable").when(F.col("size") > largest, "too large").when(F.instr("text", "\u0000") > 0, "binary")
+    return files.withColumn("reason", reason).withColumn("text", F.when(F.col("reason").isNull(), F.substring("text", 1, limit)))
+
+
+def _glob(pattern: str) -> str:
+    """An ignore file's pattern as a regular expression on the path below the file's folder."""
+    import re
+
+    anchored, folder = "/" in pattern.rstrip("/"), pattern.endswith("/")
+    body = re.escape(pattern.strip("/")).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+    return ("^" if anchored else "(^|/)") + body + ("/" if folder else "(/|$)")
+
+
+def ignored(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """``files`` (path, ...) with ``ignored``, by the rules (folder, pattern) of ignore files, in order.
+
+    The deepest folder with a rule that fits decides, and of its rules the last; a leading ! takes a path back.
+    Comments and blank lines are no rules. Rules are a tree's ignore files, so they go into the plan.
+    """
+    found = F.lit(False)
+    for folder, pattern in sorted(rules, key=lambda r: r[0].count("/")):  # the last one is asked first
+        line = pattern.strip()
+        if line and not line.startswith("#"):
+            below = F.substring("path", F.lit(len(folder) + 1), F.length("path"))
+            fits = F.col("path").startswith(folder) & below.rlike(_glob(line.lstrip("!")))
+            found = F.when(fits, F.lit(not line.startswith("!"))).otherwise(found)
+    return files.withColumn("ignored", found)
