@@ -107,10 +107,15 @@ class Codebook:
 def _units(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(vectors in double precision, the same at length 1)."""
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(vectors), -1)
+    x = _scaled(flat.reshape(len(vectors), -1))
     return x, x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their greatest component near 1: exact, and squares neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def _placed(classes: DataFrame, books: dict[int, Codebook], probes: int) -> DataFrame:
     """Each class with its cell and the cells that it probes, both among vectors of its length."""
     shared = classes.sparkSession.sparkContext.broadcast(books)
@@ -156,7 +161,7 @@ def _searched(blocks: DataFrame, books: dict[int, Codebook], least: float) -> Da
     kind = blocks.schema["id"].dataType.simpleString()
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(block["embedding"].to_numpy()).astype(np.float64)
+        x = _scaled(np.stack(block["embedding"].to_numpy()).astype(np.float64))
         book = shared.value.get(x.shape[1]) or Codebook.plain(x.shape[1])
         size = np.sqrt((x * x).sum(axis=1))
         rest = x / size[:, None] - book.centre(int(block["block_cell"].iloc[0]))

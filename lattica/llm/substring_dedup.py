@@ -247,10 +247,6 @@ def _dealt(segments: DataFrame, passages: DataFrame) -> DataFrame:
     return both.repartition("anchor", "block", "part").sortWithinPartitions("anchor", "block", "part", "segment", "words")
 
 
-#: Automata that tasks of this process have built, for tests.
-BUILT = [0]
-
-
 def _streamed(rows: DataFrame, width: int) -> DataFrame:
     """(id, row, spans): what the automaton of each (anchor, block, part) finds in the segments behind it.
 
@@ -274,7 +270,6 @@ def _streamed(rows: DataFrame, width: int) -> DataFrame:
                     continue
                 if shard is None:
                     shard, low = Automaton(passages), min(owner for owner, _ in passages)
-                    BUILT[0] += 1
                 if low >= ids[i]:
                     continue
                 if words[i] != known[0]:

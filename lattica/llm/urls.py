@@ -39,7 +39,7 @@ def path_of(url: Column) -> Column:
 
 def given_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     """Struct of rule and verdict of the longest rule that fits; null if none does."""
-    found = F.lit(None)
+    found = F.lit(None).cast("struct<rule:string,verdict:string>")
     for r in sorted(rules, key=lambda r: len(r.host + r.path)):  # the last one is asked first
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         one = F.struct(F.lit(r.host + r.path).alias("rule"), F.lit(r.verdict).alias("verdict"))
