@@ -29,7 +29,7 @@ from .shingles import Rolling, Words, window_starts, words_of
 #: Words of the runs whose least hash is a window's anchor.
 RUN = 10
 #: Words of an anchor's passages that make one automaton, and segments that one task streams through it.
-BLOCK, PART = 16_384, 2_048
+BLOCK, PART = 16_384, 512
 
 
 class Automaton:
