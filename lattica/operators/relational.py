@@ -51,14 +51,14 @@ def latest(rows: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame
     return best.select(*keys, *(F.col(f"best.{c}").alias(c) for c in rest))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``new`` and the rows of ``old`` whose key it has not; of a key that ``new`` repeats any one row stays."""
-    return old.join(new, list(keys), "left_anti").unionByName(new.dropDuplicates(list(keys)))
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``new`` and the rows of ``old`` whose key it has not; of a key that ``new`` repeats the row with the greatest ``by``, then the greatest rest, stays."""
+    return old.join(new, list(keys), "left_anti").unionByName(latest(new, keys, by).select(*new.columns))
 
 
-def insert_missing(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``old`` and the rows of ``new`` whose key it has not."""
-    return old.unionByName(new.join(old, list(keys), "left_anti").dropDuplicates(list(keys)))
+def insert_missing(old: DataFrame, new: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``old`` and the rows of ``new`` whose key it has not, one a key as in ``upsert``."""
+    return old.unionByName(latest(new.join(old, list(keys), "left_anti"), keys, by).select(*new.columns))
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -171,34 +172,51 @@ def pack(rows: DataFrame, key: str, order: str, cost: str, budget: int) -> DataF
     return dealt.mapInArrow(run, StructType([*rows.schema.fields, StructField("packed", BooleanType())]))
 
 
-def chunk_lines(texts: DataFrame, id_col: str, text_col: str, most: int = 1500, overlap: int = 5) -> DataFrame:
-    """(id, chunk, start_line, end_line, text): windows of whole lines.
+def chunk_lines(texts: DataFrame, id_col: str, text_col: str, most: int = 1500, overlap: int = 5, entities: str | None = None, slack: float = 0.4) -> DataFrame:
+    """(id, chunk, start_line, end_line, entity, text): windows of whole lines.
 
     Lines are packed to ``most`` characters, their ends counted; a longer line is a window
     of its own. The next window repeats up to ``overlap`` lines but always moves on. Blank
-    windows are left out. A text is read by one task and leaves it row by row.
+    windows are left out. ``entities`` names an array column of (line, name): a full window is
+    cut before an entity that starts in its last part, a share of ``slack``, and the next one
+    begins there; ``entity`` is the one a window starts in, else the first within. A text is
+    read by one task and leaves it row by row.
     """
 
-    def cut(text: str) -> Iterator[tuple[int, int, str]]:
-        lines = text.split("\n")
+    def cut(text: str, known: list[tuple[int, str]]) -> Iterator[tuple[int, int, str | None, str]]:
+        lines = text.splitlines()
+        starts = [line for line, _ in known]
+        cuts = sorted({line - 1 for line in starts if line > 1})
         start = 0
         while start < len(lines):
             end, size = start, 0
             while end < len(lines) and (end == start or size + len(lines[end]) + 1 <= most):
                 size += len(lines[end]) + 1
                 end += 1
+            at = bisect_right(cuts, end) - 1
+            clean = end < len(lines) and at >= 0 and start + max(1, int((end - start) * (1 - slack))) <= cuts[at]
+            end = cuts[at] if clean else end
             part = "\n".join(lines[start:end])
             if part.strip():
-                yield start + 1, end, part
-            if end == len(lines):
+                inside = bisect_right(starts, start + 1)
+                name = known[max(inside - 1, 0)][1] if inside or (starts and starts[0] <= end) else None
+                yield start + 1, end, name, part
+            if end >= len(lines):
                 return
-            start = max(start + 1, end - overlap)
+            start = end if clean else max(start + 1, end - overlap)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, n, *c) for i, t in zip(batch["id"], batch["text"], strict=True) for n, c in enumerate(cut(t or ""))]
-            yield pd.DataFrame(rows, columns=["id", "chunk", "start_line", "end_line", "text"])
+            known = ([] if x is None else sorted((e["line"], e["name"]) for e in x) for x in batch["entities"])
+            rows = [(i, n, *c) for i, t, e in zip(batch["id"], batch["text"], known, strict=True) for n, c in enumerate(cut(t or "", e))]
+            yield pd.DataFrame(rows, columns=["id", "chunk", "start_line", "end_line", "entity", "text"])
 
     kind = texts.schema[id_col].dataType.simpleString()
-    named = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return named.mapInPandas(run, f"id {kind}, chunk int, start_line int, end_line int, text string")
+    known = F.col(entities) if entities else F.lit(None)
+    named = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), known.cast("array<struct<line:int,name:string>>").alias("entities"))
+    return named.mapInPandas(run, f"id {kind}, chunk int, start_line int, end_line int, entity string, text string")
+
+
+def embedding_input(path: Column, entity: Column, text: Column) -> Column:
+    """What a model reads of a chunk: path, entity and text, each on its line."""
+    return F.concat_ws("\n", path, entity, text)

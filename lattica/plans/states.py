@@ -475,3 +475,26 @@ def ignored_paths(s, d):
     name = F.concat(_pick(k, "build/a/", "src/", "src/keep/", "docs/x/"), _pick(k, "m", "x_", "im"), F.col("p_size").cast("string"), _pick(F.expr("p_partkey div 12"), ".log", ".py", ".tmp"))
     rules = [("", "build/"), ("", "*.log"), ("src/", "*.tmp"), ("src/keep/", "!*.log"), ("src/keep/", "!im*"), ("docs/", "!*.log"), ("docs/x/", "# note")]
     return files.ignored(_t(s, d, "part").select(k.alias("id"), name.alias("path")), rules)
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS k, c_custkey % 4 AS f, c_nationkey AS project FROM customer)
+    SELECT project, k || '/pyproject.toml' AS path, 'pypi' AS kind, unnest(['web-app' || k % 5, 'left-pad', 'right', 'pytest', 'numpy']) AS name, unnest([true, false, false, false, false]) AS provided FROM c WHERE f = 0 UNION ALL
+    SELECT project, k || '/setup.cfg', 'pypi', unnest(['tool' || k % 5, 'click', 'rich']), unnest([true, false, false]) FROM c WHERE f = 1 UNION ALL
+    SELECT project, k || '/a.spec', 'package', unnest(['engine', 'engine-devel', 'libx' || k % 5, 'zlib', 'glibc']), unnest([true, true, true, false, false]) FROM c WHERE f = 2 UNION ALL
+    SELECT project, k || '/hosts.ini', 'host', unnest(['web08.example.com', 'web09.example.com', 'web10.example.com', 'db-a' || k % 5, 'db-b' || k % 5]), false FROM c WHERE f = 3"""
+)
+def manifest_formats(s, d):
+    """Python projects, setup files, package specs and inventories."""
+    from ..sources import manifests
+
+    k, n = F.col("c_custkey"), (F.col("c_custkey") % 5).cast("string")
+    python = F.concat(
+        F.lit('[project]\nname = "Web_App'), n, F.lit('"\ndependencies = [\n  "Left.Pad>=1",\n  "right[x]==2",\n]\n\n[project.optional-dependencies]\ntest = ["pytest"]\n\n[tool.poetry]\nname = "no"\n\n[tool.poetry.dependencies]\npython = "^3"\nnumpy = "*"\n'),
+    )
+    setup = F.concat(F.lit("[metadata]\nname = Tool"), n, F.lit("\n\n[options]\npackages = find:\ninstall_requires =\n    click>=8\n    rich\npython_requires = >=3\n"))
+    spec = F.concat(F.lit("Name: engine\nRequires: zlib >= 1.2, glibc\nRequires(post): /sbin/ldconfig perl(x)\n%package devel\n%package -n libx"), n, F.lit("\n"))
+    hosts = F.concat(F.lit("[web]\nweb[08:10].example.com port=22\n# none\n[db]\ndb-[a:b]"), n, F.lit("\n[db:vars]\nuser\n[all:children]\nweb\n"))
+    pick = lambda *x: F.element_at(F.array(*x), (k % 4 + 1).cast("int"))
+    path = F.concat(k.cast("string"), F.lit("/"), pick(*map(F.lit, ("pyproject.toml", "setup.cfg", "a.spec", "hosts.ini"))))
+    return manifests.manifest_names(_t(s, d, "customer").select(F.col("c_nationkey").alias("project"), path.alias("path"), pick(python, setup, spec, hosts).alias("text")))
