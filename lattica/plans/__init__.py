@@ -1 +1,6 @@
 """Registered queries and their SQL."""
+
+from . import answers, queries, questions, states
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "answers", "queries", "questions", "states"]

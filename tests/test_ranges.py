@@ -2,7 +2,7 @@
 
 import duckdb
 
-from lattica.plans.queries import QUERIES
+from lattica.plans import QUERIES
 
 
 def test_range_of_every_document(spark, tmp_path):

@@ -5,7 +5,7 @@ import random
 import duckdb
 
 from lattica.operators import symbols
-from lattica.plans.queries import QUERIES
+from lattica.plans import QUERIES
 
 
 def brute(nodes, edges, wanted):
