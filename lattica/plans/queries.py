@@ -53,13 +53,14 @@ _FUSED = """
     )"""
 
 
-def _lists(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _lexical(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.lexical_search(_t(s, d, "documents"), "doc_id", "text", TERMS, 200)
+
+
+def _vector(s: SparkSession, d: str) -> DataFrame:
     vectors = _t(s, d, "embeddings")
     asked = [float(x) for x in vectors.orderBy("vec_id").first()["embedding"]]  # the query: one vector
-    return (
-        retrieval.lexical_search(_t(s, d, "documents"), "doc_id", "text", TERMS, 200),
-        retrieval.vector_search(vectors, "vec_id", "embedding", asked, 200),
-    )
+    return retrieval.vector_search(vectors, "vec_id", "embedding", asked, 200)
 
 
 @query(f"WITH {_POSTINGS} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf, common FROM weights")
@@ -70,17 +71,17 @@ def df_capped_weights(s, d):
 
 @query(f"WITH {_POSTINGS} SELECT id, round(score, 6) AS score, tf FROM lexical")
 def lexical_idf_topk(s, d):
-    return _lists(s, d)[0].select("id", F.round("score", 6).alias("score"), "tf")
+    return _lexical(s, d).select("id", F.round("score", 6).alias("score"), "tf")
 
 
 @query(f"WITH {_VECTOR} SELECT id, round(score, 6) AS score FROM vector")
 def vector_cosine_topk(s, d):
-    return _lists(s, d)[1].select("id", F.round("score", 6).alias("score"))
+    return _vector(s, d).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_POSTINGS}, {_VECTOR}, {_FUSED} SELECT id, round(rrf, 9) AS rrf, lexical_rank, vector_rank FROM fused ORDER BY round(rrf, 9) DESC, id LIMIT 50")
 def hybrid_search_rrf(s, d):
-    out = retrieval.fuse(*_lists(s, d)).select("id", F.round("rrf", 9).alias("rrf"), "lexical_rank", "vector_rank")
+    out = retrieval.fuse(_lexical(s, d), _vector(s, d)).select("id", F.round("rrf", 9).alias("rrf"), "lexical_rank", "vector_rank")
     return out.orderBy(F.desc("rrf"), "id").limit(50)
 
 
@@ -90,7 +91,7 @@ def hybrid_search_rrf(s, d):
     FROM fused JOIN documents ON id = doc_id ORDER BY score DESC, id LIMIT 50"""
 )
 def rerank_bonus(s, d):
-    rows = retrieval.fuse(*_lists(s, d)).join(_t(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars"), "id")
+    rows = retrieval.fuse(_lexical(s, d), _vector(s, d)).join(_t(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars"), "id")
     bonuses = {
         "language": (F.col("lang") == "en", 0.75),
         "degree": (F.least(F.log1p("n_chars"), F.lit(3.0)), 0.03),
