@@ -12,25 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .ranges import running
 from .text import whole, word_count
 
 
-def _running(rows: DataFrame, order: list, sums: list[str], name: str) -> DataFrame:
-    """``rows`` with, for each of ``sums``, ``<name>_before``: its sum over the rows before, in ``order``.
-
-    Rows are dealt by ranges of the order; a sum is that of the ranges before and that within
-    the range, so no task sees all rows.
-    """
-    dealt = stage(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    parts = dealt.groupBy("_part").agg(*(F.sum(c).alias(c) for c in sums))
-    parts = parts.select("_part", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_{c}") for c in sums))
-    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = dealt.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_own_{c}") for c in sums))
-    out = summed.join(F.broadcast(parts), "_part")
-    return out.select(*rows.columns, *((F.col(f"_{c}") + F.col(f"_own_{c}")).alias(f"{c}_before") for c in sums))
-
-
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size) -> the same with ``target``, in words.
 
@@ -41,11 +26,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     be as many as hosts: their order and sums are found by ranges.
     """
     by_name = [F.col("source").isNull(), F.col("source")]
-    s = _running(sizes.withColumn("one", F.lit(1).cast("long")), by_name, ["one"], "sources")
+    s = running(sizes.withColumn("one", F.lit(1).cast("long")), by_name, ["one"], "sources")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("one_before") % len(weights) + 1).cast("int")).cast("long")
     s = s.select("source", "source_size", weight.alias("w"))
     s = s.withColumn("full", F.col("source_size") * F.lit(most) / F.col("w"))
-    s = _running(s, [F.col("full"), *by_name], ["source_size", "w"], "levels")
+    s = running(s, [F.col("full"), *by_name], ["source_size", "w"], "levels")
     total = sizes.agg(F.sum("source_size").alias("all_words"))
     total = total.crossJoin(s.agg(F.sum("w").alias("all_weights")))  # one row
     level = (F.col("all_words") * F.lit(share) - F.col("source_size_before") * F.lit(most)) / (F.col("all_weights") - F.col("w_before"))

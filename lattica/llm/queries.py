@@ -1,11 +1,11 @@
-"""The queries op1 to op10 over the tables of a folder, and their SQL where SQL can say it."""
+"""The queries op1 to op13 over the tables of a folder, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, exact_dedup, jaccard, line_dedup, mixing, pii, quality, substring_dedup, urls
+from . import bpe, embeddings, exact_dedup, inner, jaccard, line_dedup, mixing, pii, quality, ranked, substring_dedup, trie, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents ranked for every benchmark item."""
+    return ranked.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations that begin with turns of another one of their five."""
+    turns, convs = trie.numbered(_table(spark, sf_dir, "conversations"))
+    conv = F.col("conv")
+    heads = F.crc32(conv.cast("string").cast("binary")) % 9
+    return trie.prefix_trie(*trie.respliced(turns, convs, conv - conv % 5, heads, 8))
+
+
+def op13_top_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector against all others."""
+    return inner.top_inner(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
@@ -98,6 +116,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_top_inner": op13_top_inner,
 }
 
 ORACLE_SQL = {
@@ -217,4 +238,82 @@ ORACLE_SQL = {
         FROM (SELECT l.*, coalesce(s.first <> l.doc_id, false) AS gone FROM l LEFT JOIN s USING (k))
         GROUP BY doc_id
     """,
+    "op11_ranked_search": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), b AS (
+            SELECT item_id, t, count(*) AS times
+            FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+            GROUP BY item_id, t
+        ), tot AS (
+            SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM w WHERE len(terms) > 0
+        ), p AS (
+            SELECT doc_id, t, CAST(count(*) AS BIGINT) AS tf, CAST(any_value(n) AS BIGINT) AS n
+            FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS t FROM w) GROUP BY doc_id, t
+        ), f AS (
+            SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+            FROM p CROSS JOIN tot GROUP BY t, n_docs
+        ), s AS (
+            SELECT item_id, doc_id,
+                   CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM b JOIN f USING (t) JOIN p USING (t) CROSS JOIN tot GROUP BY item_id, doc_id
+        )
+        SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        WHERE rank <= 10
+    """,
+    "op12_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                                      sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), h AS (
+            SELECT c, xor(4294967295, list_reduce(
+                list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+                                         lambda y, z: xor(y >> 1, (y & 1) * 3988292384)))) % 9 AS h
+            FROM (SELECT DISTINCT c FROM t)
+        ), r AS (
+            SELECT h.c, t.pos AS k, role, text FROM h JOIN t ON t.c = h.c - h.c % 5 AND t.pos <= h
+            UNION ALL SELECT h.c, t.pos + 1000000, role, text FROM h JOIN t ON t.c = h.c AND t.pos > h
+        ), l AS (
+            SELECT h.c, list(sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text) ORDER BY k) FILTER (WHERE k IS NOT NULL) AS ds,
+                   list(CAST(strlen(text) AS BIGINT) ORDER BY k) FILTER (WHERE k IS NOT NULL) AS bs
+            FROM h LEFT JOIN r ON h.c = r.c GROUP BY h.c
+        ), m AS (
+            SELECT c, d, coalesce(len(ds), 0) AS n, array_to_string(ds[1:d], ',') AS k, array_to_string(ds[1:d - 1], ',') AS pk, bs[d] AS bytes
+            FROM (SELECT *, unnest(generate_series(0, coalesce(len(ds), 0))) AS d FROM l)
+        ), nodes AS (
+            SELECT d, coalesce(k, '') AS k, any_value(coalesce(pk, '')) AS pk, min(c) AS conv_id, count(*) AS n_convs, coalesce(any_value(bytes), 0) AS bytes,
+                   sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends
+            FROM m GROUP BY d, coalesce(k, '')
+        ), up AS (
+            SELECT x.d, x.k, y.d AS below, y.k AS below_k, CASE WHEN y.d = 0 THEN 0 ELSE (y.n_convs - 1) * y.bytes END AS saved,
+                   NOT EXISTS (SELECT 1 FROM nodes z WHERE z.d = y.d + 1 AND z.pk = y.k) AS leaf
+            FROM nodes x JOIN nodes y ON y.d >= x.d AND (x.d = 0 OR x.k = substr(y.k, 1, 65 * x.d - 1))
+        )
+        SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs,
+               (SELECT count(*) FROM nodes z WHERE z.d = n.d + 1 AND z.pk = n.k) AS n_children,
+               s.n_leaves, s.saved_tokens, n.ends AS ends_sha256
+        FROM nodes n
+        LEFT JOIN nodes p ON p.d = n.d - 1 AND p.k = n.pk
+        JOIN (SELECT d, k, count(*) FILTER (WHERE leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM up GROUP BY d, k) s
+            ON s.d = n.d AND s.k = n.k
+    """,
+    "op13_top_inner": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+            FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND len(q.e) = len(v.e)
+        )
+        SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        WHERE rank <= 5
+    """,
 }
