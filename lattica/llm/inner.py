@@ -94,33 +94,44 @@ class Targets:
         self.x, self.size, self.rows = x[order], size[order], rows[order]
         self.ids = [ids[i] for i in order]
         self.rotation = rotation
-        self.head = max(1, x.shape[1] // 8)
-        self.first, self.rest = self.turned(self.x, self.size)
+        self.heads = sorted({max(1, x.shape[1] * n // 8) for n in (1, 2, 4, 6, 7)})
+        self.first, self.rests = self.turned(self.x, self.size)
         by = sorted(range(len(ids)), key=lambda i: (self.ids[i] is None, 0 if self.ids[i] is None else self.ids[i], self.rows[i]))
         self.places = np.empty(len(ids), dtype=np.int64)
         self.places[by] = np.arange(len(ids))
 
-    def turned(self, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(the first coordinates after the rotation, the length of the others)."""
-        first = x[:, : self.head] if self.rotation is None else x @ self.rotation[:, : self.head]
+    def turned(self, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(the coordinates of all heads after the rotation, the length of what follows each head)."""
+        first = x[:, : self.heads[-1]] if self.rotation is None else x @ self.rotation[:, : self.heads[-1]]
         with np.errstate(all="ignore"):
-            rest = np.sqrt(np.maximum(size * size * (1 + 1e-9) - (first * first).sum(axis=1), 0))
-        return first, rest
+            return first, [np.sqrt(np.maximum(size * size * (1 + 1e-9) - (first[:, :n] * first[:, :n]).sum(axis=1), 0)) for n in self.heads]
+
+    def reaching(self, first: np.ndarray, rests: list[np.ndarray], part: slice, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, target of ``part``) whose bound reaches the query's floor: partial sums over more and more coordinates, until few are left."""
+        total, before = np.zeros((len(first), part.stop - part.start)), 0
+        for n, rest, own in zip(self.heads, rests, self.rests, strict=True):
+            total += first[:, before:n] @ self.first[part, before:n].T
+            before = n
+            open_ = ~(total + rest[:, None] * own[part] < floor[:, None])
+            if np.count_nonzero(open_) * 64 < open_.size:
+                break
+        return np.nonzero(open_)
 
     def search(self, x: np.ndarray, rows: np.ndarray, least: np.ndarray, k: int) -> Best:
         """The ``k`` best targets of each query but its own row, of those that reach ``least``."""
         size = _norms(x)
-        first, rest = self.turned(x, size)
+        first, rests = self.turned(x, size)
         best = Best(len(x), k, least.copy())
-        for start in range(0, len(self.x), 1024):
-            part = slice(start, min(start + 1024, len(self.x)))
+        stop, step = 0, 64  # the first, small parts make thresholds for the others
+        while stop < len(self.x):
+            start, stop, step = stop, min(stop + step, len(self.x)), min(2 * step, 1024)
+            part = slice(start, stop)
             with np.errstate(all="ignore"):
                 open_ = np.flatnonzero(~(size * self.size[start] < best.least))
                 if not len(open_):
                     break
-                bound = first[open_] @ self.first[part].T + rest[open_][:, None] * self.rest[part]
                 slack = 1e-9 * size[open_] * self.size[start] + 1e-6
-                q, v = np.nonzero(~(bound < (best.least[open_] - slack)[:, None]))
+                q, v = self.reaching(first[open_], [r[open_] for r in rests], part, best.least[open_] - slack)
             q, v = open_[q], v + start
             other = rows[q] != self.rows[v]
             q, v = q[other], v[other]
