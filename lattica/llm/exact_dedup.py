@@ -47,9 +47,10 @@ def document_names(docs: DataFrame, id_col: str, text: Column, block_chars: int
         "id",
         F.monotonically_increasing_id().alias("row"),
         F.unhex(F.sha2("text", 256)).alias("sha"),
-        F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)).alias("blocks"),
+        F.when(F.length("text") <= block_chars, F.array("text"))
+        .otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
+        .alias("blocks"),
     )
-    cut = cut.withColumn("blocks", F.when(F.size("blocks") == 0, F.array(F.lit(""))).otherwise(F.col("blocks")))
     blocks = cut.select(
         "id", "row", "sha", F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("index", "block")
     )

@@ -4,8 +4,10 @@ A shingle's inverted list holds the documents that have it. Two documents of n a
 shingles link only if they meet in T = ceil(0.8 max(n, m)) lists. As in DivideSkip, each
 document sets its T - 1 longest lists aside: whoever links with it meets it in one of the
 others, so only those short lists are shuffled and merged, and the long ones are probed for
-the candidates alone. Lengths come from a counting sketch of fixed size over all documents;
-they only order the lists, so their errors cost time, never links.
+the candidates alone. Lengths come from a counting sketch over all documents; they only order
+the lists, so their errors cost time, never links. The sketch grows with the documents up to a
+size that can be broadcast, and its counts are never cut: where many lists share a counter, a
+long list still stands out from counters that are all about equally full.
 
 Lists are searched in two turns, and in both all links come from ``search``: queries' short
 lists are merged by a heap, the long ones probed by binary search, block by block. First
@@ -33,26 +35,37 @@ from ..session import discard, stage
 from .batches import slices
 from .shingles import mixed, shingle_sets
 
-#: Counters of the sketch: the upper 16 bits of a shingle; its list is named by the lower 48.
-SLOTS = 1 << 16
-NAME = np.uint64(2**48 - 1)
-LONGEST = 2**15 - 1
+#: The sketch has a counter for the upper bits of a shingle, from 16 to 20 of them; its list is named by the lower 44.
+LEAST_BITS, MOST_BITS = 16, 20
+NAME_BITS = np.uint64(64 - MOST_BITS)
+NAME = np.uint64(2 ** (64 - MOST_BITS) - 1)
+#: Counters for each document, as far as there is room.
+COUNTERS = 16
 #: Lists longer than this are searched in blocks of their own, of so many queries (and their shingles) and targets.
 LONG, QUERIES, SHINGLES, TARGETS = 64, 128, 1 << 20, 256
 #: What probing a long list costs beside merging it.
 MU = 0.0085
 
 
-def _profiles(docs: DataFrame) -> DataFrame:
+def sketch_bits(documents: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (COUNTERS * documents).bit_length()))
+
+
+def _slots(shingles: np.ndarray, size: int) -> np.ndarray:
+    """The counter of each shingle in a sketch of ``size``, a power of two."""
+    return (shingles >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def _profiles(docs: DataFrame, size: int) -> DataFrame:
     """(id, n, d1, d2) of every document; and, with id null and n -1, (slots, counts) of every task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, dtype=np.int64)
+        total = np.zeros(size, dtype=np.int64)
         names = ["id", "n", "d1", "d2", "slots", "counts"]
         ints, lists = pa.int64(), pa.list_(pa.int64())
         for rows, texts in slices(batches, 1):
             doc, found = shingle_sets(texts)
-            total += np.bincount((found >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
+            np.add.at(total, _slots(found, size), 1)
             n = np.bincount(doc, minlength=len(texts))
             d1, d2 = np.zeros(len(texts), dtype=np.uint64), np.zeros(len(texts), dtype=np.uint64)
             if len(doc):
@@ -75,25 +88,30 @@ def _profiles(docs: DataFrame) -> DataFrame:
 
 
 def _short_lists(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(id, n, typical, last, lists): each document's lists without the T - 1 longest ones, and the place of the longest left in the order of all lists."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    """(id, n, typical, last, lists): each document's lists without the T - 1 longest ones, and the place of the longest left in the order of all lists.
+
+    The order is that of the counters, whatever their size: a key has the place of the list's
+    counter among all different counts, then the list's name.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((sketch, np.unique(sketch, return_inverse=True)[1].astype(np.uint64)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = shared.value
+        sketch, places = shared.value
         for rows, texts in slices(batches, 1):
             doc, found = shingle_sets(texts)
-            length = sketch[(found >> np.uint64(48)).astype(np.int64)]
+            slot = _slots(found, len(sketch))
+            length = sketch[slot]
             n = np.bincount(doc, minlength=len(texts))
             first = np.cumsum(n) - n
             typical = np.bincount(doc, np.log2(length), len(texts)) / np.maximum(n, 1)
-            key = np.minimum(length, LONGEST).astype(np.uint64) << np.uint64(48) | found & NAME
+            key = places[slot] << NAME_BITS | found & NAME
             for a, b in zip(first, first + n, strict=True):
                 key[a:b].sort()
             kept = np.arange(len(doc)) - first[doc] < (n - (4 * n + 4) // 5 + 1)[doc]
             names = (key[kept] & NAME).astype(np.int64)
             stops = np.concatenate([[0], np.cumsum(np.bincount(doc[kept], minlength=len(texts)))])
             last = np.zeros(len(texts), dtype=np.int64)
-            last[n > 0] = key[kept][stops[1:][n > 0] - 1].astype(np.int64)
+            last[n > 0] = (key[kept][stops[1:][n > 0] - 1] ^ np.uint64(1 << 63)).view(np.int64)  # in the order of unsigned keys
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(n, pa.int32()), pa.array((typical * 256).astype(np.int32)), pa.array(last), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(names))],
                 ["id", "n", "typical", "last", "lists"],
@@ -232,10 +250,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an empty table gives an empty one. Documents of equal sets are searched once.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    seen = stage(_profiles(named), "profiles")
+    size = 1 << sketch_bits(named.count())
+    seen = stage(_profiles(named, size), "profiles")
     counts = seen.filter("n = -1").select(F.explode(F.arrays_zip("slots", "counts")).alias("x"))
-    counts = counts.groupBy("x.slots").agg(F.sum("x.counts").alias("n")).toPandas()  # SLOTS rows at most
-    sketch = np.ones(SLOTS, dtype=np.int64)
+    counts = counts.groupBy("x.slots").agg(F.sum("x.counts").alias("n")).toPandas()  # ``size`` rows at most
+    sketch = np.ones(size, dtype=np.int64)
     sketch[counts["slots"].to_numpy(dtype=np.int64)] = counts["n"]
 
     profiles = seen.filter("n >= 0").select("id", "n", "d1", "d2")

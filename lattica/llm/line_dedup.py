@@ -41,7 +41,8 @@ def line_dedup(
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
     id_, text = names[id_col], names[text_col]
-    rows = rows.withColumns({"_id": F.col(id_).cast("string"), "_hash": F.xxhash64(text)})
+    known = F.coalesce(F.concat(F.lit("="), F.col(id_).cast("string")), F.lit(""))  # no id gives what null gives
+    rows = rows.withColumns({"_id": known, "_hash": F.xxhash64(text)})
     key = ascii_lower(F.btrim(F.col("_line"), F.lit(SPACE_CHARS)))
     lines = (
         rows.select(id_, "_hash", F.posexplode(F.split(whole(text), "\n", -1)).alias("_pos", "_line"))
@@ -61,10 +62,10 @@ def line_dedup(
         lines.withColumn("_check", F.hash("_key"))
         .join(shared, ["_key", "_check"])
         .filter(~F.col(id_).eqNullSafe(F.col("_first")))
-        .groupBy(F.coalesce(F.col(id_).cast("string"), F.lit("")).alias("_id"), "_hash")
+        .groupBy(known.alias("_id"), "_hash")
         .agg(F.array_sort(F.array_distinct(F.collect_list("_pos"))).alias("_dropped"))
     )
-    out = rows.withColumn("_id", F.coalesce("_id", F.lit(""))).join(dropped, ["_id", "_hash"], "left")
+    out = rows.join(dropped, ["_id", "_hash"], "left")
     out = out.withColumn("_lines", F.split(whole(text), "\n", -1))
     none = F.col("_dropped").isNull()
     kept = F.when(none, whole(text)).otherwise(F.array_join(_kept_lines(F.col("_lines"), F.col("_dropped")), "\n"))

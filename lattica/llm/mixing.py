@@ -82,7 +82,9 @@ def mix(
         word_count(whole(text_col)).alias("size"),
         *(F.col(c).alias(n) for c, n in extra.items()),
     )
-    keys = stage(rows.select("_source", F.substring("_key", 1, 8).alias("_key"), "size"), "mix-keys")
+    keys = stage(rows.drop(*extra.values()), "mix-keys")
+    if not extra:
+        rows = keys  # words are counted once; only what is carried is read again
     ranges = max(ranges, keys.count() // per_range)
     at = [F.coalesce("_source", F.lit("")).alias("_s"), F.col("_source").isNull().alias("_n"), _range(F.col("_key"), ranges).alias("_r")]
     parts = keys.groupBy(*at).agg(F.first("_source").alias("_source"), F.sum("size").alias("_words"))

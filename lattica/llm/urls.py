@@ -40,7 +40,7 @@ def path_of(url: Column) -> Column:
 def given_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     """Struct of rule and verdict of the longest rule that fits; null if none does."""
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for r in sorted(rules, key=lambda r: len(r.host + r.path)):  # the last one is asked first
+    for r in sorted(reversed(rules), key=lambda r: len(r.host + r.path)):  # the last one is asked first
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         one = F.struct(F.lit(r.host + r.path).alias("rule"), F.lit(r.verdict).alias("verdict"))
         found = F.when(fits, one).otherwise(found)
@@ -65,22 +65,30 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     )
 
 
-def mine(urls: DataFrame, url_col: str, bad_col: str, min_support: float = 0.002, min_confidence: float = 0.8) -> DataFrame:
+def mine(
+    urls: DataFrame, url_col: str, bad_col: str, min_support: float = 0.002, min_confidence: float = 0.8, min_urls: int = 10, margin: float = 0.1, z: float = 3.0
+) -> DataFrame:
     """Rules (rule_id, items, confidence, support): token sets whose urls are bad.
 
-    FP-growth over the token sets of labelled urls, the label among the items. A rule
-    stays if enough urls hold it and its confidence is high enough, and if no part of it
-    does as well alone. No labelled urls, no rules. Nulls in either column are ignored.
+    FP-growth over the token sets of labelled urls, the label among the items. A rule stays if
+    ``min_urls`` urls hold it and a share of ``min_support`` is bad with it, if its confidence is
+    high enough and lies above the share of bad urls among all by ``margin`` even at the lower
+    end of its interval (Wilson's, ``z`` standard deviations), and if no part of it does as well
+    alone. So a few urls that happen to be bad make no rule. No labelled urls, no rules. Nulls in
+    either column are ignored; repeated rows count each.
     """
     url = F.col(url_col)
     rows = urls.filter(url.isNotNull() & F.col(bad_col).isNotNull())
     bad = F.when(F.col(bad_col), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
     rows = stage(rows.select(F.concat(tokens(url, host_of(url), path_of(url)), bad).alias("items")), "url-items")
-    schema = "rule_id long, items array<string>, confidence double, support double"
-    if rows.isEmpty():
-        return urls.sparkSession.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
+    n, base = rows.agg(F.count(F.lit(1)), F.avg(F.array_contains("items", BAD).cast("double"))).first()
+    if not n:
+        return urls.sparkSession.createDataFrame([], "rule_id long, items array<string>, confidence double, support double")
+    least = min(1.0, max(min_support, min_urls * min_confidence / n))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(rows)
+    p, held = F.col("confidence"), F.round(F.col("support") * n / F.col("confidence"))
+    low = (p + z * z / (2 * held) - z * F.sqrt(p * (1 - p) / held + z * z / (4 * held * held))) / (1 + z * z / held)
+    rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (held >= min_urls) & (low >= base + margin))
     rules = stage(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "url-rules")
     one_less = rules.filter(F.size("items") > 1).select(
         "items", "confidence", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("part")
@@ -110,10 +118,11 @@ def judge(
     bad_col: str = "bad",
     min_support: float = 0.002,
     min_confidence: float = 0.8,
+    min_urls: int = 10,
 ) -> DataFrame:
     """One row per row of ``pages``: id_col, host, path, rule, verdict.
 
-    The longest given rule decides; where none fits, a url that a mined rule matches is
+    The longest given rule decides, of two of one length the one given first; where none fits, a url that a mined rule matches is
     blocked and any other allowed. A null url, or one without ://, has an empty host and
     path and fits no rule. Urls are matched once each, so copies cost nothing. Other
     columns are ignored, so none can clash; an empty table gives an empty one.
@@ -122,7 +131,7 @@ def judge(
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"))
     rows = rows.withColumns({"host": host_of(url), "path": path_of(url)})
     rows = rows.withColumn("given", given_rule(F.col("host"), F.col("path"), given))
-    rules = mine(labelled, url_col, bad_col, min_support, min_confidence)
+    rules = mine(labelled, url_col, bad_col, min_support, min_confidence, min_urls)
     open_ = rows.filter(F.col("given").isNull())
     hit = matched(open_, rules, "url").withColumns({"hit": F.lit(True), "check": F.hash("url")})
     out = rows.withColumn("check", F.hash("url")).join(hit, ["url", "check"], "left")

@@ -88,15 +88,30 @@ def test_mined_rules_are_those_of_counting(spark):
                 bad[part] += is_bad
     good = {p: bad[p] / hits[p] for p in hits if bad[p] / len(sets) >= support and bad[p] / hits[p] >= confidence}
     want = {p for p, c in good.items() if not any(good.get(tuple(x for x in p if x != drop), 0) >= c for drop in p)}
-    rules = urls.mine(labelled, "url", "bad", support, confidence)
+    rules = urls.mine(labelled, "url", "bad", support, confidence, min_urls=1, margin=-1)
     assert {tuple(r["items"]) for r in rules.collect()} == want and want
     blocked = {r.url for r in urls.matched(labelled, rules).collect()}
     assert blocked == {url for (url, _), (items, _) in zip(rows, sets, strict=True) if any(set(p) <= items for p in want)}
 
 
+def test_random_labels_give_no_rules_and_planted_ones_do(spark):
+    rng = random.Random(5)
+    urls_ = [f"https://{rng.choice('abcdefgh')}.{rng.choice(['org', 'com'])}/{rng.choice(['en', 'de', 'fr'])}/{rng.choice(['x', 'y', 'z'])}{i % 40}/p?{rng.choice('uvw')}=1" for i in range(600)]
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = [(u, rng.random() < 0.25) for u in urls_]
+        assert urls.mine(spark.createDataFrame(rows, "url string, bad boolean"), "url", "bad").count() == 0
+    planted = spark.createDataFrame([(u, ("/fr/" in u and "://b." in u) or bad) for u, bad in rows], "url string, bad boolean")
+    rules = urls.mine(planted, "url", "bad")
+    blocked = {r.url for r in urls.matched(planted, rules).collect()}
+    assert blocked == {u for u in urls_ if "/fr/" in u and "://b." in u}
+    few = spark.createDataFrame([(f"http://few.org/{i}", True) for i in range(9)] + [(u, False) for u in urls_], "url string, bad boolean")
+    assert urls.mine(few, "url", "bad").count() == 0  # nine urls are too few
+
+
 def test_urls_of_odd_tables(spark):
     pages = spark.createDataFrame([(1, "http://z.org/spam/1", "x", "y"), (1, "http://z.org/spam/1", "x", "y"), (None, None, None, None)], "page_id long, url string, host string, verdict string")
-    labelled = spark.createDataFrame([("http://z.org/spam/2", True)] * 5, "url string, bad boolean")
+    labelled = spark.createDataFrame([("http://z.org/spam/2", True)] * 20 + [("http://z.org/" + "long/" * 20_000, False)] * 20, "url string, bad boolean")
     got = sorted((tuple(r) for r in urls.judge(pages, labelled, ()).collect()), key=str)
     assert got == [(1, "z.org", "/spam/1", None, "block")] * 2 + [(None, "", "", None, "allow")]
 
@@ -137,6 +152,18 @@ def test_ids_of_any_type(spark):
     assert got == [(5, 0, 5), (BIG, 1, BIG), (BIG + 1, 1, BIG)]
 
 
+def test_the_sketch_grows_and_is_never_cut(spark):
+    assert [jaccard.sketch_bits(n) for n in (0, 4095, 4096, 10**5, 10**12)] == [16, 16, 17, 20, 20]
+    docs = frame(spark, [(i, " ".join(random.Random(i % 7).choices(["an", "to", "re", "lo", "é"], k=40)) + f" own {i}", "s") for i in range(60)])
+    docs = docs.select(F.col("doc_id").alias("id"), "text")
+    counts = np.random.default_rng(1).integers(1, 30_000, 1 << 16)
+    lists = lambda sketch: sorted((r.id, tuple(r.lists)) for r in jaccard._short_lists(docs, sketch).collect())
+    assert lists(counts) == lists(counts * 10**12)  # lengths far beyond any that 15 bits hold
+    at = lambda n: {r.id: set(r.lists) for r in jaccard._short_lists(docs, n).collect()}
+    hot = np.where(np.arange(1 << 16) % 3 == 0, 10**15, counts)
+    assert at(hot) != at(counts)
+
+
 def test_search_is_divide_skip():
     rng = np.random.default_rng(8)
     base = rng.integers(0, 2**62, 200).astype(np.uint64)
@@ -205,6 +232,12 @@ def test_native_operators_on_odd_ids(spark):
     assert texts == sorted([(4, "a line of text", 0), (4, "other words", 0), (9, "", 2), (None, "", 1), (None, "", 1)], key=str)
 
 
+def test_an_empty_id_is_not_a_null_one(spark):
+    rows = [("", "a line of text"), (None, "a line of text"), ("x", "a line of text")]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert {(r.doc_id, r.text) for r in out.collect()} == {("", "a line of text"), (None, ""), ("x", "")}
+
+
 def test_long_texts_have_as_many_blocks_as_they_need(spark):
     rows = [(1, "x" * 300_000, "s"), (2, "x" * 300_000, "s"), (3, "x" * 299_999 + "y", "s")]
     got = {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(frame(spark, rows), block_chars=2).collect()}
@@ -263,12 +296,15 @@ def test_long_pieces(spark):
         assert r.ids == known.encode_ordinary(texts[r.doc_id] or "") and bytes(r.decoded).decode() == (texts[r.doc_id] or "")
 
 
+def shingles(text):
+    w = WORDS(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
 def plain_pipeline(spark, docs, labels, machine):
     import public_tokenizers
     import tiktoken
 
-    import corpus_pipeline
-
     features = quality.Features()
     rows = [r for r in docs if machine.scores(*features([r.text or ""]), 1)[0] >= 0.5]
     key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
@@ -276,19 +312,14 @@ def plain_pipeline(spark, docs, labels, machine):
     for r in rows:
         for line in (r.text or "").split("\n"):
             holders.setdefault(key(line), set()).add(r.doc_id)
-    left = []
+    left, raw = [], {r.doc_id: r.text or "" for r in rows}
     for r in rows:
         kept = [x for x in (r.text or "").split("\n") if len(key(x)) < 10 or len(holders[key(x)]) < 2 or min(holders[key(x)]) == r.doc_id]
-        words, now = len(WORDS(r.text or "")), len(WORDS("\n".join(kept)))
-        if not words or words - now < corpus_pipeline.COPIED * words:
-            left.append((r.doc_id, "\n".join(kept), r.source))
-    sets = {}
-    for i, t, _ in left:
-        w = WORDS(re.sub("[A-Z]", lambda m: m[0].lower(), t))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        left.append((r.doc_id, "\n".join(kept), r.source))
+    sets = {i: [shingles(t), shingles(raw[i])] for i, t, _ in left}
     root = {i: i for i in sets}
     for a, b in itertools.combinations(sorted(sets), 2):
-        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+        if root[a] != root[b] and any(x and 100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b]):
             low, high = sorted((root[a], root[b]))
             root = {i: low if x == high else x for i, x in root.items()}
     left = [x for x in left if root[x[0]] == x[0]]
@@ -319,6 +350,7 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     rows = [(1, "some plain words of text here", "s"), (1, "some plain words of text here", "s"), (None, None, None), (None, "other words that stand alone", None), (2, "", "t"), (3, "long " * 20_000, "t")]
     for docs in (frame(spark, rows), frame(spark, [])):
+        docs.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
         docs = docs.withColumns({"score": F.lit("x"), "n_lines": F.lit(1), "_range": F.lit(2)})
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, str(tmp_path))
