@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe, jaccard, line_dedup, mixing, quality
-from lattica.llm.text import WORD, whole, word_count
+from lattica.llm.text import WORD
 from lattica.session import discard, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: The similarity of near duplicates, here as a share of words that other documents have as lines.
-COPIED = 0.8
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,25 +28,25 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that several documents share stay in the first; n_chars follows the text.
-
-    A document that loses ``COPIED`` of its words or more is a copy of earlier ones, line by
-    line, and goes whole: what is left of it could not be known as a copy any more by the next
-    stage. Documents without words, which lose none, stay.
-    """
-    before = docs.select(*COLUMNS).withColumn("_words", word_count(whole("text")))
-    out = line_dedup.line_dedup(before).withColumn("_left", word_count(F.col("text")))
-    out = out.filter((F.col("_words") == 0) | (F.col("_words") - F.col("_left") < COPIED * F.col("_words")))
+    """Lines that several documents share stay in the first; n_chars follows the text. All rows stay."""
+    out = line_dedup.line_dedup(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id; rows without an id stay.
 
-    Empty and null texts are in no group. Rows that repeat an id are one document, which stays
-    or goes whole.
+    Lines have gone before, so a copy may have lost what it shares with its original. Therefore a
+    document is searched by the text that it has now and also, where that has changed, by the one
+    that ``documents`` has for its id: it links where either of them does. Empty and null texts are
+    in no group. Rows that repeat an id are one document, which stays or goes whole; an id that
+    ``documents`` does not have is searched by its text alone. Texts may be of any length.
     """
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
+    own = docs.select("doc_id", "text")
+    known = own.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("_low"), F.max(F.xxhash64("text")).alias("_high"))
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    whole = whole.join(known, "doc_id").filter("_hash != _low and _hash != _high").select("doc_id", "text")
+    found = jaccard.near_duplicates(own.unionByName(stage(whole, "changed-texts")))
     gone = found.filter("component_id != doc_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
@@ -56,7 +54,9 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; where a budget ends within one, its first words.
 
-    Documents without words take nothing of a budget and go. A null source is one of its own.
+    Documents without words take nothing of a budget and go. A null source is one of its own. Rows
+    that repeat an id are taken each on its own; a very long text is taken in part where a budget
+    ends within it.
     """
     mix = mixing.mix(docs.select(*COLUMNS), carry=("text", "lang"))
     first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("rest").cast("int")), " ")
@@ -68,7 +68,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every row; null and empty texts have no ids."""
+    """doc_id, n_tokens and ids of every row, repeated ones too; null and empty texts have no ids, a very long one has all."""
     vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     out = bpe.encode_decode(docs, vocabulary, public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", "ids")
