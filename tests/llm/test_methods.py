@@ -316,13 +316,16 @@ def plain_pipeline(spark, docs, labels, machine):
     for r in rows:
         kept = [x for x in (r.text or "").split("\n") if len(key(x)) < 10 or len(holders[key(x)]) < 2 or min(holders[key(x)]) == r.doc_id]
         left.append((r.doc_id, "\n".join(kept), r.source))
-    sets = {i: [shingles(t), shingles(raw[i])] for i, t, _ in left}
-    root = {i: i for i in sets}
-    for a, b in itertools.combinations(sorted(sets), 2):
-        if root[a] != root[b] and any(x and 100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b]):
-            low, high = sorted((root[a], root[b]))
-            root = {i: low if x == high else x for i, x in root.items()}
-    left = [x for x in left if root[x[0]] == x[0]]
+    gone = set()
+    for texts in ({i: t for i, t, _ in left}, raw):
+        sets = {i: shingles(t) for i, t in texts.items()}
+        root = {i: i for i in sets}
+        for a, b in itertools.combinations(sorted(sets), 2):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if x == high else x for i, x in root.items()}
+        gone |= {i for i, x in root.items() if x != i}
+    left = [x for x in left if x[0] not in gone]
     taken = plain_mix([(i, len(WORDS(t)), s) for i, t, s in left])
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken")).ranks, special_tokens={})
     out = []
