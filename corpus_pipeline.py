@@ -36,21 +36,25 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id; rows without an id stay.
 
-    Lines have gone before, so a copy may have lost what it shares with its original. Therefore a
-    document is searched by the text that it has now and also, where that has changed, by the one
-    that ``documents`` has for its id: it links where either of them does. Empty and null texts are
-    in no group. Rows that repeat an id are one document, which stays or goes whole; an id that
-    ``documents`` does not have is searched by its text alone. Texts may be of any length.
+    Lines have gone before, so a copy may have lost what it shares with its original. Therefore
+    documents are searched twice, by the texts that they have now and by those that ``documents``
+    has for their ids, and a document goes that is not the smallest of its group in either
+    search. The two are never compared with each other. Empty and null texts are in no group.
+    Rows that repeat an id are one document, which stays or goes whole; an id that ``documents``
+    does not have is searched by its text alone. Texts may be of any length.
     """
-    own = docs.select("doc_id", "text")
-    known = own.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("_low"), F.max(F.xxhash64("text")).alias("_high"))
-    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.xxhash64("text").alias("_hash"))
-    whole = whole.join(known, "doc_id").filter("_hash != _low and _hash != _high").select("doc_id", "text")
-    found = jaccard.near_duplicates(own.unionByName(stage(whole, "changed-texts")))
-    gone = found.filter("component_id != doc_id").select("doc_id").distinct()
+    here = docs.select("doc_id").distinct()
+    whole = stage(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").join(here, "doc_id", "left_semi"), "whole-texts")
+    by_whole = stage(_copies(whole), "copies-by-whole-texts")
+    discard(whole)
+    gone = by_whole.union(_copies(docs.select("doc_id", "text"))).distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
+def _copies(texts: DataFrame) -> DataFrame:
+    return jaccard.near_duplicates(texts).filter("component_id != doc_id").select("doc_id")
+
+
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; where a budget ends within one, its first words.
 
