@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors, line_of
+from .ranges import running
 
 #: The bit that keeps a node out of summaries (fixed value).
 SKIP_SUMMARY = 2
+#: Columns of a queue.
+QUEUE = ("task", "hash", "since", "until", "tries", "done", "error")
 
 
 def summaries_owed(nodes: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
@@ -141,39 +144,68 @@ def without_constant(rows: DataFrame, column: str) -> DataFrame:
     return rows if rows.select(column).distinct().limit(2).count() > 1 else rows.drop(column)
 
 
-def enqueued(queue: DataFrame, new: DataFrame) -> DataFrame:
-    """The queue (task, hash, state, tries, until) with new tasks (task, hash); one that waits or is done with this hash is not put in again."""
-    fresh = new.select("task", "hash").dropDuplicates(["task"]).join(queue.select("task", "hash"), ["task", "hash"], "left_anti")
-    kept = queue.join(fresh.select("task"), "task", "left_anti")
-    return kept.select("task", "hash", "state", "tries", "until").unionByName(
-        fresh.select("task", "hash", F.lit("waiting").alias("state"), F.lit(0).cast("long").alias("tries"), F.lit(None).cast("timestamp").alias("until"))
-    )
+def enqueued(queue: DataFrame, new: DataFrame, now: Column, version: str) -> DataFrame:
+    """The queue after ``new`` tasks (task, hash, place) at ``now``.
 
-
-def claimed(queue: DataFrame, now: Column, lease: int, most: int, attempts: int) -> DataFrame:
-    """The queue after a claim of up to ``most`` tasks: those waiting or with a lease run out, fewest tries first; too many tries fail."""
-    over = (F.col("state") == "leased") & (F.col("until") < now)
-    rows = queue.withColumn("state", F.when(over, F.when(F.col("tries") >= attempts, "failed").otherwise("waiting")).otherwise(F.col("state")))
-    picked = rows.filter("state = 'waiting'").orderBy("tries", "task").limit(most).select("task", F.lit(True).alias("picked"))
-    rows = rows.join(picked, "task", "left")
-    end = F.timestamp_seconds(F.unix_timestamp(now) + lease)
+    A queue has ``QUEUE``: a task waits since ``since``, is leased until ``until`` or both (one put in
+    again while it is worked on), has used ``tries``, is done with a stamp hash|version|empty or has
+    failed with an error. A task is passed over if it waits or is leased with the same hash, or is
+    done with the same hash and version and was found empty; any other is put in, keeps its
+    place if it waits already and starts with no tries, stamp or error. Of rows that repeat a task
+    the last place has the hash, the first the time; rows of one place go by hash.
+    """
+    by = F.struct("place", "hash")
+    new = new.filter("task is not null").groupBy("task").agg(F.max(by)["hash"].alias("_hash"), F.min("place").alias("_place"))
+    rows = queue.select(*QUEUE).join(new, "task", "full")
+    same = F.col("hash").eqNullSafe(F.col("_hash")) & (F.col("since").isNotNull() | F.col("until").isNotNull())
+    settled_ = F.coalesce(F.col("done") == F.concat_ws("|", "_hash", F.lit(version), F.lit("1")), F.lit(False))
+    put = F.col("_place").isNotNull() & ~same & ~settled_
+    at = F.timestamp_micros(F.unix_micros(now) + F.col("_place"))
     return rows.select(
-        "task", "hash", F.when(F.col("picked"), "leased").otherwise(F.col("state")).alias("state"),
-        (F.col("tries") + F.when(F.col("picked"), 1).otherwise(0)).alias("tries"), F.when(F.col("picked"), end).when(F.col("state") == "leased", F.col("until")).alias("until"),
+        "task", F.when(put, F.col("_hash")).otherwise(F.col("hash")).alias("hash"), F.when(put, F.coalesce("since", at)).otherwise(F.col("since")).alias("since"), "until",
+        F.when(put, F.lit(0)).otherwise(F.col("tries")).cast("long").alias("tries"), *(F.when(~put, F.col(c)).alias(c) for c in ("done", "error")),
     )
 
 
-def settled(queue: DataFrame, outcomes: DataFrame, attempts: int) -> DataFrame:
-    """The queue after outcomes (task, outcome: finish, release, fail) of leased tasks; a failed task waits again until its tries are spent."""
-    rows = queue.join(outcomes.dropDuplicates(["task"]), "task", "left")
-    held = (F.col("state") == "leased") & F.col("outcome").isNotNull()
-    after = (
-        F.when(F.col("outcome") == "finish", "done")
-        .when((F.col("outcome") == "fail") & (F.col("tries") >= attempts), "failed")
-        .otherwise("waiting")
-    )
-    tries = F.col("tries") - F.when(held & (F.col("outcome") == "release"), 1).otherwise(0)
-    return rows.select("task", "hash", F.when(held, after).otherwise(F.col("state")).alias("state"), tries.alias("tries"), F.when(~held, F.col("until")).alias("until"))
+def claimed(queue: DataFrame, now: Column, lease: int, most: int) -> DataFrame:
+    """The queue after a claim of up to ``most`` tasks for ``lease`` seconds: those that wait longest, the smaller task on a tie.
+
+    Leases that have run out wait again first, from now on if they do not wait already. Tries are
+    counted here and judged when a task fails.
+    """
+    over = F.coalesce(F.col("until") <= now, F.lit(False))
+    rows = queue.select(*QUEUE).withColumns({"since": F.when(over, F.coalesce("since", now)).otherwise(F.col("since")), "until": F.when(~over, F.col("until"))})
+    picked = rows.filter("since is not null").orderBy("since", "task").limit(most).select("task", F.lit(True).alias("picked"))
+    got = F.col("picked").isNotNull()
+    end = F.timestamp_micros(F.unix_micros(now) + lease * 1_000_000)
+    return rows.join(picked, "task", "left").select(
+        "task", "hash", F.when(~got, F.col("since")).alias("since"), F.when(got, end).otherwise(F.col("until")).alias("until"),
+        (F.col("tries") + got.cast("long")).alias("tries"), "done", "error",
+    )
+
+
+def settled(queue: DataFrame, outcomes: DataFrame, now: Column, attempts: int, version: str) -> DataFrame:
+    """The queue after outcomes (task, outcome, hash, empty, error), the greatest of a task's rows in this order.
+
+    finish ends the lease and forgets tries and error; the task is done if the queue still asks for
+    the hash that was worked on. release gives a lease and its try back. fail ends the lease; a task
+    whose tries are spent leaves the queue with its error, any other waits again. Outcomes of
+    unknown tasks are passed over.
+    """
+    given = outcomes.groupBy("task").agg(F.max(F.struct("outcome", "hash", "empty", "error")).alias("o"))
+    rows = queue.select(*QUEUE).join(given, "task", "left")
+    is_ = lambda x: F.coalesce(F.col("o.outcome") == x, F.lit(False))
+    leased, spent = F.col("until").isNotNull(), F.col("tries") >= attempts
+    back = (is_("release") & leased) | (is_("fail") & ~spent)
+    stamp = F.concat_ws("|", "o.hash", F.lit(version), F.coalesce("o.empty", F.lit(0)).cast("string"))
+    return rows.select(
+        "task", "hash",
+        F.when(back, F.coalesce("since", now)).when(~(is_("fail") & spent), F.col("since")).alias("since"),
+        F.when(F.col("o").isNull(), F.col("until")).alias("until"),
+        F.when(is_("finish"), F.lit(0)).when(is_("release") & leased, F.greatest(F.col("tries") - 1, F.lit(0))).otherwise(F.col("tries")).cast("long").alias("tries"),
+        F.when(is_("finish") & (F.coalesce("hash", "o.hash") == F.col("o.hash")), stamp).otherwise(F.col("done")).alias("done"),
+        F.when(is_("fail") & spent, F.col("o.error")).when(~is_("finish"), F.col("error")).alias("error"),
+    )
 
 
 def overdue_first(projects: DataFrame, now: Column, running: int, capacity: int) -> DataFrame:
@@ -214,6 +246,7 @@ def regressed(metrics: DataFrame, baseline: DataFrame, allowed: float = 0.02) ->
 
 
 def numbered_groups(rows: DataFrame, group: str) -> DataFrame:
-    """(group, number, members): groups numbered by size, the largest first, then by their first id."""
+    """(group, number, members): groups numbered by size, the largest first, then by their first id; by ranges, as groups may be many."""
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first"))
-    return sizes.withColumn("number", F.row_number().over(Window.orderBy(F.desc("members"), "first"))).select(group, "number", "members")
+    placed = running(sizes.withColumn("one", F.lit(1).cast("long")), [F.desc("members"), "first"], ["one"], "groups")
+    return placed.select(group, (F.col("one_before") + 1).cast("int").alias("number"), "members")

@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import answers, queries, questions, states, writes
+from . import answers, graphs, queries, questions, states, writes
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "answers", "queries", "questions", "states", "writes"]
+__all__ = ["ORACLE_SQL", "QUERIES", "answers", "graphs", "queries", "questions", "states", "writes"]

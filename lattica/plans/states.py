@@ -209,46 +209,75 @@ _QUEUE = """q AS (SELECT c_custkey AS task, 'h' || c_custkey % 7 AS hash, ['wait
     CASE WHEN c_custkey % 4 = 1 THEN TIMESTAMP '2024-01-31' WHEN c_custkey % 4 = 3 THEN TIMESTAMP '2024-02-02' END AS until FROM customer)"""
 
 
-def _until(rows):
-    return rows.withColumn("until", F.date_format("until", "yyyy-MM-dd HH:mm"))
-
-
 def _queue(s, d):
     k = F.col("c_custkey")
     until = F.when(k % 4 == 1, "2024-01-31 00:00:00").when(k % 4 == 3, "2024-02-02 00:00:00").cast("timestamp")
     return _t(s, d, "customer").select(k.alias("task"), F.concat(F.lit("h"), (k % 7).cast("string")).alias("hash"), _pick(k, "waiting", "leased", "done", "leased").alias("state"), (k % 3).alias("tries"), until.alias("until"))
 
 
+_LEASES = """q AS (SELECT c_custkey AS task, 'h' || c_custkey % 7 AS hash,
+    CASE WHEN c_custkey % 4 = 0 OR c_custkey % 8 = 1 THEN TIMESTAMP '2024-01-30' + INTERVAL 1 SECOND * (c_custkey % 11) END AS since,
+    CASE WHEN c_custkey % 4 = 1 THEN TIMESTAMP '2024-01-31' WHEN c_custkey % 4 = 3 THEN TIMESTAMP '2024-02-02' END AS until, c_custkey % 3 AS tries,
+    CASE WHEN c_custkey % 4 = 2 THEN 'h' || c_custkey % 7 || '|v1|' || (c_custkey % 2 + c_custkey % 3 % 2) END AS done, CASE WHEN c_custkey % 12 = 6 THEN 'broken' END AS error FROM customer)"""
+_LEASE_COLUMNS = "task, hash, strftime(since, '%Y-%m-%d %H:%M:%S.%f') AS since, strftime(until, '%Y-%m-%d %H:%M:%S.%f') AS until, tries, done, error"
+
+
+def _shown(rows):
+    return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("since", "until")})
+
+
+def _leases(s, d):
+    k = F.col("c_custkey")
+    own = F.concat(F.lit("h"), (k % 7).cast("string"))
+    return _t(s, d, "customer").select(
+        k.alias("task"), own.alias("hash"),
+        F.when((k % 4 == 0) | (k % 8 == 1), F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-30").cast("timestamp")) + k % 11)).alias("since"),
+        F.when(k % 4 == 1, "2024-01-31 00:00:00").when(k % 4 == 3, "2024-02-02 00:00:00").cast("timestamp").alias("until"), (k % 3).alias("tries"),
+        F.when(k % 4 == 2, F.concat_ws("|", own, F.lit("v1"), (k % 2 + k % 3 % 2).cast("string"))).alias("done"), F.when(k % 12 == 6, "broken").alias("error"),
+    )
+
+
 @query(
-    f"""WITH {_QUEUE}, n AS (SELECT c_custkey AS task, 'h' || c_custkey % 5 AS hash FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT -c_custkey - 1, 'new' FROM customer WHERE c_custkey % 10 = 0), f AS (SELECT * FROM n WHERE (task, hash) NOT IN (SELECT task, hash FROM q))
-    SELECT task, hash, state, tries, strftime(until, '%Y-%m-%d %H:%M') AS until FROM q WHERE task NOT IN (SELECT task FROM f) UNION ALL SELECT task, hash, 'waiting', 0, NULL FROM f"""
+    f"""WITH {_LEASES}, n AS (SELECT c_custkey AS task, 'h' || c_custkey % 7 AS hash, c_custkey AS place FROM customer WHERE c_custkey % 3 > 0 UNION ALL SELECT c_custkey, 'h' || c_custkey % 5, c_custkey + 7 FROM customer WHERE c_custkey % 9 = 0
+        UNION ALL SELECT -c_custkey - 1, 'new' || c_custkey % 2, c_custkey FROM customer WHERE c_custkey % 10 < 2 UNION ALL SELECT -c_custkey - 1, 'newer', c_custkey + 3 FROM customer WHERE c_custkey % 20 = 0),
+    g AS (SELECT task, max_by(hash, place) AS h, min(place) AS place FROM n GROUP BY task),
+    j AS (SELECT coalesce(q.task, g.task) AS task, q.hash, since, until, tries, done, error, h, place, place IS NOT NULL AND NOT coalesce(h = q.hash AND (since IS NOT NULL OR until IS NOT NULL), false) AND NOT coalesce(done = h || '|v1|1', false) AS put FROM q FULL JOIN g ON q.task = g.task),
+    r AS (SELECT task, CASE WHEN put THEN h ELSE hash END AS hash, CASE WHEN put THEN coalesce(since, TIMESTAMP '2024-02-01' + INTERVAL 1 MICROSECOND * place) ELSE since END AS since, until, CASE WHEN put THEN 0 ELSE tries END AS tries,
+        CASE WHEN NOT put THEN done END AS done, CASE WHEN NOT put THEN error END AS error FROM j)
+    SELECT {_LEASE_COLUMNS} FROM r"""
 )
 def queue_enqueued(s, d):
     k = F.col("c_custkey")
-    new = _t(s, d, "customer").filter(k % 2 == 0).select(k.alias("task"), F.concat(F.lit("h"), (k % 5).cast("string")).alias("hash"))
-    new = new.union(_t(s, d, "customer").filter(k % 10 == 0).select(-k - 1, F.lit("new")))
-    return _until(state.enqueued(_queue(s, d), new))
+    rows = _t(s, d, "customer")
+    name = lambda n: F.concat(F.lit("h"), (k % n).cast("string"))
+    new = rows.filter(k % 3 > 0).select(k.alias("task"), name(7).alias("hash"), k.alias("place")).union(rows.filter(k % 9 == 0).select(k, name(5), k + 7))
+    new = new.union(rows.filter(k % 10 < 2).select(-k - 1, F.concat(F.lit("new"), (k % 2).cast("string")), k)).union(rows.filter(k % 20 == 0).select(-k - 1, F.lit("newer"), k + 3))
+    return _shown(state.enqueued(_leases(s, d), new, _now(), "v1"))
 
 
 @query(
-    f"""WITH {_QUEUE}, r AS (SELECT task, hash, CASE WHEN state = 'leased' AND until < TIMESTAMP '2024-02-01' THEN CASE WHEN tries >= 2 THEN 'failed' ELSE 'waiting' END ELSE state END AS state, tries, until FROM q),
-    p AS (SELECT task FROM r WHERE state = 'waiting' ORDER BY tries, task LIMIT 100)
-    SELECT task, hash, CASE WHEN task IN (SELECT task FROM p) THEN 'leased' ELSE state END AS state, tries + (task IN (SELECT task FROM p))::INT AS tries,
-    strftime(CASE WHEN task IN (SELECT task FROM p) THEN TIMESTAMP '2024-02-01 00:10:00' WHEN state = 'leased' THEN until END, '%Y-%m-%d %H:%M') AS until FROM r"""
+    f"""WITH {_LEASES}, r AS (SELECT task, hash, CASE WHEN until <= TIMESTAMP '2024-02-01' THEN coalesce(since, TIMESTAMP '2024-02-01') ELSE since END AS since, CASE WHEN until > TIMESTAMP '2024-02-01' THEN until END AS until, tries, done, error FROM q),
+    p AS (SELECT task FROM r WHERE since IS NOT NULL ORDER BY since, task LIMIT 100),
+    x AS (SELECT task, hash, CASE WHEN task NOT IN (SELECT task FROM p) THEN since END AS since, CASE WHEN task IN (SELECT task FROM p) THEN TIMESTAMP '2024-02-01 00:10:00' ELSE until END AS until, tries + (task IN (SELECT task FROM p))::INT AS tries, done, error FROM r)
+    SELECT {_LEASE_COLUMNS} FROM x"""
 )
 def queue_claimed(s, d):
-    return _until(state.claimed(_queue(s, d), _now(), 600, 100, 2))
+    return _shown(state.claimed(_leases(s, d), _now(), 600, 100))
 
 
 @query(
-    f"""WITH {_QUEUE}, o AS (SELECT c_custkey AS task, ['finish', 'release', 'fail'][CAST(c_custkey % 3 + 1 AS INT)] AS outcome FROM customer WHERE c_custkey % 5 > 0)
-    SELECT task, hash, CASE WHEN state = 'leased' AND outcome IS NOT NULL THEN CASE WHEN outcome = 'finish' THEN 'done' WHEN outcome = 'fail' AND tries >= 2 THEN 'failed' ELSE 'waiting' END ELSE state END AS state,
-    tries - (state = 'leased' AND coalesce(outcome = 'release', false))::INT AS tries, strftime(CASE WHEN NOT (state = 'leased' AND outcome IS NOT NULL) THEN until END, '%Y-%m-%d %H:%M') AS until FROM q LEFT JOIN o USING (task)"""
+    f"""WITH {_LEASES}, o AS (SELECT c_custkey AS task, ['finish', 'release', 'fail'][CAST(c_custkey % 3 + 1 AS INT)] AS outcome, 'h' || (c_custkey % 2 * 3 + c_custkey % 7) AS h, c_custkey % 2 AS empty, 'E' || c_custkey % 4 AS e FROM customer WHERE c_custkey % 5 > 0),
+    x AS (SELECT q.task, hash, CASE WHEN outcome = 'release' AND until IS NOT NULL OR outcome = 'fail' AND tries < 2 THEN coalesce(since, TIMESTAMP '2024-02-01') WHEN outcome = 'fail' THEN NULL ELSE since END AS since, CASE WHEN outcome IS NULL THEN until END AS until,
+        CASE WHEN outcome = 'finish' THEN 0 WHEN outcome = 'release' AND until IS NOT NULL THEN greatest(tries - 1, 0) ELSE tries END AS tries, CASE WHEN outcome = 'finish' AND hash = h THEN h || '|v1|' || empty ELSE done END AS done,
+        CASE WHEN outcome = 'fail' AND tries >= 2 THEN e WHEN outcome = 'finish' THEN NULL ELSE error END AS error FROM q LEFT JOIN o ON q.task = o.task)
+    SELECT {_LEASE_COLUMNS} FROM x"""
 )
 def queue_settled(s, d):
     k = F.col("c_custkey")
-    outcomes = _t(s, d, "customer").filter(k % 5 > 0).select(k.alias("task"), _pick(k, "finish", "release", "fail").alias("outcome"))
-    return _until(state.settled(_queue(s, d), outcomes, 2))
+    outcomes = _t(s, d, "customer").filter(k % 5 > 0).select(
+        k.alias("task"), _pick(k, "finish", "release", "fail").alias("outcome"), F.concat(F.lit("h"), (k % 2 * 3 + k % 7).cast("string")).alias("hash"), (k % 2).alias("empty"), F.concat(F.lit("E"), (k % 4).cast("string")).alias("error")
+    )
+    return _shown(state.settled(_leases(s, d), outcomes, _now(), 2, "v1"))
 
 
 @query(f"WITH {_QUEUE} SELECT state, count(*) AS n FROM q GROUP BY state")
