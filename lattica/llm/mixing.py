@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running
 from ..session import stage
-from .ranges import running
 from .text import whole, word_count
 
 

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..operators.ranges import running
 from ..session import discard, stage
-from .ranges import running
 
 #: A term in UTF-8: ASCII letters and digits, and all that is not ASCII.
 TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")

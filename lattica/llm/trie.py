@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running
 from ..session import discard, stage
-from .ranges import running
 from .text import whole
 
 #: Ends of a node that are joined to one string at most.
