@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.words import WordIndex
+from .session import work_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -92,3 +95,18 @@ def wants(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("c_nationkey").alias("project"), F.col("p_brand").alias("kind"), F.col("p_partkey").alias("name"))
         .distinct()
     )
+
+
+def word_index(spark: SparkSession, sf_dir: str) -> WordIndex:
+    """The stored word index of a folder's documents, in the shared folder; built when it is first asked for.
+
+    It is known by the files of the table, their sizes and times: another state of the table has
+    another index.
+    """
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    name = files.agg(F.hex(F.bit_xor(F.xxhash64("*")))).first()[0]
+    index = WordIndex(spark, f"{work_dir(spark)}/lattica/words-{name}")
+    if not index.generations():
+        index.refresh(docs, "doc_id", "text")
+    return index

@@ -21,7 +21,7 @@ COMMON, FUSION = 2000, 60
 def postings(texts: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
     """(id, term, tf) of the query's terms alone, counted within each row; other words are never rows."""
     words = F.filter(lexical_words(F.col(text_col)), lambda w: w.isin(terms))
-    found = texts.select(F.col(id_col).alias("id"), words.alias("words")).filter(F.size("words") > 0)
+    found = texts.select(F.col(id_col).alias("id"), words.alias("words"))  # no filter: it would split the words once more
     counted = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.size(F.filter("words", lambda x: x == w)).cast("long").alias("tf")))
     return found.select("id", F.inline(counted)).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
 
@@ -32,20 +32,25 @@ def term_weights(found: DataFrame, common: int = COMMON) -> DataFrame:
     return df.select("term", "df", F.log(1 + F.lit(common) / F.col("df")).alias("idf"), (F.col("df") >= common).alias("common"))
 
 
-def lexical_search(texts: DataFrame, id_col: str, text_col: str, terms: list[str], depth: int) -> DataFrame:
-    """(id, score, tf): share of the query's weight that a text has, ties by frequency, then id.
+def weighed(found: DataFrame, weights: DataFrame, depth: int | None) -> DataFrame:
+    """(id, score, tf) of counts (id, term, tf): the share of the query's weight that a text has, ties by frequency, then id.
 
-    Candidates come from rare terms unless all are common. ``terms`` is a query, so the
-    weights have a row for each of its words at most and are broadcast.
+    Candidates come from rare terms unless all are common. ``weights`` has a row for each of a
+    query's terms at most and is broadcast.
     """
-    found = stage(postings(texts, id_col, text_col, terms), "postings")  # texts are read once
-    weights = term_weights(found)
     total = weights.agg(F.sum("idf").alias("total"), F.bool_and("common").alias("all_common"))
-    rows = found.join(F.broadcast(weights), "term").crossJoin(F.broadcast(total))
+    rows = found.join(F.broadcast(weights), "term").crossJoin(F.broadcast(total))  # one row
     scored = rows.groupBy("id").agg(
         (F.sum("idf") / F.max("total")).alias("score"), F.sum("tf").alias("tf"), F.bool_or(~F.col("common") | F.col("all_common")).alias("picked")
     )
-    return scored.filter("picked").select("id", "score", "tf").orderBy(F.desc(F.round("score", 9)), F.desc("tf"), "id").limit(depth)
+    out = scored.filter("picked").select("id", "score", "tf")
+    return out if depth is None else out.orderBy(F.desc(F.round("score", 9)), F.desc("tf"), "id").limit(depth)
+
+
+def lexical_search(texts: DataFrame, id_col: str, text_col: str, terms: list[str], depth: int) -> DataFrame:
+    """``weighed`` over texts that have no index; they are read once."""
+    found = stage(postings(texts, id_col, text_col, terms), "postings")
+    return weighed(found, term_weights(found), depth)
 
 
 def phrase_search(texts: DataFrame, id_col: str, text_col: str, phrase: list[str]) -> DataFrame:

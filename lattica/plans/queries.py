@@ -9,6 +9,7 @@ from .. import catalog
 from ..functions import text as tx
 from ..operators import graph, incremental, links, ranking, records, relational, retrieval, symbols
 from ..operators.components import connected_components
+from ..operators.words import Question
 from ..sources import manifests
 from ..sources import text as files
 from ..streaming import events as ev
@@ -54,7 +55,7 @@ _FUSED = """
 
 
 def _lexical(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.lexical_search(_t(s, d, "documents"), "doc_id", "text", TERMS, 200)
+    return catalog.word_index(s, d).search(Question(tuple(TERMS)), 200)
 
 
 def _vector(s: SparkSession, d: str) -> DataFrame:
@@ -65,7 +66,7 @@ def _vector(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_POSTINGS} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf, common FROM weights")
 def df_capped_weights(s, d):
-    found = retrieval.postings(_t(s, d, "documents"), "doc_id", "text", TERMS)
+    found = catalog.word_index(s, d).found(tuple(TERMS))
     return retrieval.term_weights(found).select("term", "df", F.round("idf", 6).alias("idf"), "common")
 
 
