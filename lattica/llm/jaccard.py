@@ -35,8 +35,8 @@ from ..session import discard, stage
 from .batches import slices
 from .shingles import mixed, shingle_sets
 
-#: The sketch has a counter for the upper bits of a shingle, from 16 to 20 of them; its list is named by the lower 44.
-LEAST_BITS, MOST_BITS = 16, 20
+#: The sketch has a counter for the upper bits of a shingle, from 16 to 18 of them; its list is named by the lower 46.
+LEAST_BITS, MOST_BITS = 16, 18
 NAME_BITS = np.uint64(64 - MOST_BITS)
 NAME = np.uint64(2 ** (64 - MOST_BITS) - 1)
 #: Counters for each document, as far as there is room.
@@ -253,9 +253,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = 1 << sketch_bits(named.count())
     seen = stage(_profiles(named, size), "profiles")
     counts = seen.filter("n = -1").select(F.explode(F.arrays_zip("slots", "counts")).alias("x"))
-    counts = counts.groupBy("x.slots").agg(F.sum("x.counts").alias("n")).toPandas()  # ``size`` rows at most
+    counts = counts.groupBy("x.slots").agg(F.sum("x.counts").alias("n")).toArrow()  # ``size`` rows at most
     sketch = np.ones(size, dtype=np.int64)
-    sketch[counts["slots"].to_numpy(dtype=np.int64)] = counts["n"]
+    sketch[counts["slots"].to_numpy()] = counts["n"].to_numpy()
 
     profiles = seen.filter("n >= 0").select("id", "n", "d1", "d2")
     classes = profiles.filter("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("first"))
