@@ -53,3 +53,25 @@ def test_every_part_asks_and_any_node_may_hold(spark, tmp_path):
     held = rows[rows.owner.notna()]
     assert (held.id // 350 * 50 + held.id % 50 >= 200).any()
     assert (rows[rows.owned].owner == "red widget").all() and (rows[rows.owned].id >= 1400).any()
+
+
+_ALL_SYMBOLS = """nodes AS (SELECT p_partkey % 50 AS project, p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 11 = 0 THEN 'file' ELSE 'method' END AS type, p_brand || '/' || p_type AS path FROM part),
+    wanted AS (SELECT p_partkey AS ask, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'red widget' END AS owner, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS ending FROM part)"""
+
+
+def test_all_symbols_are_those_of_sql(spark):
+    import duckdb
+
+    from lattica.plans import QUERIES
+
+    where = "/root/testdata/sf0.001"
+    duckdb.sql(f"CREATE OR REPLACE VIEW part AS SELECT * FROM '{where}/part.parquet'")
+    want = duckdb.sql(
+        f"""WITH {_ALL_SYMBOLS}, held AS (SELECT a.project, a.id, b.id AS source, b.name AS holder FROM nodes a JOIN nodes b ON b.id = a.id // 350 * 50 + a.id % 50 AND a.id <> b.id AND b.type <> 'file'),
+    f AS (SELECT ask, owner AS asked, n.project, n.id FROM nodes n JOIN wanted w USING (name) WHERE type <> 'file' AND (ending IS NULL OR path = ending OR path LIKE '%/' || ending)),
+    o AS (SELECT ask, f.project, f.id, holder AS owner, asked IS NOT NULL AND holder IS NOT DISTINCT FROM asked AS owned FROM f LEFT JOIN held USING (project, id))
+    SELECT * FROM o WHERE owned OR ask NOT IN (SELECT ask FROM o WHERE owned)"""
+    )
+    got = QUERIES["resolve_symbols_all"](spark, where).select(*want.columns)
+    key = lambda row: tuple(map(str, row))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want.fetchall(), key=key)
