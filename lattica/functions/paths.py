@@ -101,7 +101,7 @@ ALPHABET = PUNCTUATION + "0123456789abcdefghijklmnopqrstuvwxyz"
 
 
 def collation_key(text: Column) -> Column:
-    """Struct to order by as people do: punctuation, digits, letters; capitals only break ties; all else last, by code point."""
+    """A struct whose order is that of ``ALPHABET`` without regard to capitals, which decide between equals; characters outside it follow by code point."""
     letters = F.filter(F.split(text, ""), lambda c: c != "")
     weight = lambda c: F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), F.lower(c)), F.lit(0)), 1000 + F.ascii(c))
     return F.struct(F.transform(letters, weight).alias("weights"), F.transform(letters, lambda c: c != F.lower(c)).alias("capitals"))

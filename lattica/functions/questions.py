@@ -24,7 +24,7 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def worth(word: Column) -> Column:
-    """Whether a lower-case word is worth matching on: three letters, no stop word."""
+    """True for words of at least three characters that are not in ``STOP_WORDS``."""
     return (F.length(word) >= 3) & ~word.isin(*STOP_WORDS)
 
 
@@ -100,7 +100,7 @@ def parsed_symbol(text: Column) -> Column:
 
 
 def escaped(text: Column) -> Column:
-    """What a regular expression would read as syntax, taken literally."""
+    """The text with a backslash before each character that has a meaning in patterns."""
     return F.regexp_replace(text, r"([.*+?^${}()|\[\]\\])", r"\\$1")
 
 

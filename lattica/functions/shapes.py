@@ -41,7 +41,7 @@ def file_summary(name: Column, text: Column, entities: Column, most: int = 5) ->
 
 
 def age(seconds: Column) -> Column:
-    """How long ago, in the coarsest unit that still says something."""
+    """Seconds as words: minutes below an hour, then hours, then days, rounded down."""
     def some(unit: int, name: str) -> Column:
         n = F.floor(seconds / unit)
         return F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
