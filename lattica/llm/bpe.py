@@ -236,7 +236,7 @@ def encode_decode(
     """One row per row of ``docs``: id_col, n_tokens, ids (array of int), decoded (binary).
 
     Texts are encoded whole, without special tokens; null is empty, and empty texts have
-    no ids and decode to no bytes. decoded is made from the ids alone. Other columns are
+    no ids and decode to no bytes; rows that repeat an id are encoded each on its own. decoded is made from the ids alone. Other columns are
     ignored, so none can clash; an empty table gives an empty one. The vocabulary is
     broadcast: its size is fixed by the rank file and does not grow with the input. No
     row leaves its partition.

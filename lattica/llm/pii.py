@@ -366,7 +366,8 @@ def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
 
     base are the spans of the fixed patterns, spans those and what the field adds, both by
     start and then kind; places count code points and ends are exclusive. Null text is
-    empty and has no spans. Other columns are ignored, so none can clash; an empty table
+    empty and has no spans; rows that repeat an id are judged each on its own, and spans of one
+    start stand in the order of the kinds. Other columns are ignored, so none can clash; an empty table
     gives an empty one. Lines are the field's sequences; texts are read whole. The field is
     broadcast: its size is fixed. No row leaves its partition.
     """

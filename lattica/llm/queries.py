@@ -13,6 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in the whole text of every document."""
     found = pii.find_pii(_table(spark, sf_dir, "documents"), pii.trained())
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
@@ -25,6 +26,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of those with its text."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
@@ -47,18 +49,22 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of near duplicates."""
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links and its group."""
     return embeddings.near_dedup(_table(spark, sf_dir, "embeddings"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
     import public_tokenizers
 
     vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -70,11 +76,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows that an earlier one has, as a digest."""
     out = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of quality for every document; labels of held-out ones are not learnt from."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = quality.train(docs, _table(spark, sf_dir, "labels"))
     return quality.score(docs, machine).select(
@@ -83,6 +91,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier one has, as a digest."""
     out = line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
