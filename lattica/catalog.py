@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.names import NameIndex
 from .operators.words import WordIndex
 from .session import work_dir
 
@@ -104,9 +105,22 @@ def word_index(spark: SparkSession, sf_dir: str) -> WordIndex:
     another index.
     """
     docs = table(spark, sf_dir, "documents")
-    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    name = files.agg(F.hex(F.bit_xor(F.xxhash64("*")))).first()[0]
-    index = WordIndex(spark, f"{work_dir(spark)}/lattica/words-{name}")
+    index = WordIndex(spark, f"{work_dir(spark)}/lattica/words-{_state(docs)}")
     if not index.generations():
         index.refresh(docs, "doc_id", "text")
     return index
+
+
+def name_index(spark: SparkSession, sf_dir: str, name: str, id_col: str, name_col: str) -> NameIndex:
+    """The stored trigram index of a column of a table, built when it is first asked for; known as the word index is."""
+    rows = table(spark, sf_dir, name)
+    index = NameIndex(spark, f"{work_dir(spark)}/lattica/names-{name_col}-{_state(rows)}")
+    if not index.built():
+        index.build(rows, id_col, name_col)
+    return index
+
+
+def _state(rows: DataFrame) -> str:
+    """One word for the files of a table, their sizes and times."""
+    files = rows.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return files.agg(F.hex(F.bit_xor(F.xxhash64("*")))).first()[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,76 @@ def shortest_paths(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return seen.join(parents, "id", "left").select("id", "hop", "parent")
 
 
+def paths_between(edges: DataFrame, pairs: DataFrame, hops: int, nodes: int | None = None, steps: int | None = None) -> DataFrame:
+    """(start, end, depth, path) of every distinct pair (start, end): a shortest undirected walk of ``hops`` at most, nulls where there is none.
+
+    Both ends are searched at once; in every round a pair expands the end whose frontier is
+    smaller, and is done when the two meet. Of several walks the one with the smallest ids comes,
+    from the start on. ``nodes`` closes a pair that has seen more than so many, and ``steps``
+    follows so many edges of a pair in a round, smallest ids first; with either, walks may be
+    missed or not be the shortest. Pairs with a null have no walk; a pair of equal ids has one of
+    length 0, whether the graph has the node or not.
+    """
+    met, seen, edges = meetings(edges, pairs, hops, nodes, steps)
+    best = met.groupBy("start", "end").agg(F.min("depth").cast("int").alias("depth"))
+    middle = met.join(best, ["start", "end", "depth"]).select("start", "end", "id", "hop", F.col("depth") - F.col("hop"))
+    seen = seen.join(best, ["start", "end"], "left_semi")
+    kept = [middle.toDF("start", "end", "id", "near", "far")]
+    for side, down in ((0, "near"), (1, "far")):
+        up, front = "far" if side == 0 else "near", kept[0]
+        here = seen.filter(F.col("side") == side).select("start", "end", "id", F.col("hop").alias(down))
+        for n in range(hops):  # from the meeting back to one end, along nodes that the search has seen
+            step = front.filter(F.col(down) > 0).join(edges, front.id == edges.source)
+            step = step.select("start", "end", F.col("target").alias("id"), F.col(down) - 1, F.col(up) + 1).toDF("start", "end", "id", down, up)
+            front = stage(step.distinct().join(here, ["start", "end", "id", down], "left_semi").select("start", "end", "id", "near", "far"), f"path-{side}-{n}")
+            if front.isEmpty():
+                break
+            kept.append(front)
+    places = reduce(DataFrame.union, kept).select("start", "end", F.col("id").alias("next"), F.col("near").alias("place")).distinct()
+    at = best.select("start", "end", "depth", F.array("start").alias("path"))
+    done = [at.filter("depth = 0")]
+    for n in range(1, hops + 1):
+        at = at.filter(F.col("depth") >= n).join(places.filter(F.col("place") == n), ["start", "end"])
+        at = at.join(edges, (F.element_at("path", -1) == edges.source) & (F.col("next") == edges.target))
+        at = at.groupBy("start", "end", "depth", "path").agg(F.min("next").alias("next")).select("start", "end", "depth", F.concat("path", F.array("next")).alias("path"))
+        done.append(at.filter(F.col("depth") == n))
+    walks = reduce(DataFrame.union, done)
+    same = pairs.select("start", "end").distinct()
+    both = [same[c].eqNullSafe(walks[c]) for c in ("start", "end")]
+    return same.join(walks, both, "left").select(same["start"], same["end"], "depth", "path")
+
+
+def meetings(edges: DataFrame, pairs: DataFrame, hops: int, nodes: int | None = None, steps: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The search of ``paths_between``: (start, end, id, hop, depth) where two ends meet, (start, end, side, id, hop) that were seen, and the edges, both ways."""
+    edges = stage(both_ways(edges), "between-edges")
+    asked = pairs.select("start", "end").filter("start is not null and end is not null").distinct()
+    ends = F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("id")), F.struct(F.lit(1).alias("side"), F.col("end").alias("id"))))
+    seen = front = stage(asked.select("start", "end", ends).withColumn("hop", F.lit(0)), "between")
+    met = asked.filter("start = end").select("start", "end", F.col("start").alias("id"), F.lit(0).alias("hop"), F.lit(0).alias("depth"))
+    key = ["start", "end"]
+    for hop in range(1, hops + 1):
+        width = front.groupBy(key).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+        turn = width.filter("a > 0 and b > 0").select(*key, F.when(F.col("a") <= F.col("b"), 0).otherwise(1).alias("side"))
+        turn = turn.join(met.select(key), key, "left_anti")
+        if nodes:
+            turn = turn.join(seen.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > nodes), key, "left_anti")
+        turn = stage(turn, f"between-turn-{hop}")
+        step = front.join(turn, [*key, "side"]).join(edges, F.col("id") == edges.source)
+        if steps:
+            place = F.row_number().over(Window.partitionBy(*key).orderBy("source", "target"))
+            step = step.withColumn("place", place).filter(F.col("place") <= steps)
+        step = step.select(*key, "side", F.col("target").alias("id"), (F.col("hop") + 1).alias("hop")).distinct()
+        new = stage(step.join(seen, [*key, "side", "id"], "left_anti"), f"between-{hop}")
+        if new.isEmpty():
+            break
+        other = seen.select(*key, "id", (1 - F.col("side")).alias("side"), F.col("hop").alias("far"))
+        hits = new.join(other, [*key, "side", "id"]).select(*key, "id", F.when(F.col("side") == 0, F.col("hop")).otherwise(F.col("far")).alias("hop"), (F.col("hop") + F.col("far")).alias("depth"))
+        met = met.union(stage(hits, f"between-met-{hop}"))
+        still = front.join(turn.select(*key, (1 - F.col("side")).alias("side")), [*key, "side"], "left_semi")
+        seen, front = seen.union(new), new.union(still)
+    return met, seen, edges
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(id, in_degree, out_degree)."""
     ends = edges.select(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import catalog
-from ..operators import packets, ranking, retrieval
+from ..operators import names, packets, ranking, retrieval
 from .registry import query
 
 QUESTION = "find loadLimit7 in small_ring core widget"
@@ -112,7 +112,30 @@ _SIM = "len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))
     WHERE sim >= 0.3 OR p_name ILIKE '%small ring%' OR p_name ILIKE '%small%' ORDER BY score DESC, id LIMIT 200"""
 )
 def lex_names(s, d):
-    return retrieval.name_search(_t(s, d, "part"), "p_partkey", "p_name", "small rings", "small ring", ["%small%"], 200).select("id", F.round("score", 6).alias("score"))
+    index = catalog.name_index(s, d, "part", "p_partkey", "p_name")
+    return index.search("small rings", "small ring", ["%small%"], 200).select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH p AS (SELECT page_id AS id, url, {_TRIGRAMS.format('url')} AS t, {_TRIGRAMS.format("'ththan example com casino'")} AS q FROM pages), c AS (SELECT *, {_SIM.format('t', 'q')} AS sim FROM p)
+    SELECT id, round(greatest(sim, CASE WHEN url ILIKE '%casino-win%' THEN 0.5 ELSE 0 END, CASE WHEN url ILIKE 'http://m.%' OR url ILIKE '%.ht_l' OR url ILIKE '%?%' THEN 0.4 ELSE 0 END), 6) AS score FROM c
+    WHERE sim >= 0.25 OR url ILIKE '%casino-win%' OR url ILIKE 'http://m.%' OR url ILIKE '%.ht_l' OR url ILIKE '%?%' ORDER BY score DESC, id LIMIT 500"""
+)
+def lex_urls(s, d):
+    """Urls like a question, holding a part of it or fitting patterns, one of which has no gram and reads all names."""
+    index = catalog.name_index(s, d, "pages", "page_id", "url")
+    found = index.search("ththan example com casino", "casino-win", ["http://m.%", "%.ht_l", "%?%"], 500, 0.25)
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH u AS (SELECT url, {_TRIGRAMS.format('url')} AS t FROM (SELECT DISTINCT url FROM pages)), p AS (SELECT a.url AS a, b.url AS b, {_SIM.format('a.t', 'b.t')} AS sim FROM u a JOIN u b ON a.url < b.url)
+    SELECT a, b, round(sim, 6) AS score FROM p WHERE sim >= 0.75"""
+)
+def alike_urls(s, d):
+    """All pairs of different urls of similarity 0.75 or more."""
+    urls = _t(s, d, "pages").select(F.col("url").alias("name"))
+    return names.alike(urls, urls, 0.75).filter("left < right").select(F.col("left").alias("a"), F.col("right").alias("b"), F.round("score", 6).alias("score"))
 
 
 _SUMMARY_HITS = r"""hits AS (SELECT doc_id AS id, len(list_filter(w, lambda x: x IN ('the', 'in', 'erth'))) AS n, len(w) AS size, len(list_distinct(list_filter(w, lambda x: x IN ('the', 'in', 'erth')))) AS kinds
