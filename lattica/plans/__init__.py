@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import answers, feeds, graphs, imports, index, layers, queries, questions, states, writes
+from . import answers, docs, feeds, graphs, imports, index, layers, queries, questions, states, writes
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "answers", "feeds", "graphs", "imports", "index", "layers", "queries", "questions", "states", "writes"]
+__all__ = ["ORACLE_SQL", "QUERIES", "answers", "docs", "feeds", "graphs", "imports", "index", "layers", "queries", "questions", "states", "writes"]
