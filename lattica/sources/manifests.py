@@ -74,8 +74,8 @@ def _spec_requires(text: Column) -> Column:
     return F.flatten(F.transform(_all(text, r"(?mi)^Requires(?:\([^)]*\))?:[ \t]*(.*)$"), lambda line: own(words(line))))
 
 
-def _expanded(hosts: Column) -> Column:
-    """Hosts with their first range, [01:20] or [a:f], written out."""
+def expanded_hosts(hosts: Column) -> Column:
+    """Hosts with two ranges at most, [01:20] or [a:f], written out."""
     def one(host: Column) -> Column:
         a, b = (F.regexp_extract(host, r"\[([0-9]+|[a-z]):([0-9]+|[a-z])\]", i) for i in (1, 2))
         head, tail = F.split_part(host, F.lit("["), F.lit(1)), F.regexp_replace(host, r"^[^\[]*\[[^\]]*\]", "")
@@ -87,14 +87,14 @@ def _expanded(hosts: Column) -> Column:
         shown = lambda n: F.when(digits, F.lpad(n.cast("string"), F.greatest(width, F.length(n.cast("string"))), F.lit("0"))).otherwise(F.char(n))
         return F.when(a == "", F.array(host)).otherwise(F.transform(steps, lambda n: F.concat(head, shown(n), tail)))
 
-    return F.flatten(F.transform(hosts, one))
+    return F.flatten(F.transform(F.flatten(F.transform(hosts, one)), one))
 
 
 def _inventory(text: Column) -> Column:
     """Hosts of an inventory's groups; sections of variables and children list none."""
     listed = F.regexp_replace(text, r"(?ms)^\[[^\]]*:(?:vars|children)\].*?(?=^\[|\z)", "")
     words = F.transform(F.split(listed, r"\r?\n"), lambda x: F.regexp_extract(F.trim(F.split_part(x, F.lit("#"), F.lit(1))), r"^\S+", 0))
-    return _expanded(_expanded(F.filter(words, lambda w: (w != "") & ~w.rlike(r"^[;\[]") & ~F.contains(w, F.lit("=")))))
+    return expanded_hosts(F.filter(words, lambda w: (w != "") & ~w.rlike(r"^[;\[]") & ~F.contains(w, F.lit("="))))
 
 
 def _taken(file: Column, text: Column) -> Column:
