@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import catalog
+from ..session import stage
 from ..sources import builds
 from .registry import query
 
@@ -40,7 +41,7 @@ def built_names(s, d):
     customer = catalog.table(s, d, "customer")
     files = customer.select(F.col("c_nationkey").alias("project"), F.element_at(F.array(*(filled(p) for p, _ in FILES)), form).alias("path"), F.element_at(F.array(*(filled(t) for _, t in FILES)), form).alias("text"))
     beside = customer.filter("c_custkey % 4 = 1").select(F.col("c_nationkey").alias("project"), filled("f{k}/net.hcl").alias("path"), F.lit("x = 1").alias("text"))
-    return builds.build_names(files.union(beside))
+    return builds.build_names(stage(files.union(beside), "build-files"))
 
 
 def _java(text: str) -> str:
