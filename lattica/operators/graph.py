@@ -39,6 +39,25 @@ def walk(edges: DataFrame, seeds: DataFrame, hops: int, per_node: int | None = N
     return seen
 
 
+def listed(edges: DataFrame, asked: DataFrame, limit: int, relation: str | None = None) -> DataFrame:
+    """(project, of, direction, relation, place, total, id): what every asked node (project, of) is tied to, ``limit`` rows of it.
+
+    Each direction and relation has a turn: all first ids, then all second ones. ``total`` is what a
+    direction and relation has in all. ``edges`` has project, source, target, relation; repeated
+    ones count once. No more than ``limit`` rows of a relation are sorted together.
+    """
+    edges = edges.filter(F.col("relation") == relation) if relation else edges
+    ends = {"outgoing": ("source", "target"), "incoming": ("target", "source")}
+    sides = [edges.select("project", F.col(a).alias("of"), F.lit(d).alias("direction"), "relation", F.col(b).alias("id")) for d, (a, b) in ends.items()]
+    rows = sides[0].union(sides[1]).join(asked.select("project", "of").distinct(), ["project", "of"], "left_semi").distinct()
+    group = ["project", "of", "direction", "relation"]
+    totals = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("total"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("id"))).filter(F.col("place") <= limit)
+    turn = F.row_number().over(Window.partitionBy("project", "of").orderBy("place", "direction", "relation", "id"))
+    rows = rows.withColumn("turn", turn).filter(F.col("turn") <= limit)
+    return rows.join(totals, group).select(*group, "place", "total", "id")
+
+
 def shortest_paths(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """(id, hop, parent): undirected distances from ``start``; the parent is the smallest one a hop nearer."""
     edges = stage(both_ways(edges), "walk-edges")

@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from lattica.operators import symbols
+from lattica.operators import graph, symbols
 from lattica.plans import QUERIES
 
 
@@ -75,3 +75,26 @@ def test_all_symbols_are_those_of_sql(spark):
     got = QUERIES["resolve_symbols_all"](spark, where).select(*want.columns)
     key = lambda row: tuple(map(str, row))
     assert sorted(map(tuple, got.collect()), key=key) == sorted(want.fetchall(), key=key)
+
+
+def test_takers_of_other_projects_and_lists(spark):
+    reached = spark.createDataFrame([(1, 0, 7), (1, 0, 8), (2, 1, 7), (3, 0, None)], "seed int, project int, id int")
+    provided = spark.createDataFrame([(0, "k", "a", 7), (0, "k", "a", 8), (1, "k", "a", 7), (0, "k", None, 7), (0, "j", "b", 9)], "project int, kind string, name string, id int")
+    taken = spark.createDataFrame([(0, "k", "a", 5), (2, "k", "a", 4), (2, "k", "a", 3), (2, "j", "b", 1), (None, "k", "a", 2)], "project int, kind string, name string, id int")
+    crossing = symbols.crossings(reached, provided, taken)
+    assert sorted(map(tuple, crossing.collect())) == [(1, 2, "k", "a", 3), (2, 0, "k", "a", 5), (2, 2, "k", "a", 3)]
+    rows = [(1, 1, 0, n, "uses", f"api/{n}", n % 2 == 0) for n in range(40)] + [(1, 2, 0, 99, "sets", None, None), (4, 1, 0, 1, None, None, False)]
+    hits = spark.createDataFrame(rows, "seed int, hop int, project int, id int, relation string, file_path string, test boolean")
+    got = symbols.impact_lists(hits, crossing, "^api/", "^conf/", ["sets"], 3).collect()
+    totals = {(r.seed, r.bucket): r.total for r in got}
+    assert totals == {(1, "direct"): 40, (1, "indirect"): 1, (1, "tests"): 20, (1, "public_api"): 20, (1, "configuration"): 1, (1, "cross_project"): 1, (2, "cross_project"): 2, (4, "direct"): 1}
+    assert [r.id for r in sorted(got, key=lambda r: r.place) if (r.seed, r.bucket) == (1, "public_api")] == [1, 3, 5]
+    assert symbols.impact_lists(hits.limit(0), crossing.limit(0), "x", "y", []).count() == 0
+
+
+def test_neighbours_have_turns(spark):
+    edges = spark.createDataFrame([(0, "a", f"t{i}", "calls") for i in range(9)] * 2 + [(0, "a", "u", "uses"), (0, "z", "a", "calls"), (1, "a", "no", "calls"), (0, "a", "a", "own"), (None, "a", "x", "calls")], "project int, source string, target string, relation string")
+    asked = spark.createDataFrame([(0, "a"), (0, "a"), (0, "gone"), (0, None)], "project int, of string")
+    got = sorted((r.place, r.direction, r.relation, r.id, r.total) for r in graph.listed(edges, asked, 6).collect())
+    assert got == [(1, "incoming", "calls", "z", 1), (1, "incoming", "own", "a", 1), (1, "outgoing", "calls", "t0", 9), (1, "outgoing", "own", "a", 1), (1, "outgoing", "uses", "u", 1), (2, "outgoing", "calls", "t1", 9)]
+    assert [r.id for r in graph.listed(edges, asked, 6, "uses").collect()] == ["u"] and graph.listed(edges.limit(0), asked, 6).count() == 0
