@@ -58,9 +58,9 @@ def name_key(text: Column) -> Column:
 
 
 def normalize_name(kind: Column, raw: Column) -> Column:
-    """One spelling for a name of a kind, 255 characters of it; empty for what is no name.
+    """One spelling for a name of a kind, in lower case, 255 characters of it; empty for what is no name.
 
-    Images, in lower case as registries want them, lose digest, tag and the default registry, python packages their version, roles their
+    Images lose digest, tag and the default registry, python packages their version, roles their
     folder, module sources getter, scheme, user, ref and ending. A name with a variable in it is none.
     """
     name = F.trim(raw)
@@ -72,12 +72,11 @@ def normalize_name(kind: Column, raw: Column) -> Column:
     spelled = (
         F.when(kind == "pypi", F.lower(F.regexp_replace(F.regexp_extract(name, "^[A-Za-z0-9][A-Za-z0-9._-]*", 0), "[-_.]+", "-")))
         .when(kind == "image", F.regexp_replace(image, "^(docker[.]io/)?(library/)?", ""))
-        .when(kind == "role", F.substring_index(F.regexp_replace(name, "/+$", ""), "/", -1))
+        .when(kind == "role", F.substring_index(F.regexp_replace(lowered, "/+$", ""), "/", -1))
         .when(kind == "host", F.regexp_replace(lowered, "[.]+$", ""))
         .when(kind == "tfmodule", source)
-        .when(kind == "bucket", lowered)
         .when((kind == "package") & F.contains(name, F.lit("%")), "")
-        .otherwise(name)
+        .otherwise(lowered)
     )
     return F.substring(F.when(F.contains(name, F.lit("$")), "").otherwise(spelled), 1, 255)
 

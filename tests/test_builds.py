@@ -87,7 +87,7 @@ def test_walked_and_outline_against_plain_ones(spark):
 def test_spelling_of_every_kind(spark):
     cases = [
         ("image", "reg:5000/a/b:1", "reg:5000/a/b"), ("image", "library/x", "x"), ("image", "a/b@sha256:0", "a/b"), ("pypi", "A..b_c[x]>=1", "a-b-c"), ("pypi", "-x", ""), ("role", "a/b/web/", "web"),
-        ("host", "A.b..", "a.b"), ("bucket", " Data ", "data"), ("package", "%{name}-x", ""), ("package", "Lib", "Lib"), ("tfmodule", "git::ssh://git@Host.com/a/b.git//m?ref=1", "host.com/a/b//m"),
+        ("host", "A.b..", "a.b"), ("bucket", " Data ", "data"), ("package", "%{name}-x", ""), ("package", "Lib", "lib"), ("tfmodule", "git::ssh://git@Host.com/a/b.git//m?ref=1", "host.com/a/b//m"),
         ("tfmodule", "git@host.com:a/b.git", "host.com/a/b"), ("tfmodule", "host.com:8443/a", "host.com:8443/a"), ("npm", "a$b", ""), ("npm", "x" * 300, "x" * 255), ("npm", None, None), ("npm", "", ""),
     ]
     rows = spark.createDataFrame([(i, k, n) for i, (k, n, _) in enumerate(cases)], "i int, k string, n string")
