@@ -42,7 +42,11 @@ NAME = np.uint64(2 ** (64 - MOST_BITS) - 1)
 #: Counters for each document, as far as there is room.
 COUNTERS = 16
 #: Lists longer than this are searched in blocks of their own, of so many queries (and their shingles) and targets.
-LONG, QUERIES, SHINGLES, TARGETS = 64, 128, 1 << 20, 256
+LONG, QUERIES, SHINGLES, TARGETS = 64, 512, 1 << 20, 1024
+#: Sizes whose logarithms to this base are more than one apart are too different to link.
+BAND = 1.25 + 1e-7
+#: Bits of a set's signature.
+BITS = 4096
 #: What probing a long list costs beside merging it.
 MU = 0.0085
 
@@ -132,21 +136,45 @@ def _merged(lists: list[list[int]], least: int) -> tuple[np.ndarray, np.ndarray]
     return np.array(hit, dtype=np.int64), np.array(count, dtype=np.int64)
 
 
-def search(queries: list[np.ndarray], targets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of ``BITS`` bits a set: each says whether an odd number of the set's shingles fall on it."""
+    out = np.empty((len(sets), BITS // 8), dtype=np.uint8)
+    for i, shingles in enumerate(sets):
+        out[i] = np.packbits(np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1)
+    return out.view(np.uint64)
+
+
+def _near(query: np.ndarray, n: int, signs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Targets that a query may link with: like sizes, and signatures that differ in few bits.
+
+    Sets that link differ in a ninth of their sizes' sum at most, and no signatures differ in
+    more bits than their sets in shingles, so no link is lost.
+    """
+    some = np.flatnonzero(100 * np.minimum(sizes, n) >= 80 * np.maximum(sizes, n))
+    bits = np.bitwise_count(signs[some] ^ query).sum(axis=1, dtype=np.int64)
+    return some[9 * bits <= sizes[some] + n]
+
+
+def search(queries: list[np.ndarray], targets: list[np.ndarray], asked: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(query, targets that link with it), by DivideSkip over the inverted lists of ``targets``.
 
     A query needs T targets' shingles in common. Its L longest lists are set aside, L by the
     usual rule T / (MU log2 M + 1) for a longest list of M; the others are merged by a heap,
-    and who is in T - L of them is looked up in the long ones by binary search.
+    and who is in T - L of them is looked up in the long ones by binary search. Targets whose
+    signatures rule out any link are in no list, queries without another target are not merged.
     """
-    sizes = np.array([len(t) for t in targets], dtype=np.int64)
+    asked = signatures(queries) if asked is None else asked
+    signs, sizes = signatures(targets), np.array([len(t) for t in targets], dtype=np.int64)
+    near = [_near(asked[q], len(x), signs, sizes) for q, x in enumerate(queries)]
+    places = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *near]))
+    targets, sizes = [targets[i] for i in places], sizes[places]
     flat = np.concatenate([np.empty(0, dtype=np.uint64), *targets])
     owner = np.repeat(np.arange(len(targets)), sizes)
     order = np.argsort(flat, kind="stable")  # so every list is sorted by target
     flat, owner = flat[order], owner[order]
     for q, shingles in enumerate(queries):
         n = len(shingles)
-        if not n or not len(flat):
+        if not n or not len(near[q]):
             continue
         start, stop = np.searchsorted(flat, shingles, "left"), np.searchsorted(flat, shingles, "right")
         length = stop - start
@@ -165,7 +193,7 @@ def search(queries: list[np.ndarray], targets: list[np.ndarray]) -> Iterator[tup
             own = owner[start[i] : stop[i]]
             if len(own):
                 count = count + (own[np.minimum(np.searchsorted(own, hit), len(own) - 1)] == hit)
-        yield q, hit[100 * count >= 80 * (sizes[hit] + n - count)]
+        yield q, places[hit[100 * count >= 80 * (sizes[hit] + n - count)]]
 
 
 def _searched(blocks: DataFrame, texts: DataFrame) -> DataFrame:
@@ -180,7 +208,7 @@ def _searched(blocks: DataFrame, texts: DataFrame) -> DataFrame:
     kind = texts.schema["id"].dataType
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, asks, names, seen = None, [], [], set()
+        last, asks, names, seen, asked = None, [], [], set(), None
         for rows, found_texts in slices(batches, 5):
             keys = list(zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True))
             ids, component = rows.column(3).to_pylist(), rows.column(4).to_pylist()
@@ -191,12 +219,13 @@ def _searched(blocks: DataFrame, texts: DataFrame) -> DataFrame:
             for key, run_ in groupby(keys):
                 to = at + sum(1 for _ in run_)
                 if key[:2] != last:
-                    last, asks, names, seen = key[:2], [], [], set()
+                    last, asks, names, seen, asked = key[:2], [], [], set(), None
                 if key[2]:
-                    asks += sets[at:to]
+                    asks, asked = asks + sets[at:to], None
                     names += zip(component[at:to], ids[at:to], strict=True)
                 else:
-                    for q, hits in search(asks, sets[at:to]):
+                    asked = signatures(asks) if asked is None else asked
+                    for q, hits in search(asks, sets[at:to], asked):
                         for i in (hits + at).tolist():
                             pair = names[q][0], component[i]
                             if pair[0] != pair[1] and pair not in seen:
@@ -226,15 +255,22 @@ def _of_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def _of_lists(members: DataFrame) -> DataFrame:
-    """Blocks of long lists; members: list, id, n, component, query. Both sides are dealt by what they weigh."""
+    """Blocks of long lists; members: list, id, n, component, query. Both sides are dealt by what they weigh.
+
+    A query is in the band of its size, a target in that and the next ones, so sizes that can't link seldom meet.
+    """
+    band = F.floor(F.log("n") / F.log(F.lit(BAND)))
+    asks = members.filter("query").withColumn("band", band)
+    gives = members.withColumns({"query": F.lit(False), "band": F.explode(F.sequence(band - 1, band + 1))})
+    members = asks.unionByName(gives).withColumn("list", F.xxhash64("list", "band")).drop("band")
     weight = lambda rows: F.greatest(F.sum(F.when(rows, F.col("n"))) / SHINGLES, F.count_if(rows) / QUERIES)
-    parts = members.groupBy("list").agg(F.ceil(weight(F.col("query"))).alias("q_parts"), F.ceil(F.count(F.lit(1)) / TARGETS).alias("t_parts"))
+    parts = members.groupBy("list").agg(F.ceil(weight(F.col("query"))).alias("q_parts"), F.ceil(F.count_if(~F.col("query")) / TARGETS).alias("t_parts"))
     rows = members.withColumn("check", F.hash("list")).join(parts.filter("q_parts > 0").withColumn("check", F.hash("list")), ["list", "check"])
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     block = (F.col("q") * F.col("t_parts") + F.col("t")).alias("part")
     asks = rows.filter("query").withColumn("q", part("q_parts")).withColumn("t", every("t_parts"))
-    gives = rows.withColumns({"t": part("t_parts"), "query": F.lit(False)}).withColumn("q", every("q_parts"))
+    gives = rows.filter("not query").withColumn("t", part("t_parts")).withColumn("q", every("q_parts"))
     return asks.unionByName(gives).select(F.col("list").alias("key"), block, "query", "id", "component")
 
 

@@ -178,6 +178,18 @@ def test_search_is_divide_skip():
     assert got == {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if len(a) and len(b) and 100 * share(a, b) >= 80 * (len(a) + len(b) - share(a, b))}
 
 
+def test_search_merges_no_lists_of_targets_that_signatures_rule_out(monkeypatch):
+    rng = np.random.default_rng(9)
+    passage = rng.integers(0, 2**62, 40).astype(np.uint64)
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 2**62, 60 + i).astype(np.uint64)])) for i in range(50)]
+    sets.append(np.unique(np.concatenate([sets[0][3:], sets[1][:2]])))
+    merged, met = jaccard._merged, []
+    monkeypatch.setattr(jaccard, "_merged", lambda lists, least: met.extend(lists) or merged(lists, least))
+    got = {(q, t) for q, hits in jaccard.search(sets, sets) for t in hits.tolist()}
+    assert got == {(i, i) for i in range(51)} | {(0, 50), (50, 0)}
+    assert sum(map(len, met)) < 10_000  # of 100,000 and more in the passage's lists alone
+
+
 def test_vectors_of_every_length_in_doubles(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "COARSE", 3)  # finer cells below few coarse ones
     rng = np.random.default_rng(6)
