@@ -14,6 +14,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -205,10 +206,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = sample.mapInArrow(features, f"id {kind}, label double, columns array<int>, x array<float>").toArrow()
     order = np.lexsort([[str(x) for x in found["id"].to_pylist()]]) if len(found) else np.empty(0, dtype=int)
     found = found.take(pa.array(order))
-    columns, x = found["columns"].to_pylist(), found["x"].to_pylist()
-    row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-    flat = lambda lists, kind: np.array(list(chain.from_iterable(lists)), dtype=kind)
-    return Machine.fit(row, flat(columns, np.int64), flat(x, np.float64), np.array(found["label"].to_pylist(), dtype=np.float64))
+    row = np.repeat(np.arange(len(found)), pc.list_value_length(found["columns"]).to_numpy())
+    flat = lambda name: pc.list_flatten(found[name]).to_numpy()
+    return Machine.fit(row, flat("columns"), flat("x").astype(np.float64), found["label"].to_numpy())
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "score") -> DataFrame:
