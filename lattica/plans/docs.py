@@ -28,5 +28,5 @@ def entity_summaries(s, d):
     k = (F.col("p_partkey") % len(SOURCES) + 1).cast("int")
     source = F.element_at(F.array(*(F.lit(text) for text, _ in SOURCES)), k)
     start = F.element_at(F.array(*(F.lit(at) for _, at in SOURCES)), k)
-    rows = catalog.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.split(F.replace(source, F.lit("{n}"), F.col("p_name")), "\n").alias("lines"), start.alias("start"))
+    rows = catalog.spread(catalog.table(s, d, "part").select("p_partkey", "p_name")).select(F.col("p_partkey").alias("id"), F.split(F.replace(source, F.lit("{n}"), F.col("p_name")), "\n").alias("lines"), start.alias("start"))
     return rows.select("id", docs.entity_summary(F.col("lines"), F.col("start")).alias("summary"))

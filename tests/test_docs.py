@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lattica import catalog
 from lattica.functions import docs
 
 CASES = [
@@ -19,3 +20,13 @@ def test_summaries_of_entities(spark):
     got = {r.i: r.x for r in rows.select("i", docs.entity_summary(F.split("text", "\n"), F.col("start")).alias("x")).collect()}
     for i, (text, start, want) in enumerate(CASES):
         assert (got[i] or None) == (want or None), (text, start, got[i])
+
+
+def test_a_signature_is_read_once_a_row(spark):
+    rows = spark.range(1).select(docs.entity_summary(F.split(F.lit("f()"), "\n"), F.lit(1)).alias("x"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+
+
+def test_rows_of_a_small_file_are_dealt_out(spark):
+    rows = catalog.spread(spark.range(100, numPartitions=1))
+    assert rows.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and rows.count() == 100
