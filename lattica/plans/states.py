@@ -526,4 +526,4 @@ def manifest_formats(s, d):
     hosts = F.concat(F.lit("[web]\nweb[08:10].example.com port=22\n# none\n[db]\ndb-[a:b]"), n, F.lit("\n[db:vars]\nuser\n[all:children]\nweb\n"))
     pick = lambda *x: F.element_at(F.array(*x), (k % 4 + 1).cast("int"))
     path = F.concat(k.cast("string"), F.lit("/"), pick(*map(F.lit, ("pyproject.toml", "setup.cfg", "a.spec", "hosts.ini"))))
-    return manifests.manifest_names(_t(s, d, "customer").select(F.col("c_nationkey").alias("project"), path.alias("path"), pick(python, setup, spec, hosts).alias("text")))
+    return manifests.manifest_names(catalog.spread(_t(s, d, "customer").select("c_custkey", "c_nationkey")).select(F.col("c_nationkey").alias("project"), path.alias("path"), pick(python, setup, spec, hosts).alias("text")))
