@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import ancestors
 from ..session import discard, stage
 
+#: Words of the Bloom filter that a pair's front carries in its last round.
+WORDS = 8
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(source, target) of an undirected graph."""
@@ -108,7 +111,10 @@ def paths_between(edges: DataFrame, pairs: DataFrame, hops: int, nodes: int | No
 
 
 def meetings(edges: DataFrame, pairs: DataFrame, hops: int, nodes: int | None = None, steps: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The search of ``paths_between``: (start, end, id, hop, depth) where two ends meet, (start, end, side, id, hop) that were seen, and the edges, both ways."""
+    """The search of ``paths_between``: (start, end, id, hop, depth) where two ends meet, (start, end, side, id, hop) that were seen, and the edges, both ways.
+
+    Nothing is expanded beyond the last round, so what it reaches is written only where two ends meet.
+    """
     edges = stage(both_ways(edges), "between-edges")
     asked = pairs.select("start", "end").filter("start is not null and end is not null").distinct()
     ends = F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("id")), F.struct(F.lit(1).alias("side"), F.col("end").alias("id"))))
@@ -122,6 +128,10 @@ def meetings(edges: DataFrame, pairs: DataFrame, hops: int, nodes: int | None =
         if nodes:
             turn = turn.join(seen.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > nodes), key, "left_anti")
         turn = stage(turn, f"between-turn-{hop}")
+        other = seen.select(*key, "id", (1 - F.col("side")).alias("side"), F.col("hop").alias("far"))
+        if hop == hops and not steps:
+            met = met.union(stage(_hits(_last_steps(front, turn, other, edges), other), f"between-met-{hop}"))
+            break
         step = front.join(turn, [*key, "side"]).join(edges, F.col("id") == edges.source)
         if steps:
             place = F.row_number().over(Window.partitionBy(*key).orderBy("source", "target"))
@@ -130,14 +140,34 @@ def meetings(edges: DataFrame, pairs: DataFrame, hops: int, nodes: int | None =
         new = stage(step.join(seen, [*key, "side", "id"], "left_anti"), f"between-{hop}")
         if new.isEmpty():
             break
-        other = seen.select(*key, "id", (1 - F.col("side")).alias("side"), F.col("hop").alias("far"))
-        hits = new.join(other, [*key, "side", "id"]).select(*key, "id", F.when(F.col("side") == 0, F.col("hop")).otherwise(F.col("far")).alias("hop"), (F.col("hop") + F.col("far")).alias("depth"))
-        met = met.union(stage(hits, f"between-met-{hop}"))
+        met = met.union(stage(_hits(new, other), f"between-met-{hop}"))
         still = front.join(turn.select(*key, (1 - F.col("side")).alias("side")), [*key, "side"], "left_semi")
         seen, front = seen.union(new), new.union(still)
     return met, seen, edges
 
 
+def _hits(new: DataFrame, other: DataFrame) -> DataFrame:
+    """(start, end, id, hop, depth) of new nodes that the other end has seen."""
+    hop = F.when(F.col("side") == 0, F.col("hop")).otherwise(F.col("far")).alias("hop")
+    return new.join(other, ["start", "end", "side", "id"]).select("start", "end", "id", hop, (F.col("hop") + F.col("far")).alias("depth"))
+
+
+def _last_steps(front: DataFrame, turn: DataFrame, other: DataFrame, edges: DataFrame) -> DataFrame:
+    """(start, end, side, id, hop): steps of the last round that the other end may have seen, all true ones among them.
+
+    A Bloom filter of what the other end has seen, ``WORDS`` words a pair, travels with the front, so
+    most steps end in the join that makes them. A pair in turn has not met, so none of the nodes
+    that both ends share was seen from its own.
+    """
+    key = ["start", "end", "side"]
+    word = lambda c: F.expr(f"xxhash64({c}) & {WORDS - 1}")
+    bits = lambda c: F.expr(" | ".join(f"shiftleft(1L, cast(shiftright(xxhash64({c}), {n}) & 63 as int))" for n in (8, 14, 20)))
+    marks = other.join(turn, key).groupBy(key).agg(*(F.bit_or(F.when(word("id") == w, bits("id")).otherwise(F.lit(0).cast("long"))).alias(f"_{w}") for w in range(WORDS)))
+    kept = reduce(lambda case, w: case.when(word("target") == w, F.col(f"_{w}")), range(1, WORDS), F.when(word("target") == 0, F.col("_0")))
+    steps = front.join(marks, key).join(edges, F.col("id") == edges.source).filter(kept.bitwiseAND(bits("target")) == bits("target"))
+    return steps.select(*key, F.col("target").alias("id"), (F.col("hop") + 1).alias("hop")).distinct()
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(id, in_degree, out_degree)."""
     ends = edges.select(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(

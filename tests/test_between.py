@@ -61,3 +61,12 @@ def test_budgets_and_what_is_read(spark):
     two = seen.join(ends, "side").filter("hop < last").join(degree, "id").agg(F.sum("n")).first()[0]
     one = graph.walk(both, pairs.select(F.col("start").alias("id")), depth).filter(F.col("hop") < depth).join(degree, "id").agg(F.sum("n")).first()[0]
     assert depth >= 4 and 2 * two <= one
+
+
+def test_last_round_keeps_only_what_meets(spark):
+    ends = [(0, n) for n in range(1, 31)] + [(5000, n) for n in range(5001, 5031)]
+    fans = [(n, 100 * n + k) for n in range(1, 31) for k in range(20)] + [(n, 100 * n + k) for n in range(5001, 5031) for k in range(20)]
+    table, pairs = spark.createDataFrame([*ends, *fans], "source long, target long"), spark.createDataFrame([(0, 5000)], "start long, end long")
+    met, seen, _ = graph.meetings(table, pairs, 3)
+    assert met.count() == 0 and seen.count() == 62  # both ends and their neighbours, not the 600 nodes of the third round
+    assert run(spark, [*ends, *fans, (7, 5020), (4, 5030)], [(0, 5000)], 3) == {(0, 5000): [0, 4, 5030, 5000]}
