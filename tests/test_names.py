@@ -56,3 +56,21 @@ def test_the_join_is_all_pairs(spark, least):
     want = {(r.a, r.b): round(r.score, 9) for r in pairs.collect()}
     assert {k: v for k, v in got.items() if max(map(len, k)) < 100} == want and (want or least == 1.0)
     assert names.alike(left.limit(0), right, least).count() == 0
+
+
+def test_pairs_are_compared_where_they_are_made(spark):
+    rows = spark.createDataFrame([(f"http://m.example.org/en/{n}.html",) for n in range(1000, 1120)], "name string")
+    found = names.alike(rows, rows, 0.7)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "Aggregate" not in plan  # no pair is shuffled
+    from itertools import permutations
+
+    def grams(t):
+        import re
+
+        return {p[i : i + 3] for w in re.findall("[a-z0-9]+", t) for p in [f"  {w} "] for i in range(len(p) - 2)}
+
+    sets = {r.name: grams(r.name) for r in rows.collect()}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in permutations(sets, 2)}
+    want = {p: round(s, 9) for p, s in share.items() if s >= 0.7}
+    assert {(r.left, r.right): round(r.score, 9) for r in found.collect()} == want and found.count() == len(want) > 100
