@@ -44,8 +44,9 @@ def bonuses(question: Column) -> Column:
     by_name = F.when(F.size(own) == 0, 0.0).when(F.get(own, 0)["shaped"], SYMBOL).otherwise(WORD_NAME)
     path = F.coalesce("file_path", F.when(F.col("type") == "directory", F.col("id")))
     parts = subwords(without_extension(path))
-    alike = lambda w: F.exists(parts, lambda p: p.startswith(w) | w.startswith(p))
-    hits = F.size(F.filter(words, lambda w: F.when(F.col("type") == "directory", alike(w)).otherwise(F.array_contains(parts, w))))
+    alike = lambda known, w: F.exists(known, lambda p: p.startswith(w) | w.startswith(p))
+    among = lambda known: F.filter(words, lambda w: F.when(F.col("type") == "directory", alike(known, w)).otherwise(F.array_contains(known, w)))
+    hits = F.get(F.transform(F.array(parts), lambda known: F.size(among(known))), 0)  # a path is split once, not for every word
     asks_tests = F.exists(words, lambda w: w.isin(*TEST_WORDS))
     test = (is_test_file(path) | F.coalesce("test", F.lit(False))) & ~asks_tests
     by_path = F.least(hits, F.lit(PATH_WORDS)) * PATH_WORD + F.when(is_vendored(path), VENDORED).when(test, TEST).otherwise(0.0)
