@@ -46,7 +46,7 @@ def _questions(s, d):
         .when(kind == 3, F.concat(F.lit("where are the cached "), "p_name", F.lit("s running in read_all::stoppedNow")))
         .otherwise(F.concat("p_type", F.lit(" parsing of "), "p_brand"))
     )
-    return _t(s, d, "part").select(F.col("p_partkey").alias("id"), text.alias("q"))
+    return catalog.spread(_t(s, d, "part")).select(F.col("p_partkey").alias("id"), text.alias("q"))
 
 
 _ROOTS = f"""list_distinct(list_transform(list_filter(list_transform(regexp_extract_all({_CAMEL.format('q')}, '[A-Za-z0-9]+'), lambda w: lower(w)),
