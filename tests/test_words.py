@@ -65,3 +65,13 @@ def test_questions(spark, index):
     assert set(ids('"the tree" OR names -parsing')) == {3} and set(ids("tree -of -parsing")) == {1, 6}
     assert words.asked(spark, "") == words.Question(()) and ids("") == []
     assert index.postings().filter(F.col("id") == 6).select(F.sum("tf")).first()[0] == 6000
+
+
+def test_words_are_brought_together_where_texts_are_read(spark, index):
+    rows = [(1, "an ox an ox"), (1, "an ox an ox"), (2, "ox an"), (3, ""), (4, None), (None, "an ox")]
+    index.refresh(frame(spark, rows), "id", "text")
+    held = {(r.word, r.id, r.tf, tuple(r.positions)) for r in index.postings().collect()}
+    assert held == {("an", 1, 2, (0, 2)), ("ox", 1, 2, (1, 3)), ("ox", 2, 1, (0,)), ("an", 2, 1, (1,))}
+    for phrase, want in (("an ox", {1}), ("ox an", {1, 2}), ("ox", {1, 2}), ("ox ox", set()), ("an ox an", {1})):  # a text that is there twice holds its phrases, too
+        assert {r.id for r in index.holding(phrase).collect()} == want
+    assert {(r.id, r.tf) for r in index.found(("an",)).collect()} == {(1, 4), (2, 1)}
