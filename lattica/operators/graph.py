@@ -20,12 +20,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return pairs.union(pairs.select(F.col("target"), F.col("source"))).distinct()
 
 
+def doubled(edges: DataFrame) -> DataFrame:
+    """(source, target) of an undirected graph in one pass, nothing is grouped: repeated edges stay, and so do loops."""
+    return edges.select(F.inline(F.array(F.struct("source", "target"), F.struct(F.col("target").alias("source"), F.col("source").alias("target")))))
+
+
 def walk(edges: DataFrame, seeds: DataFrame, hops: int, per_node: int | None = None) -> DataFrame:
     """(id, hop): every node reached from ``seeds`` (id), with the least number of hops.
 
     ``per_node`` follows at most so many edges of each node, smallest targets first. A node is
     expanded once: visited ones leave by an anti join. Edges are written once, not worked out
-    anew in every hop.
+    anew in every hop. Edges may repeat: of all steps only distinct nodes go on.
     """
     if per_node:
         place = F.row_number().over(Window.partitionBy("source").orderBy("target"))
@@ -63,7 +68,7 @@ def listed(edges: DataFrame, asked: DataFrame, limit: int, relation: str | None
 
 def shortest_paths(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """(id, hop, parent): undirected distances from ``start``; the parent is the smallest one a hop nearer."""
-    edges = stage(both_ways(edges), "walk-edges")
+    edges = stage(doubled(edges), "walk-edges")
     seen = walk(edges, start, hops)
     near = seen.select(F.col("id").alias("source"), F.col("hop").alias("near"))
     steps = edges.join(near, "source").select(F.col("target").alias("id"), "source", "near").join(seen, "id").filter("near = hop - 1")

@@ -25,6 +25,19 @@ def test_unique_provider(spark):
     assert counts == {"beta": (2, 1, 0), "alpha": (0, 0, 0)}
 
 
+def test_edges_of_walks_are_not_grouped(spark, monkeypatch):
+    """A walk's edges are written as they come: grouping them first keeps a task's whole share of them in memory."""
+    e, plans = __import__("__spark_entry__"), []
+    write = graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, name: (name == "walk-edges" and plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    for name in ("bfs_hops", "shortest_path_len", "impact_buckets"):
+        e.queries()[name](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 3 and not any("Aggregate" in p for p in plans)
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 3)], "source long, target long")
+    start = spark.createDataFrame([(3,)], "id long")
+    assert rows(graph.shortest_paths(edges, start, 5)) == [(1, 2, 2), (2, 1, 3), (3, 0, None)]
+
+
 def test_walk_visits_each_node_once(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5)], "source long, target long")
     seeds = spark.createDataFrame([(1,)], "id long")
