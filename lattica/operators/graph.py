@@ -52,18 +52,18 @@ def listed(edges: DataFrame, asked: DataFrame, limit: int, relation: str | None
 
     Each direction and relation has a turn: all first ids, then all second ones. ``total`` is what a
     direction and relation has in all. ``edges`` has project, source, target, relation; repeated
-    ones count once. No more than ``limit`` rows of a relation are sorted together.
+    ones count once. Edges are read once: counts and places come from one shuffle by the asked node.
     """
     edges = edges.filter(F.col("relation") == relation) if relation else edges
-    ends = {"outgoing": ("source", "target"), "incoming": ("target", "source")}
-    sides = [edges.select("project", F.col(a).alias("of"), F.lit(d).alias("direction"), "relation", F.col(b).alias("id")) for d, (a, b) in ends.items()]
-    rows = sides[0].union(sides[1]).join(asked.select("project", "of").distinct(), ["project", "of"], "left_semi").distinct()
+    end = lambda of, direction, to: F.struct(F.col(of).alias("of"), F.lit(direction).alias("direction"), "relation", F.col(to).alias("id"))
+    both = F.inline(F.array(end("source", "outgoing", "target"), end("target", "incoming", "source")))
+    rows = edges.select("project", "source", "target", "relation").distinct().select("project", both)
+    rows = rows.join(asked.select("project", "of").distinct(), ["project", "of"], "left_semi")
     group = ["project", "of", "direction", "relation"]
-    totals = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("total"))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("id"))).filter(F.col("place") <= limit)
+    same = Window.partitionBy(*group)
+    rows = rows.withColumn("total", F.count(F.lit(1)).over(same)).withColumn("place", F.row_number().over(same.orderBy("id"))).filter(F.col("place") <= limit)
     turn = F.row_number().over(Window.partitionBy("project", "of").orderBy("place", "direction", "relation", "id"))
-    rows = rows.withColumn("turn", turn).filter(F.col("turn") <= limit)
-    return rows.join(totals, group).select(*group, "place", "total", "id")
+    return rows.withColumn("turn", turn).filter(F.col("turn") <= limit).select(*group, "place", "total", "id")
 
 
 def shortest_paths(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:

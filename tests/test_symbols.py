@@ -98,3 +98,11 @@ def test_neighbours_have_turns(spark):
     got = sorted((r.place, r.direction, r.relation, r.id, r.total) for r in graph.listed(edges, asked, 6).collect())
     assert got == [(1, "incoming", "calls", "z", 1), (1, "incoming", "own", "a", 1), (1, "outgoing", "calls", "t0", 9), (1, "outgoing", "own", "a", 1), (1, "outgoing", "uses", "u", 1), (2, "outgoing", "calls", "t1", 9)]
     assert [r.id for r in graph.listed(edges, asked, 6, "uses").collect()] == ["u"] and graph.listed(edges.limit(0), asked, 6).count() == 0
+
+
+def test_neighbours_come_from_one_pass(spark):
+    """Counts and places come from the same rows: nothing is joined but the asked nodes."""
+    edges = spark.createDataFrame([(0, "a", "b", "calls"), (0, "a", "b", "calls"), (0, "a", "c", "calls")], "project int, source string, target string, relation string")
+    found = graph.listed(edges, edges.select("project", edges.source.alias("of")), 1)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert [tuple(r) for r in found.collect()] == [(0, "a", "outgoing", "calls", 1, 2, "b")]
