@@ -106,3 +106,15 @@ def test_neighbours_come_from_one_pass(spark):
     found = graph.listed(edges, edges.select("project", edges.source.alias("of")), 1)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     assert [tuple(r) for r in found.collect()] == [(0, "a", "outgoing", "calls", 1, 2, "b")]
+
+
+def test_hits_are_worked_out_once(spark):
+    """Hits are written before they are listed, and sorted without their texts."""
+    hits = spark.createDataFrame([(1, 1, 0, 7, "uses", "api/7", False), (1, 1, 0, 7, "uses", "api/7", False), (1, 2, 0, 8, "uses", None, True)], "seed int, hop int, project int, id int, relation string, file_path string, test boolean").distinct()
+    across = spark.createDataFrame([(1, 2, "k", "b", 3), (1, 2, "k", "a", 4)], "seed int, project int, kind string, name string, id int")
+    found = symbols.impact_lists(hits, across, "^api/", "^conf/", [], 1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "file_path" not in plan and "relation" not in plan
+    assert sorted(map(tuple, found.collect())) == [
+        (1, "cross_project", 2, 1, None, 2, 4), (1, "direct", 1, 1, 1, 0, 7), (1, "indirect", 1, 1, 2, 0, 8), (1, "public_api", 1, 1, 1, 0, 7), (1, "tests", 1, 1, 2, 0, 8)
+    ]
