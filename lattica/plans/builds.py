@@ -37,11 +37,11 @@ def built_names(s, d):
     """Every other circuit file lies beside infrastructure code, which alone makes it one."""
     k = F.col("c_custkey")
     filled = lambda text: F.format_string(_java(text), k.cast("string"), (k % 7).cast("string"), F.lower("c_mktsegment"))
-    form = (k % len(FILES) + 1).cast("int")
-    customer = catalog.table(s, d, "customer")
-    files = customer.select(F.col("c_nationkey").alias("project"), F.element_at(F.array(*(filled(p) for p, _ in FILES)), form).alias("path"), F.element_at(F.array(*(filled(t) for _, t in FILES)), form).alias("text"))
+    form = lambda texts: F.coalesce(*(F.when(k % len(FILES) == i, filled(text)) for i, text in enumerate(texts)))
+    customer = catalog.spread(catalog.table(s, d, "customer"))
+    files = customer.select(F.col("c_nationkey").alias("project"), form([p for p, _ in FILES]).alias("path"), form([t for _, t in FILES]).alias("text"))
     beside = customer.filter("c_custkey % 4 = 1").select(F.col("c_nationkey").alias("project"), filled("f{k}/net.hcl").alias("path"), F.lit("x = 1").alias("text"))
-    return builds.build_names(stage(files.union(beside), "build-files"))
+    return builds.build_names(catalog.spread(stage(files.union(beside), "build-files")))  # each reader has its own files dealt
 
 
 def _java(text: str) -> str:

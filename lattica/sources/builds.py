@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folds import outline, walked
+from ..functions.folds import bound, outline, walked
 from ..functions.paths import is_fqdn
 from ..functions.text import directory, normalize_name
 from ..operators.imports import folder, normal
+from ..session import stage
 from .manifests import expanded_hosts
 
 # Fixed values.
@@ -142,7 +143,7 @@ def _images(files: DataFrame, rules: dict) -> DataFrame:
     pair = lambda raw, at: F.struct(raw.alias("raw"), at.alias("holder"))
     built = F.flatten(F.transform("builds", lambda b: F.transform(_all(b["line"], r"""\s(?:-t|--tag)[\s=]+["']?([^\s'"]+)"""), lambda raw: pair(raw, b["holder"]))))
     later = F.transform(F.concat(F.transform("tagged", lambda x: x[1]), pushed), lambda raw: pair(raw, F.col("holder")))
-    name = lambda raw: normalize_name(F.lit("image"), known(raw))
+    name = lambda raw: bound(known(raw), lambda x: normalize_name(F.lit("image"), x))
     rows = rows.withColumns({"found": F.transform(F.concat(built, later), lambda x: F.struct(name(x["raw"]).alias("name"), x["holder"].alias("holder"))), "starts": F.transform("tagged", lambda x: name(x[0])), "ends": F.transform("tagged", lambda x: name(x[1]))})
     local = F.array_except("starts", "ends")
     return rows.withColumn("found", F.filter("found", lambda x: F.contains(x["name"], F.lit("/")) & ~F.contains(x["name"], F.lit(UNKNOWN)) & ~F.array_contains(local, x["name"])))
@@ -235,7 +236,8 @@ def build_names(files: DataFrame) -> DataFrame:
 
     code = here.filter(F.col("path").endswith(CODE_ENDING))
     hosts = code.select("project", "path", F.lit("host").alias("kind"), F.inline(resource_hosts(F.col("text"))))
-    data = here.filter(F.col("path").rlike("[.]ya?ml$")).withColumn("file", F.substring_index("path", "/", -1)).withColumn("keys", outline(F.col("text")))
+    data = here.filter(F.col("path").rlike("[.]ya?ml$")).select("project", "path", F.substring_index("path", "/", -1).alias("file"), outline(F.col("text")).alias("keys"))
+    data = stage(data, "build-outlines")  # three readers use them
     listed = data.filter(F.col("file").isin(*DATA_INVENTORIES)).select("project", "path", F.lit("host").alias("kind"), F.explode(inventory_hosts(F.col("keys"))).alias("raw"), F.lit(False).alias("provided"))
     composed = data.select("project", "path", F.lit("image").alias("kind"), F.explode(compose_images(F.col("keys"))).alias("raw"), F.lit(False).alias("provided"))
     beside = here.filter(F.col("path").rlike("[.](tf|hcl|tfvars)$")).select("project", folder(F.col("path")).alias("at")).distinct()

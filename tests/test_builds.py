@@ -59,6 +59,14 @@ def test_odd_tables(spark):
     assert names(spark, twice, twice) == [("Makefile", "bucket", "b", False, "Makefile"), ("Makefile", "image", "a/b", True, "./")]
 
 
+def test_data_files_are_outlined_once(spark):
+    """Three readers use the outlines, which are written before."""
+    files = spark.createDataFrame([("p", "hosts.yml", "hosts:\n  a.example.com:\n")], HEAD)
+    found = builds.build_names(files)
+    assert "^---" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.name for r in found.collect()] == ["a.example.com"]
+
+
 def test_walked_and_outline_against_plain_ones(spark):
     """Sums that start again, over many blocks; paths by a stack."""
     rng = random.Random(7)
