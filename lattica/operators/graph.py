@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from ..session import discard, stage
 
 #: Words of the Bloom filter that a pair's front carries in its last round.
 WORDS = 8
+#: Tables of hops that a walk reads one by one; with more, they become one.
+HOPS_APART = 12
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -25,8 +28,8 @@ def doubled(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(F.array(F.struct("source", "target"), F.struct(F.col("target").alias("source"), F.col("source").alias("target")))))
 
 
-def walk(edges: DataFrame, seeds: DataFrame, hops: int, per_node: int | None = None) -> DataFrame:
-    """(id, hop): every node reached from ``seeds`` (id), with the least number of hops.
+def walk(edges: DataFrame, seeds: DataFrame, hops: int | None, per_node: int | None = None) -> DataFrame:
+    """(id, hop): every node reached from ``seeds`` (id), with the least number of hops; without ``hops`` the walk ends when nothing is new.
 
     ``per_node`` follows at most so many edges of each node, smallest targets first. A node is
     expanded once: visited ones leave by an anti join. Edges are written once, not worked out
@@ -37,13 +40,18 @@ def walk(edges: DataFrame, seeds: DataFrame, hops: int, per_node: int | None = N
         edges = edges.select("source", "target").distinct().withColumn("n", place).filter(F.col("n") <= per_node)
     edges = edges if hasattr(edges, "staged_at") else stage(edges.select("source", "target"), "walk-edges")
     seen = stage(seeds.select("id").distinct().withColumn("hop", F.lit(0)), "walk")
-    front = seen
-    for hop in range(1, hops + 1):
+    front, tables = seen, [seen]
+    for hop in count(1) if hops is None else range(1, hops + 1):
         step = front.select("id").join(edges, F.col("id") == edges.source).select(F.col("target").alias("id")).distinct()
         front = stage(step.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)), f"walk-{hop}")
         if front.isEmpty():
             break
         seen = seen.union(front)
+        tables.append(front)
+        if len(tables) > HOPS_APART:  # a long walk's plan stays as small as a short one's
+            seen, last = stage(seen, "walk"), tables
+            discard(*(t for t in last if t is not front))
+            tables = [seen]
     return seen
 
 
@@ -66,8 +74,8 @@ def listed(edges: DataFrame, asked: DataFrame, limit: int, relation: str | None
     return rows.withColumn("turn", turn).filter(F.col("turn") <= limit).select(*group, "place", "total", "id")
 
 
-def shortest_paths(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """(id, hop, parent): undirected distances from ``start``; the parent is the smallest one a hop nearer."""
+def shortest_paths(edges: DataFrame, start: DataFrame, hops: int | None = None) -> DataFrame:
+    """(id, hop, parent): undirected distances from ``start``, to all that can be reached or within ``hops``; the parent is the smallest one a hop nearer."""
     edges = stage(doubled(edges), "walk-edges")
     seen = walk(edges, start, hops)
     near = seen.select(F.col("id").alias("source"), F.col("hop").alias("near"))

@@ -38,6 +38,22 @@ def test_edges_of_walks_are_not_grouped(spark, monkeypatch):
     assert rows(graph.shortest_paths(edges, start, 5)) == [(1, 2, 2), (2, 1, 3), (3, 0, None)]
 
 
+def test_shortest_paths_have_no_bound(spark, monkeypatch):
+    """The query reaches all that can be reached, and a long chain's tables become one now and then."""
+    e, asked = __import__("__spark_entry__"), []
+    search = graph.walk
+    monkeypatch.setattr(graph, "walk", lambda edges, start, hops: (asked.append(hops), search(edges, start, hops))[1])
+    e.queries()["shortest_path_len"](spark, "/root/testdata/sf0.001")
+    assert asked == [None]
+    monkeypatch.setattr(graph, "HOPS_APART", 3)
+    chain = spark.createDataFrame([(n, n + 1) for n in range(9)] + [(20, 21), (4, 4)], "source long, target long")
+    start = spark.createDataFrame([(0,)], "id long")
+    found = graph.shortest_paths(chain, start)
+    assert rows(found) == [(n, n, n - 1 if n else None) for n in range(10)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") < 15
+    assert rows(graph.walk(chain, start, 4)) == [(n, n) for n in range(5)]
+
+
 def test_walk_visits_each_node_once(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5)], "source long, target long")
     seeds = spark.createDataFrame([(1,)], "id long")
