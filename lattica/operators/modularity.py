@@ -18,6 +18,8 @@ from .ranges import running
 
 #: A level must gain this much to count.
 GAIN = 1e-6
+#: Links of a node that one task hears, about.
+HEARD = 1 << 17
 
 
 def weighted(edges: DataFrame) -> DataFrame:
@@ -30,10 +32,10 @@ def weighted(edges: DataFrame) -> DataFrame:
 
 
 def _degrees(edges: DataFrame) -> DataFrame:
-    """(part, id, k, loop): a loop counts twice in the degree."""
+    """(part, id, k, loop, ends): a loop counts twice in the degree (k); ends are its links, counted."""
     loop = F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0).alias("loop")
     ends = edges.select("part", F.col("a").alias("id"), "w", loop).union(edges.select("part", F.col("b").alias("id"), "w", F.lit(0.0)))
-    return ends.groupBy("part", "id").agg(F.sum("w").alias("k"), F.sum("loop").alias("loop"))
+    return ends.groupBy("part", "id").agg(F.sum("w").alias("k"), F.sum("loop").alias("loop"), F.count(F.lit(1)).alias("ends"))
 
 
 def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -47,53 +49,68 @@ def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0) ->
 
 
 def _level(edges: DataFrame, rounds: int, seed: int, resolution: float) -> tuple[DataFrame, float, float]:
-    """((part, id, community), modularity of single nodes, modularity found), summed over the parts."""
+    """((part, id, community), modularity of single nodes, modularity found), summed over the parts.
+
+    Links lie dealt by the end that speaks, with what is fixed of the other. In a round every node tells
+    its community to its neighbours, and what a node hears meets by one shuffle; of links whose
+    ends both wait, one way is told, as it counts for the modularity alone. What a hub hears is dealt over shards.
+    """
     own = edges.filter("a != b")
-    links = stage(own.select("part", F.col("a").alias("id"), F.col("b").alias("to"), "w").union(own.select("part", F.col("b").alias("id"), F.col("a").alias("to"), "w")), "level-links")
+    ways = own.select("part", F.col("a").alias("id"), F.col("b").alias("to"), "w").union(own.select("part", F.col("b").alias("id"), F.col("a").alias("to"), "w"))
     nodes = _degrees(edges)
-    totals = nodes.groupBy("part").agg(F.sum("k").alias("m2"))  # one row a part
-    now = stage(nodes.join(totals, "part").withColumn("label", F.col("id")), "level-nodes")
-    kept, first, best, idle = now, None, -1.0, 0
-    tables = [links, now]
+    totals = edges.groupBy("part").agg((2 * F.sum("w")).alias("m2"))  # one row a part
+    heard = F.ceil(F.col("ends") / HEARD).cast("int").alias("shards")
+    nodes = stage(nodes.join(totals, "part").select("part", "id", "k", "loop", "m2", heard), "level-nodes")
+    links = stage(ways.join(nodes.select("part", "id", "k", "shards"), ["part", "id"]), "level-links", ["part", "to"])
+    state = nodes.withColumns({"label": F.col("id"), "tot": F.col("k"), "n": F.lit(1).cast("long")})
+    loops = nodes.agg(F.sum(2 * F.col("loop") / F.col("m2"))).first()[0] or 0.0
+    kept, first, most, idle = state, None, -1.0, 0
+    tables = [nodes, links]
+    nothing, m2 = F.lit(0.0), F.col("m2")
     for turn in range(rounds + 1):
-        sums = now.groupBy("part", "label").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("n"))
-        check = F.hash("to").alias("check")
-        seen = links.select("*", check).join(now.select("part", F.col("id").alias("to"), "label", F.hash("id").alias("check")), ["part", "to", "check"])
-        near = seen.groupBy("part", "id", "label").agg(F.sum("w").alias("w"))
-        near = near.unionByName(now.select("part", "id", "label", F.lit(0.0).alias("w"))).groupBy("part", "id", "label").agg(F.sum("w").alias("w"))
-        rows = near.join(now.select("part", "id", "k", "loop", "m2", F.col("label").alias("own")), ["part", "id"])
-        check = F.hash("label").alias("check")
-        rows = rows.select("*", check).join(sums.select("*", check), ["part", "label", "check"])
-        stays = F.col("label") == F.col("own")
-        gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)) / F.col("m2"), 9)
-        # Ties: stay, else the smallest label. Of two single nodes only the larger joins the smaller.
-        order = F.struct(gain.alias("gain"), stays.alias("stays"), F.when(F.col("n") == 1, 0).otherwise(1).alias("several"))
-        picked = rows.groupBy("part", "id").agg(
-            F.max_by(F.struct("label", "n"), order).alias("to"), F.max(order).alias("top"), *(F.first(c).alias(c) for c in ("k", "loop", "m2", "own")),
-            F.max(F.when(stays, F.struct(gain.alias("gain"), "w", "n"))).alias("was"),
+        turns = lambda c, salt=f"{seed} {turn}": F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(2)) == 0  # noqa: E731  a text, as a number would compile anew in every round
+        asked = links.filter(turns("id") | (~turns("to") & (F.col("to") < F.col("id"))))
+        rate, alone = (resolution * F.col("tot") / m2).alias("rate"), (F.col("n") == 1).alias("alone")
+        told = asked.join(state.select("part", F.col("id").alias("to"), "label", rate, alone).hint("shuffle_hash"), ["part", "to"])
+        inside = F.when(turns("id") & turns("to"), F.col("w")).otherwise(2 * F.col("w")).alias("inside")
+        shard = F.pmod(F.hash("label"), F.col("shards")).alias("shard")
+        told = told.select("id", "part", shard, "label", "w", inside, F.lit(False).alias("stays"), "k", "rate", "alone", nothing.alias("weight"), nothing.alias("square"))
+        without = (resolution * (F.col("tot") - F.col("k")) / m2).alias("rate")  # the least of its community's rates
+        kept_by = state.select("id", "part", shard, "label", nothing.alias("w"), nothing.alias("inside"), F.lit(True).alias("stays"), "k", without, alone, (1 / m2).alias("weight"), (resolution * F.col("k") * F.col("tot") / (m2 * m2)).alias("square"))
+        rows = told.union(kept_by).repartition("id", "part", "shard").groupBy("id", "part", "shard", "label").agg(
+            *(F.sum(c).alias(c) for c in ("w", "inside", "weight", "square")), F.bool_or("stays").alias("stays"), F.max("k").alias("k"), F.min("rate").alias("rate"), F.bool_or("alone").alias("alone")
         )
-        swap = (F.col("to.n") == 1) & (F.col("was.n") == 1) & (F.col("to.label") > F.col("own"))
-        turns = F.pmod(F.xxhash64("id", F.lit(seed * 1000 + turn)), F.lit(2)) == 0
-        moves = turns & ~swap & (F.col("top.gain") > F.col("was.gain") + 1e-9)
-        after = picked.select("part", "id", "k", "loop", "m2", F.col("own").alias("label"), F.when(moves, F.col("to.label")).otherwise(F.col("own")).alias("next"), F.col("was.w").alias("inside"))
+        gain, stays = F.rint(1e9 * (F.col("w") - F.col("k") * F.col("rate"))) / 1e9, F.col("stays")
+        # Ties: stay, else a community of several, else the smallest label.
+        order = F.struct((-gain).alias("less"), (~stays).alias("goes"), "alone", "label")
+        best = rows.groupBy("id", "part").agg(F.min(order).alias("to"), F.max(F.when(stays, F.struct(gain.alias("gain"), "alone", "label", "inside", "weight", "square"))).alias("was"))
+        best = best.select("part", "id", "to", "was.*")
+        swap = F.col("to.alone") & F.col("alone") & (F.col("to.label") > F.col("label"))  # of two single nodes only the larger joins the smaller
+        moves = turns("id") & ~swap & (-F.col("to.less") > F.col("gain") + 1e-9)
+        after = best.select("part", "id", "label", F.when(moves, F.col("to.label")).otherwise(F.col("label")).alias("next"), (F.col("inside") * F.col("weight") - F.col("square")).alias("q"))
         after = stage(after, f"moves-{turn}")
         tables.append(after)
-        sums = after.groupBy("part", "label").agg(
-            F.sum("k").alias("k"), F.first("m2").alias("m2"), F.sum(F.col("inside") + 2 * F.col("loop")).alias("in"), F.count_if(F.col("next") != F.col("label")).alias("moved"), F.count(F.lit(1)).alias("n")
-        )
-        share = F.col("k") / F.col("m2")
-        q, moved, n = sums.agg(F.sum(F.col("in") / F.col("m2") - resolution * share * share), F.sum("moved"), F.sum("n")).first()
-        q = q or 0.0
+        q, moved, n = after.agg(F.sum("q"), F.count_if(F.col("next") != F.col("label")), F.count(F.lit(1))).first()
+        q = (q or 0.0) + loops
         first = q if first is None else first
-        if q > best:
-            kept, best = after, q
+        if q > most:
+            kept, most = after, q
         idle = idle + 1 if 1000 * (moved or 0) <= (n or 0) else 0
-        if idle == 2:  # both halves stay, but for one node in a thousand
+        if idle == 2 or turn == rounds:  # both halves stay, but for one node in a thousand
             break
-        now = after.select("part", "id", "k", "loop", "m2", F.col("next").alias("label"))
+        state = _state(after.select("part", "id", F.col("next").alias("label")), nodes, f"state-{turn}")
+        tables.append(state)
     out = stage(kept.select("part", "id", F.col("label").alias("community")), "level-communities")
     discard(*tables)
-    return out, first, best
+    return out, first, most
+
+
+def _state(now: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """``nodes`` with the label each has ``now``, and that community's total (tot) and number of nodes (n)."""
+    rows = nodes.join(now, ["part", "id"])
+    sums = rows.groupBy("part", "label").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("n"))
+    check = F.hash("label").alias("check")  # a second key: a shuffle that AQE can split
+    return stage(rows.select("*", check).join(sums.select("*", check), ["part", "label", "check"]).drop("check"), name)
 
 
 def louvain(edges: DataFrame, rounds: int = 8, levels: int = 12, seed: int = 1, resolution: float = 1.0) -> DataFrame:
@@ -127,18 +144,20 @@ def communities(nodes: DataFrame, edges: DataFrame, most: float = 0.25, least: i
     within itself; its own edges alone count there. Edges (source, target) have no direction; ends
     that are not in ``nodes`` count as nodes too. Null ids are ignored.
     """
-    all_ = weighted(edges)
+    all_ = stage(weighted(edges), "graph-edges")
     ends = all_.select(F.col("a").alias("id")).union(all_.select(F.col("b").alias("id"))).distinct()
     ids = stage(nodes.select("id").filter("id is not null").distinct().union(ends).distinct(), "graph-nodes")
     loops_only = all_.filter("a != b")
     found = louvain(loops_only, rounds).select("id", "community")
     limit = max(least, int(ids.count() * most))
-    large = found.groupBy("community").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("community")
-    inner = found.join(F.broadcast(large), "community")  # few: each holds more than a share of the nodes
-    label = lambda end: inner.select(F.col("id").alias(end), F.col("community").alias(f"c{end}"))
-    within = loops_only.join(label("a"), "a").join(label("b"), "b").filter("ca = cb").select(F.col("ca").alias("part"), "a", "b", "w")
-    again = louvain(within, rounds).select("id", F.col("community").alias("finer"))
-    out = ids.join(found, "id", "left").join(again, "id", "left").select("id", F.coalesce("finer", "community", "id").alias("label"))
+    large = stage(found.groupBy("community").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("community"), "graph-large")
+    out = ids.join(found, "id", "left").select("id", F.coalesce("community", "id").alias("label"))
+    if not large.isEmpty():
+        inner = found.join(F.broadcast(large), "community")  # few: each holds more than a share of the nodes
+        label = lambda end: inner.select(F.col("id").alias(end), F.col("community").alias(f"c{end}"))
+        within = loops_only.join(label("a"), "a").join(label("b"), "b").filter("ca = cb").select(F.col("ca").alias("part"), "a", "b", "w")
+        again = louvain(within, rounds).select("id", F.col("community").alias("finer"))
+        out = out.join(again, "id", "left").select("id", F.coalesce("finer", "label").alias("label"))
     out = stage(out, "communities")
     names = out.groupBy("label").agg(F.min("id").alias("community"))
     return out.join(names, "label").select("id", "community")

@@ -104,3 +104,17 @@ def test_odd_graphs(spark):
     assert {(r.id, r.community) for r in got} == {(1, 1), (2, 2), (3, 2), (7, 7)}
     numbers = mod.numbered(spark.createDataFrame([(1, 1), (2, 2), (3, 2), (7, 7)], "id long, community long")).collect()
     assert sorted((r.number, r.community, r.members) for r in numbers) == [(0, 2, 2), (1, 1, 1), (2, 7, 1)]
+
+
+def test_a_round_shuffles_links_once(spark, monkeypatch):
+    """What nodes hear meets by one shuffle of a turn's links, a hub's over several tasks; links are read in place."""
+    plans, write = {}, mod.stage
+    monkeypatch.setattr(mod, "HEARD", 8)
+    monkeypatch.setattr(mod, "stage", lambda df, name, *dealt: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), write(df, name, *dealt))[1])
+    edges = [*planted(4, 12, 3, 0.2), *((48, i) for i in range(40))]
+    members, first, best = mod._level(mod.weighted(frame(spark, edges)), 4, 1, 1.0)
+    label = {r.id: r.community for r in members.collect()}
+    assert quality(edges, label) == pytest.approx(best, abs=1e-9) and quality(edges, {i: i for i in label}) == pytest.approx(first, abs=1e-9)
+    plan = plans["moves-1"]
+    assert "Bucketed: true" in plan and "SortMergeJoin" not in plan
+    assert plan.count("Exchange hashpartitioning(") <= 3  # the state's rows, what is heard, and one row a node and shard
